@@ -33,3 +33,17 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sentencepiece_codec import token_digests
 
     return token_digests(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+@query("op7_decontaminate")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import contamination
+
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op9_media")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .media import media_features
+
+    return media_features(table(spark, sf_dir, "documents"))
