@@ -47,3 +47,29 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .media import media_features
 
     return media_features(table(spark, sf_dir, "documents"))
+
+
+def _sharding_oracle() -> str:
+    from .sharding import ORACLE
+
+    return ORACLE
+
+
+@query("op1_sharding", _sharding_oracle())
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import shards
+
+    return shards(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def _url_oracle() -> str:
+    from .url_filters import ORACLE
+
+    return ORACLE
+
+
+@query("op5_url_filters", _url_oracle())
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_filters import judge
+
+    return judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
