@@ -73,3 +73,23 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .url_filters import judge
 
     return judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
+def _warc_oracle() -> str:
+    from .warc import ORACLE
+
+    return ORACLE
+
+
+@query("op3_warc", _warc_oracle())
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import archive_round_trip
+
+    return archive_round_trip(table(spark, sf_dir, "pages"))
+
+
+@query("op4_toxicity")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
