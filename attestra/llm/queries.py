@@ -93,3 +93,10 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import toxicity
 
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op8_near_dedup")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dedup import classes
+
+    return classes(table(spark, sf_dir, "documents"))
