@@ -100,3 +100,10 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_dedup import classes
 
     return classes(table(spark, sf_dir, "documents"))
+
+
+@query("op6_line_dedup")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import line_report
+
+    return line_report(table(spark, sf_dir, "documents"))
