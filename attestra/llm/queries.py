@@ -107,3 +107,10 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import line_report
 
     return line_report(table(spark, sf_dir, "documents"))
+
+
+@query("op10_suffix_dedup")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import dedup
+
+    return dedup(table(spark, sf_dir, "documents"))
