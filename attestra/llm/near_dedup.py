@@ -11,11 +11,16 @@ than the latest of its registers.
 
 Signatures are cut into bands; texts that share a band are candidates and are
 verified by exact multiset overlap.  A bucket is never expanded into all its
-pairs: its members are compared with one pivot, verified links are united, and
-only members of a bucket that still belong to different components meet again,
-first with further pivots of the bucket's largest component, then all of the
-others with all that differ.  What is left out could only link texts that are
-in one class already.
+pairs: its members are compared with one pivot, the member with the most
+companions in all its buckets, and verified links are united.  Members of a
+bucket that still belong to different components are *open*; what is left out
+so far could only link texts that are in one class already.
+
+Open texts meet in an exact join: shingles are ordered from rare to frequent,
+and a pair of similarity 0.8 must share one among the first of both texts.  How
+many count follows from both sizes (rows are keyed by shingle and size class),
+which leaves out the shingles that a whole group has in common, so that copies
+of one source which are too different from each other don't meet in pairs.
 
 A text pair of similarity 0.8 shares no band with probability 3e-6 (24 bands of
 4 registers).
@@ -45,8 +50,10 @@ from .decontaminate import words
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, WIDTH = 24, 4
 REGISTERS = BANDS * WIDTH
-#: Rounds with one pivot a bucket before the rest of a bucket is compared.
-PIVOT_ROUNDS = 3
+#: Ratio of the sizes that bound a size class.
+CLASS_STEP = 1.03
+#: Texts, and characters of each, whose shingle counts set the order of shingles.
+ORDER_TEXTS, ORDER_CHARS = 8000, 20_000
 
 U = np.uint64
 
@@ -181,14 +188,92 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return stored(rows.mapInArrow(run, "a bigint, b bigint"), "verified")
 
 
+def size_class(size: np.ndarray | int):
+    return np.floor(np.log(size) / np.log(CLASS_STEP)).astype(np.int64)
+
+
+def class_floor(k: np.ndarray) -> np.ndarray:
+    """A lower bound of the sizes of a class (a little low, for rounding)."""
+    return np.power(CLASS_STEP, k) * (1 - 1e-9)
+
+
+def first_places(size: int, other: np.ndarray | float) -> np.ndarray:
+    """How many of a text's first shingles can be the first that it shares
+    with a similar text of (at least) the other size."""
+    overlap = np.ceil(SIMILARITY / (1 + SIMILARITY) * (size + other) - 1e-6)
+    return np.maximum(size - overlap + 1, 0).astype(np.int64)
+
+
+def frequent_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles and counts in a bounded sample of texts.  They only set the
+    order in which shingles are taken, so any sample gives the same pairs."""
+    rows = texts.select("text").orderBy(F.xxhash64("node")).limit(ORDER_TEXTS).toLocalIterator()
+    parts, held = [], []
+    for r in rows:
+        held.append(r["text"][:ORDER_CHARS])
+        if len(held) == 500:
+            parts.append(shingle_counts(held)[1])
+            held = []
+    parts.append(shingle_counts(held)[1])
+    shingle, n = np.unique(np.concatenate(parts), return_counts=True)
+    return shingle[n > 1], n[n > 1]
+
+
+def prefix_pairs(texts: DataFrame) -> DataFrame:
+    """Pairs (a < b) of open texts (node, label, asks, text) with different
+    labels, at least one of which asks, that can be similar enough."""
+    spark = texts.sparkSession
+    sent = spark.sparkContext.broadcast(frequent_shingles(texts))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, often = sent.value
+        for b in batches:
+            of, shingle, n = shingle_counts(b.column(2).to_pylist())
+            if not len(of):
+                continue
+            at = np.minimum(np.searchsorted(known, shingle), max(len(known) - 1, 0))
+            rank = np.where(known[at] == shingle, often[at], 0) if len(known) else np.zeros(len(of), np.int64)
+            order = np.lexsort((shingle, rank, of))
+            of, shingle, n = of[order], shingle[order], n[order]
+            cut = np.searchsorted(of, np.arange(b.num_rows + 1))
+            for i in np.flatnonzero(np.diff(cut)):
+                mine, count = shingle[cut[i] : cut[i + 1]], n[cut[i] : cut[i + 1]]
+                size = int(count.sum())
+                before = np.cumsum(count) - count  # a shingle stands for all its copies
+                own = size_class(size)
+                wide = np.searchsorted(before, first_places(size, SIMILARITY * size))
+                keys, place, ask = [mix(mine[:wide] * U(2) + U(1) ^ mix(np.uint64([own])))], [before[:wide]], [np.zeros(wide, bool)]
+                if b.column(3)[i].as_py():
+                    for k in range(int(size_class(max(1.0, SIMILARITY * size * (1 - 1e-9)))), int(size_class(size / SIMILARITY * (1 + 1e-9))) + 1):
+                        few = np.searchsorted(before, first_places(size, max(float(class_floor(k)), SIMILARITY * size)))
+                        keys.append(mix(mine[:few] * U(2) + U(1) ^ mix(np.uint64([k]))))
+                        place.append(before[:few])
+                        ask.append(np.ones(few, bool))
+                keys = np.concatenate(keys)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys.view(np.int64)), pa.array(np.concatenate(ask)), pa.array(np.full(len(keys), b.column(0)[i].as_py())), pa.array(np.full(len(keys), b.column(1)[i].as_py())), pa.array(np.full(len(keys), size)), pa.array(np.concatenate(place))],
+                    ["key", "ask", "node", "label", "size", "place"],
+                )
+
+    rows = stored(texts.select("node", "label", "text", "asks").mapInArrow(run, "key bigint, ask boolean, node bigint, label bigint, size bigint, place bigint"), "prefixes")
+    asked = rows.where("ask").select("key", F.col("node").alias("u"), F.col("label").alias("u_label"), F.col("size").alias("u_size"), F.col("place").alias("u_place"))
+    kept = rows.where("not ask").select("key", F.col("node").alias("v"), F.col("label").alias("v_label"), F.col("size").alias("v_size"), F.col("place").alias("v_place"))
+    overlap = F.ceil(F.lit(SIMILARITY / (1 + SIMILARITY)) * (F.col("u_size") + F.col("v_size")) - 1e-6)
+    able = (asked["key"] == kept["key"]) & (F.col("u_label") != F.col("v_label")) & (F.col("u_place") <= F.col("u_size") - overlap) & (F.col("v_place") <= F.col("v_size") - overlap)
+    return asked.join(kept, able).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """(doc_id, class_id), one row for each row of ``docs``."""
     spark = docs.sparkSession
     rows = sketch(docs)
     nodes = stored(rows.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("size").alias("size"), F.first("bands").alias("bands")), "nodes")
     members = nodes.where("size > 0").select("node", "size", F.explode("bands").alias("band"))
-    shared = members.groupBy("band").agg(F.min(F.struct("node", "size")).alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "pivot")
+    shared = members.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = stored(members.join(shared, "band"), "members")
+    central = members.groupBy("node").agg(F.sum("n").alias("companions"))
+    pivots = members.join(central, "node").groupBy("band").agg(F.max(F.struct("companions", (-F.col("node")).alias("first"), "size")).alias("p")).select("band", F.struct((-F.col("p.first")).alias("node"), F.col("p.size").alias("size")).alias("pivot"))
+    members = stored(members.drop("n").join(pivots, "band"), "members")
 
     def worth(size_a, size_b):
         return F.least(size_a, size_b) >= SIMILARITY * F.greatest(size_a, size_b)
@@ -197,35 +282,21 @@ def classes(docs: DataFrame) -> DataFrame:
     texts = pick(docs, "doc_id", "text").join(wanted, F.col("doc_id") == F.col("id"), "left_semi").dropDuplicates(["doc_id"])
     texts = stored(texts.select(F.col("doc_id").alias("node"), F.coalesce("text", F.lit("")).alias("text")), "texts")
     pairs = stored(members.where((F.col("node") != F.col("pivot.node")) & worth(F.col("size"), F.col("pivot.size"))).select(F.col("node").alias("a"), F.col("pivot.node").alias("b")).distinct(), "pairs")
-    compared = [pairs]
     links = [verified(pairs, texts)]
     labels = components(links[0])
-    for k in range(PIVOT_ROUNDS + 1):
-        labelled = members.select("band", "node", "size").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        mixed = labelled.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("band")
-        open_ = stored(labelled.join(mixed, "band", "left_semi"), "open")
-        if open_.isEmpty():
-            break
-        largest = open_.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node", "size")).alias("pivot")).groupBy("band").agg(F.max(F.struct("n", "label", "pivot")).alias("top"))
-        others = open_.join(largest, "band").where("label != top.label")
-        if k < PIVOT_ROUNDS:
-            pairs = others.select(F.col("node").alias("a"), F.col("size"), F.col("top.pivot.node").alias("b"), F.col("top.pivot.size").alias("other"))
-        else:
-            pairs = others.select("band", F.col("node").alias("a"), "size", "label").join(open_.select("band", F.col("node").alias("b"), F.col("size").alias("other"), F.col("label").alias("met")), "band").where("label != met")
-        pairs = pairs.where(worth(F.col("size"), F.col("other"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        for old in compared:
-            pairs = pairs.join(old.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        compared.append(pairs)
-        if pairs.isEmpty():
-            continue
-        found = verified(pairs, texts)
-        if not found.isEmpty():
-            links.append(found)
-            every = links[0]
-            for more in links[1:]:
-                every = every.union(more)
-            labels = components(every)
+    labelled = members.select("band", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    mixed = labelled.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("band")
+    open_ = stored(labelled.join(mixed, "band", "left_semi"), "open")
+    if not open_.isEmpty():
+        largest = open_.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("band").agg(F.max(F.struct("n", "label")).alias("top"))
+        asks = open_.join(largest, "band").groupBy("node").agg(F.max("label").alias("label"), F.max(F.col("label") != F.col("top.label")).alias("asks"))
+        left = prefix_pairs(stored(asks.join(texts, "node"), "open-texts"))
+        done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        left = stored(left.join(done, ["a", "b"], "left_anti"), "pairs")
+        if not left.isEmpty():
+            found = verified(left, texts)
+            if not found.isEmpty():
+                labels = components(links[0].union(found))
     named = nodes.select("digest", "node").join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("class_id"))
     out = rows.select("doc_id", "digest").join(named, "digest").select("doc_id", "class_id")
     lost = pick(docs, "doc_id").where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"))
