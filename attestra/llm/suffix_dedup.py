@@ -45,7 +45,9 @@ from .common import arrow_rows, new_path, pick, stored
 
 LENGTH, ANCHOR = 100, 32
 REACH = LENGTH - ANCHOR + 1
-GROUP_BYTES, BUCKET_BYTES, PIECE = 8 << 20, 64 << 20, 1 << 20
+GROUP_BYTES, BUCKET_BYTES, PIECE = 8 << 20, 64 << 20, 1 << 17
+#: Places that fit beside the leading bits of a fingerprint.
+PLACES = 1 << 24
 
 U = np.uint64
 _A, _B = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9)
@@ -62,10 +64,10 @@ _BYTE = _mix(np.arange(1, 257, dtype=np.uint64) * _A)
 
 def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The rank of two ranks, by name."""
-    x = a * _A + b
+    x = a * _A
+    x += b
     x ^= x >> U(29)
     x *= _B
-    x ^= x >> U(32)
     return x
 
 
@@ -87,40 +89,60 @@ class Group:
         self.texts = [texts[i] or b"" for i in order]
         self.size = np.array([len(t) for t in self.texts], np.int64)
         self.begin = np.concatenate([[0], np.cumsum(self.size)])
-        data = np.frombuffer(b"".join(self.texts), np.uint8)
-        n = len(data)
-        self.h = np.empty(max(0, n - ANCHOR + 1), np.uint64)
-        starts, places = [], []
-        for a in range(0, n, PIECE):
-            piece = data[a : a + PIECE + ANCHOR - 1]
-            h = doubled(piece)
-            self.h[a : a + len(h)] = h
-        for a in range(0, n - LENGTH + 1, PIECE):
-            m = self.h[a : a + PIECE + REACH - 1]
-            m = (m & ~U((1 << 24) - 1)) | np.arange(len(m), dtype=np.uint64)
+        n = int(self.begin[-1])
+        self.h = np.empty(n, np.uint64)
+        found = [self._anchors(a, b) for a, b in self._pieces()]
+        doc, first, last, anchor = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in range(4))
+        self.doc, self.first, self.last = doc, first, last
+        self.k = self.h[anchor]
+        # the rank of all covered text: its first and last window, and how they lie
+        shape = ((last - first) * 128 + anchor - first).astype(np.uint64)
+        self.x = _mix(pair(self.window(first), self.window(last)) + shape * _A)
+
+    def _pieces(self) -> list[tuple[int, int]]:
+        """Ranges of whole documents of about ``PIECE`` bytes."""
+        out, a = [], 0
+        for b in range(1, len(self.texts) + 1):
+            if self.begin[b] - self.begin[a] >= PIECE or b == len(self.texts):
+                out.append((a, b))
+                a = b
+        return out
+
+    def _anchors(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ranks of the documents a to b, and their anchors: document, first
+        and last window, and place of the anchor."""
+        low = int(self.begin[a])
+        h = doubled(np.frombuffer(b"".join(self.texts[a:b]), np.uint8))
+        self.h[low : low + len(h)] = h
+        none = np.zeros(0, np.int64)
+        if len(h) < REACH:
+            return none, none, none, none
+        out = []
+        for c in range(0, len(h) - REACH + 1, PLACES - REACH):
+            m = (h[c : c + PLACES - 1] & ~U(PLACES - 1)) | np.arange(min(PLACES - 1, len(h) - c), dtype=np.uint64)
             width = 1
             while width * 2 <= REACH:
                 m = np.minimum(m[:-width], m[width:])
                 width *= 2
             m = np.minimum(m[: len(m) - (REACH - width)], m[REACH - width :])
-            q = (m & U((1 << 24) - 1)).astype(np.int64) + a
-            starts.append(np.arange(a, a + len(q)))
-            places.append(q)
-        p = np.concatenate(starts) if starts else np.zeros(0, np.int64)
-        q = np.concatenate(places) if places else np.zeros(0, np.int64)
-        doc = np.repeat(np.arange(len(self.texts)), self.size)[p] if n else p
-        inside = p + LENGTH <= self.begin[doc + 1] if len(p) else p > 0
-        p, q, doc = p[inside], q[inside], doc[inside]
-        new = np.ones(len(p), bool)
-        new[1:] = (q[1:] != q[:-1]) | (doc[1:] != doc[:-1])
-        at = np.flatnonzero(new)
-        last = np.concatenate([at[1:], [len(p)]])[: len(at)] - 1
-        self.doc, self.first, self.last = doc[at], p[at], p[last]
-        anchor = q[at]
-        self.k = self.h[anchor]
-        # the rank of all covered text: its first and last window, and how they lie
-        shape = ((self.last - self.first) * 128 + anchor - self.first).astype(np.uint64)
-        self.x = _mix(pair(self.window(self.first), self.window(self.last)) + shape * _A)
+            out.append((m & U(PLACES - 1)).astype(np.int32) + c)
+        q = np.concatenate(out) if len(out) > 1 else out[0]
+        inside = np.zeros(len(q), bool)
+        new = np.empty(len(q), bool)
+        new[0] = True
+        np.not_equal(q[1:], q[:-1], out=new[1:])
+        stop = np.zeros(len(q) + 1, bool)
+        for d in range(a, b):
+            s, e = int(self.begin[d]) - low, int(self.begin[d + 1]) - low - LENGTH + 1
+            if e > s:
+                inside[s:e] = True
+                new[s] = True
+                stop[e] = True
+        at = np.flatnonzero(new & inside)
+        bound = np.flatnonzero(np.concatenate([new, [True]]) | stop)
+        last = bound[np.searchsorted(bound, at, "right")] - 1
+        doc = np.searchsorted(self.begin, at + low, "right") - 1
+        return doc, at + low, last + low, q[at].astype(np.int64) + low
 
     def window(self, p: np.ndarray) -> np.ndarray:
         """Ranks of the 100 bytes from each position."""
