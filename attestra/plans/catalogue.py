@@ -3,6 +3,9 @@ that gives the same rows."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-FLAGSHIP = "reconciliation"
+from . import relational, scalars  # noqa: F401  (they register their queries)
+from .registry import ORACLES, QUERIES
+
+FLAGSHIP = "rep01_reconciliation"
+
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
