@@ -3,7 +3,7 @@ that gives the same rows."""
 
 from __future__ import annotations
 
-from . import relational, scalars  # noqa: F401  (they register their queries)
+from . import relational, rule_queries, scalars  # noqa: F401  (they register their queries)
 from .registry import ORACLES, QUERIES
 
 FLAGSHIP = "rep01_reconciliation"
