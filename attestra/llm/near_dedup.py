@@ -22,8 +22,8 @@ many count follows from both sizes (rows are keyed by shingle and size class),
 which leaves out the shingles that a whole group has in common, so that copies
 of one source which are too different from each other don't meet in pairs.
 
-A text pair of similarity 0.8 shares no band with probability 3e-6 (24 bands of
-4 registers).
+A text pair of similarity 0.8 shares no band with probability 3e-6 (32 bands of
+5 registers).
 
 Defined results: equal texts form one node before anything else; texts of fewer
 words than a shingle are one shingle; texts without words match only equal
@@ -48,12 +48,12 @@ from .components import components
 from .decontaminate import words
 
 SHINGLE, SIMILARITY = 5, 0.8
-BANDS, WIDTH = 24, 4
+BANDS, WIDTH = 32, 5
 REGISTERS = BANDS * WIDTH
 #: Ratio of the sizes that bound a size class.
 CLASS_STEP = 1.03
-#: Texts, and characters of each, whose shingle counts set the order of shingles.
-ORDER_TEXTS, ORDER_CHARS = 8000, 20_000
+#: Slots of the table of shingle frequencies, and the parts it travels in.
+SLOTS, SLOT_BLOCKS = 1 << 22, 256
 
 U = np.uint64
 
@@ -165,7 +165,7 @@ def sketch(docs: DataFrame) -> DataFrame:
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose texts are similar enough.  b is the pivot: rows
     of one pivot come together, so its shingles are counted once."""
-    left = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+    left = pairs.hint("merge").join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").hint("merge")
     rows = left.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,62 +204,78 @@ def first_places(size: int, other: np.ndarray | float) -> np.ndarray:
     return np.maximum(size - overlap + 1, 0).astype(np.int64)
 
 
-def frequent_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles and counts in a bounded sample of texts.  They only set the
-    order in which shingles are taken, so any sample gives the same pairs."""
-    rows = texts.select("text").orderBy(F.xxhash64("node")).limit(ORDER_TEXTS).toLocalIterator()
-    parts, held = [], []
-    for r in rows:
-        held.append(r["text"][:ORDER_CHARS])
-        if len(held) == 500:
-            parts.append(shingle_counts(held)[1])
-            held = []
-    parts.append(shingle_counts(held)[1])
-    shingle, n = np.unique(np.concatenate(parts), return_counts=True)
-    return shingle[n > 1], n[n > 1]
+def shingle_frequencies(texts: DataFrame) -> np.ndarray:
+    """How many texts hold a shingle, in a table of fixed size.  Shingles that
+    share a slot only count too high: counts order the shingles (any order
+    gives the same pairs), and a count of one proves that no other text has it."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slots = np.zeros(SLOTS, np.uint32)
+        for b in batches:
+            _, shingle, _ = shingle_counts(b.column(0).to_pylist())
+            np.add.at(slots, slot(shingle), np.uint32(1))
+        for k, part in enumerate(slots.reshape(SLOT_BLOCKS, -1)):
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.minimum(part, 65535).astype(np.uint16).tobytes()], pa.binary())], ["block", "counts"])
+
+    def total(table: pa.Table) -> pa.Table:
+        parts = [np.frombuffer(x, np.uint16).astype(np.uint32) for x in table.column("counts").to_pylist()]
+        return pa.table({"block": table.column("block").slice(0, 1), "counts": pa.array([np.minimum(sum(parts), 65535).astype(np.uint16).tobytes()], pa.binary())})
+
+    out = np.zeros((SLOT_BLOCKS, SLOTS // SLOT_BLOCKS), np.uint16)
+    counted = texts.select("text").coalesce(64).mapInArrow(count, "block int, counts binary").groupBy("block").applyInArrow(total, "block int, counts binary")
+    for r in counted.collect():
+        out[r["block"]] = np.frombuffer(r["counts"], np.uint16)
+    return out.ravel()
+
+
+def slot(shingle: np.ndarray) -> np.ndarray:
+    return (shingle & U(SLOTS - 1)).astype(np.int64)
 
 
 def prefix_pairs(texts: DataFrame) -> DataFrame:
     """Pairs (a < b) of open texts (node, label, asks, text) with different
     labels, at least one of which asks, that can be similar enough."""
     spark = texts.sparkSession
-    sent = spark.sparkContext.broadcast(frequent_shingles(texts))
+    sent = spark.sparkContext.broadcast(shingle_frequencies(texts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, often = sent.value
+        often = sent.value
         for b in batches:
             of, shingle, n = shingle_counts(b.column(2).to_pylist())
             if not len(of):
                 continue
-            at = np.minimum(np.searchsorted(known, shingle), max(len(known) - 1, 0))
-            rank = np.where(known[at] == shingle, often[at], 0) if len(known) else np.zeros(len(of), np.int64)
+            rank = often[slot(shingle)]
             order = np.lexsort((shingle, rank, of))
-            of, shingle, n = of[order], shingle[order], n[order]
+            of, shingle, n, shared = of[order], shingle[order], n[order], rank[order] > 1
             cut = np.searchsorted(of, np.arange(b.num_rows + 1))
+            keys, asks, places, sources = [], [], [], []
             for i in np.flatnonzero(np.diff(cut)):
                 mine, count = shingle[cut[i] : cut[i + 1]], n[cut[i] : cut[i + 1]]
                 size = int(count.sum())
                 before = np.cumsum(count) - count  # a shingle stands for all its copies
-                own = size_class(size)
-                wide = np.searchsorted(before, first_places(size, SIMILARITY * size))
-                keys, place, ask = [mix(mine[:wide] * U(2) + U(1) ^ mix(np.uint64([own])))], [before[:wide]], [np.zeros(wide, bool)]
+                other = shared[cut[i] : cut[i + 1]]
+                wide = other[: np.searchsorted(before, first_places(size, SIMILARITY * size))].nonzero()[0]
+                takes = [(int(size_class(size)), wide, False)]
                 if b.column(3)[i].as_py():
                     for k in range(int(size_class(max(1.0, SIMILARITY * size * (1 - 1e-9)))), int(size_class(size / SIMILARITY * (1 + 1e-9))) + 1):
                         few = np.searchsorted(before, first_places(size, max(float(class_floor(k)), SIMILARITY * size)))
-                        keys.append(mix(mine[:few] * U(2) + U(1) ^ mix(np.uint64([k]))))
-                        place.append(before[:few])
-                        ask.append(np.ones(few, bool))
-                keys = np.concatenate(keys)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys.view(np.int64)), pa.array(np.concatenate(ask)), pa.array(np.full(len(keys), b.column(0)[i].as_py())), pa.array(np.full(len(keys), b.column(1)[i].as_py())), pa.array(np.full(len(keys), size)), pa.array(np.concatenate(place))],
-                    ["key", "ask", "node", "label", "size", "place"],
-                )
-
-    rows = stored(texts.select("node", "label", "text", "asks").mapInArrow(run, "key bigint, ask boolean, node bigint, label bigint, size bigint, place bigint"), "prefixes")
-    asked = rows.where("ask").select("key", F.col("node").alias("u"), F.col("label").alias("u_label"), F.col("size").alias("u_size"), F.col("place").alias("u_place"))
-    kept = rows.where("not ask").select("key", F.col("node").alias("v"), F.col("label").alias("v_label"), F.col("size").alias("v_size"), F.col("place").alias("v_place"))
-    overlap = F.ceil(F.lit(SIMILARITY / (1 + SIMILARITY)) * (F.col("u_size") + F.col("v_size")) - 1e-6)
-    able = (asked["key"] == kept["key"]) & (F.col("u_label") != F.col("v_label")) & (F.col("u_place") <= F.col("u_size") - overlap) & (F.col("v_place") <= F.col("v_size") - overlap)
+                        takes.append((k, wide[: np.searchsorted(wide, few)], True))
+                keys.append(np.concatenate([mix(mine[w] * U(2) + U(1) ^ mix(np.uint64([k]))) for k, w, _ in takes]))
+                asks.append(np.concatenate([np.full(len(w), ask) for _, w, ask in takes]))
+                places.append(np.concatenate([before[w] for _, w, _ in takes]) + (size << 32))
+                sources.append(np.full(len(keys[-1]), i))
+            if keys:
+                source = pa.array(np.concatenate(sources))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(asks)), b.column(0).take(source), b.column(1).take(source), pa.array(np.concatenate(places))], ["key", "ask", "node", "label", "place"])
+
+    rows = stored(texts.select("node", "label", "text", "asks").mapInArrow(run, "key bigint, ask boolean, node bigint, label bigint, place bigint"), "prefixes")
+    asked = rows.where("ask").select("key", F.col("node").alias("u"), F.col("label").alias("u_label"), F.col("place").alias("u_at"))
+    kept = rows.where("not ask").select("key", F.col("node").alias("v"), F.col("label").alias("v_label"), F.col("place").alias("v_at"))
+    u_size, v_size = F.shiftright("u_at", 32), F.shiftright("v_at", 32)
+    overlap = F.ceil(F.lit(SIMILARITY / (1 + SIMILARITY)) * (u_size + v_size) - 1e-6)
+    low = F.lit((1 << 32) - 1)
+    able = (asked["key"] == kept["key"]) & (F.col("u_label") != F.col("v_label")) & (F.col("u_at").bitwiseAND(low) <= u_size - overlap) & (F.col("v_at").bitwiseAND(low) <= v_size - overlap)
     return asked.join(kept, able).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
 
 
@@ -278,7 +294,7 @@ def classes(docs: DataFrame) -> DataFrame:
     def worth(size_a, size_b):
         return F.least(size_a, size_b) >= SIMILARITY * F.greatest(size_a, size_b)
 
-    wanted = members.select(F.col("node").alias("id")).distinct()
+    wanted = members.select(F.col("node").alias("id")).distinct().hint("merge")  # the same plan at every size
     texts = pick(docs, "doc_id", "text").join(wanted, F.col("doc_id") == F.col("id"), "left_semi").dropDuplicates(["doc_id"])
     texts = stored(texts.select(F.col("doc_id").alias("node"), F.coalesce("text", F.lit("")).alias("text")), "texts")
     pairs = stored(members.where((F.col("node") != F.col("pivot.node")) & worth(F.col("size"), F.col("pivot.size"))).select(F.col("node").alias("a"), F.col("pivot.node").alias("b")).distinct(), "pairs")
@@ -290,7 +306,7 @@ def classes(docs: DataFrame) -> DataFrame:
     if not open_.isEmpty():
         largest = open_.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("band").agg(F.max(F.struct("n", "label")).alias("top"))
         asks = open_.join(largest, "band").groupBy("node").agg(F.max("label").alias("label"), F.max(F.col("label") != F.col("top.label")).alias("asks"))
-        left = prefix_pairs(stored(asks.join(texts, "node"), "open-texts"))
+        left = prefix_pairs(stored(asks.hint("merge").join(texts, "node"), "open-texts"))
         done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         left = stored(left.join(done, ["a", "b"], "left_anti"), "pairs")
         if not left.isEmpty():
