@@ -45,7 +45,7 @@ from .common import arrow_rows, new_path, pick, stored
 
 LENGTH, ANCHOR = 100, 32
 REACH = LENGTH - ANCHOR + 1
-GROUP_BYTES, BUCKET_BYTES, PIECE = 8 << 20, 64 << 20, 1 << 17
+GROUP_BYTES, BUCKET_BYTES, PIECE = 4 << 20, 64 << 20, 1 << 17
 #: Places that fit beside the leading bits of a fingerprint.
 PLACES = 1 << 24
 
@@ -62,6 +62,23 @@ def _mix(x: np.ndarray) -> np.ndarray:
 _BYTE = _mix(np.arange(1, 257, dtype=np.uint64) * _A)
 
 
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays of numbers, all first bytes together, then all second ones, and
+    so on: sorted ranks and small numbers then compress well."""
+    raw = b"".join(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes() for a in arrays)
+    return pa.Codec("zstd", compression_level=1).compress(raw, asbytes=True)
+
+
+def unpack(blob: bytes, n: int, *kinds: type) -> list[np.ndarray]:
+    sizes = [np.dtype(k).itemsize for k in kinds]
+    raw = np.frombuffer(pa.Codec("zstd").decompress(blob, decompressed_size=n * sum(sizes), asbytes=True), np.uint8)
+    out, at = [], 0
+    for kind, size in zip(kinds, sizes, strict=True):
+        out.append(np.ascontiguousarray(raw[at : at + n * size].reshape(size, n).T).view(kind).ravel())
+        at += n * size
+    return out
+
+
 def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The rank of two ranks, by name."""
     x = a * _A
@@ -174,11 +191,12 @@ class Group:
         to = ((k >> U(32)) * U(buckets) >> U(32)).astype(np.int64)
         cut = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])) if len(to) else np.zeros(0, np.int64)
         end = np.concatenate([cut[1:], [len(to)]]).astype(np.int64)
-        blobs = [k[a:b].tobytes() + x[a:b].tobytes() + mine[a:b].tobytes() + start[a:b].astype(np.int32).tobytes() for a, b in zip(cut, end, strict=False)]
-        return pa.table({"bucket": pa.array(to[cut], pa.int32()), "g": pa.array([g] * len(cut), pa.int32()), "begin": pa.array(cut, pa.int64()), "blob": pa.array(blobs, pa.binary())})
+        start = start.astype(np.int32)
+        blobs = [pack(k[a:b], x[a:b], mine[a:b], start[a:b]) for a, b in zip(cut, end, strict=False)]
+        return pa.table({"bucket": pa.array(to[cut], pa.int32()), "g": pa.array([g] * len(cut), pa.int32()), "begin": pa.array(cut, pa.int64()), "n": pa.array(end - cut, pa.int32()), "blob": pa.array(blobs, pa.binary())})
 
 
-MESSAGE = "bucket int, g int, begin bigint, blob binary"
+MESSAGE = "bucket int, g int, begin bigint, n int, blob binary"
 REPLY = "g int, level int, places binary, open boolean"
 
 
@@ -191,12 +209,9 @@ def _answers(level: int):
 
     def run(table: pa.Table) -> pa.Table:
         k, x, d, s, g, place = [], [], [], [], [], []
-        for i, (source, begin, blob) in enumerate(zip(table.column("g").to_pylist(), table.column("begin").to_pylist(), table.column("blob").to_pylist(), strict=True)):
-            n = len(blob) // 28
-            k.append(np.frombuffer(blob, np.uint64, n))
-            x.append(np.frombuffer(blob, np.uint64, n, 8 * n))
-            d.append(np.frombuffer(blob, np.int64, n, 16 * n))
-            s.append(np.frombuffer(blob, np.int32, n, 24 * n))
+        for source, begin, n, blob in zip(*(table.column(c).to_pylist() for c in ("g", "begin", "n", "blob")), strict=True):
+            for held, part in zip((k, x, d, s), unpack(blob, n, np.uint64, np.uint64, np.int64, np.int32), strict=True):
+                held.append(part)
             g.append(np.full(n, source, np.int32))
             place.append(np.arange(begin, begin + n))
         k, x, d, s, g, place = (np.concatenate(v) for v in (k, x, d, s, g, place))
@@ -260,7 +275,7 @@ class Windows:
 def _second_messages(buckets: int):
     def run(table: pa.Table, replies: pa.Table) -> pa.Table:
         if not table.num_rows or not replies.num_rows:
-            return pa.table({"bucket": pa.array([], pa.int32()), "g": pa.array([], pa.int32()), "begin": pa.array([], pa.int64()), "blob": pa.array([], pa.binary())})
+            return pa.table({"bucket": pa.array([], pa.int32()), "g": pa.array([], pa.int32()), "begin": pa.array([], pa.int64()), "n": pa.array([], pa.int32()), "blob": pa.array([], pa.binary())})
         g, group = _group(table)
         first, _, _ = group.representatives(group.k, group.x, group.doc, group.first)
         w = Windows(group, first, _told(replies, 0, True))
@@ -324,7 +339,7 @@ def dedup(docs: DataFrame, keep_bytes: bool = False, group_bytes: int = GROUP_BY
     buckets = max(1, min(groups, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))))
     name = f"attestra_{uuid.uuid4().hex}"
     grouped = rows.where("doc_id is not null").withColumn("g", F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int"))
-    grouped.repartition(buckets, "g").write.bucketBy(buckets, "g").option("path", new_path(spark, "texts")).saveAsTable(name)
+    grouped.repartition(buckets, "g").write.bucketBy(buckets, "g").option("compression", "zstd").option("path", new_path(spark, "texts")).saveAsTable(name)
     texts = spark.table(name)
     _release(docs)
     first = texts.groupBy("g").applyInArrow(_first_messages(groups), MESSAGE)
