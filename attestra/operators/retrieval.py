@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import numbers, text
 from .relational import top
@@ -46,7 +47,7 @@ def embedded(df: DataFrame, key: str, words: Column, width: int = WIDTH) -> Data
 def with_embeddings(pending: DataFrame, text_col: str, embed: Callable[[list[str]], list[list[float]]], width: int, batch: int = 64) -> DataFrame:
     """Embeddings of an outside model, asked for in batches; each answer is
     checked for number, width and finite values."""
-    schema = pending.schema.add("embedding", "array<double>")
+    schema = T.StructType([*pending.schema.fields, T.StructField("embedding", T.ArrayType(T.DoubleType()))])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
