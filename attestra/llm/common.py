@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,22 @@ from pyspark.sql import functions as F
 ARROW_ROWS = 512
 
 
+#: What empties the tables that an operator keeps in a worker process.
+_WORKER_TABLES: dict[str, Callable[[], None]] = {}
+
+
+def worker_tables(owner: str, empty: Callable[[], None]) -> None:
+    _WORKER_TABLES[owner] = empty
+
+
+def take_worker(owner: str) -> None:
+    """Worker processes are used again by later stages: whoever starts in one
+    empties the tables of the others, so that they don't add up."""
+    for name, empty in _WORKER_TABLES.items():
+        if name != owner:
+            empty()
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder named in ``spark.checkpoint.dir``; a temporary one is set
     only where none is named, as in tests on one machine."""

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_rows, pick
+from .common import arrow_rows, pick, take_worker
 
 WINDOW, BLOCK_BYTES = 10, 16 << 20
 
@@ -143,6 +143,7 @@ def annotate(docs: DataFrame, bench: DataFrame, window: int = WINDOW, block_byte
         sent = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent, again=k > 0) -> Iterator[pa.RecordBatch]:
+            take_worker("decontaminate")
             for b in batches:
                 n, spans, items = [], [], []
                 for i, (size, s, found) in enumerate(search(b.column(at).to_pylist(), sent.value)):

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_rows, pick, stored
+from .common import arrow_rows, pick, stored, take_worker
 
 LINE_WORDS, BLOCK_WORDS = 5, 10
 
@@ -118,6 +118,7 @@ def lined(docs: DataFrame) -> DataFrame:
     arrow_rows(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_worker("lines")
         for b in batches:
             texts = [t or "" for t in b.column(1).to_pylist()]
             each = [line_hashes(t) for t in texts]
@@ -144,6 +145,7 @@ def deletions(docs: DataFrame) -> DataFrame:
     both = pairs.join(earlier, "first").join(texts, "doc_id").select("doc_id", "digest", "first_hashes", "hashes", "words")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_worker("lines")
         for b in batches:
             gone = [common_blocks(x, y, w) for x, y, w in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)]
             keep = pa.array([bool(g) for g in gone], pa.bool_())
@@ -164,6 +166,7 @@ def annotated(docs: DataFrame) -> DataFrame:
     at, width = docs.columns.index("text"), len(docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_worker("lines")
         for b in batches:
             kept, before, removed = [], [], []
             for text, copy, lost in zip(b.column(at).to_pylist(), b.column(width).to_pylist(), b.column(width + 1).to_pylist(), strict=True):

@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, pick, stored
+from .common import arrow_rows, pick, stored, take_worker
 from .components import components
 from .decontaminate import words
 
@@ -149,9 +149,10 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 def sketch(docs: DataFrame) -> DataFrame:
     """(doc_id, digest, size, bands) of every row with an id."""
-    arrow_rows(docs.sparkSession, 1024)
+    arrow_rows(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_worker("near")
         for b in batches:
             texts = b.column(1).to_pylist()
             registers, sizes = signatures(texts)
@@ -169,6 +170,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     rows = left.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_worker("near")
         pivot, counts = None, None
         for batch in batches:
             a, b = batch.column(0), batch.column(1).to_pylist()
@@ -240,6 +242,7 @@ def prefix_pairs(texts: DataFrame) -> DataFrame:
     sent = spark.sparkContext.broadcast(shingle_frequencies(texts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_worker("near")
         often = sent.value
         for b in batches:
             of, shingle, n = shingle_counts(b.column(2).to_pylist())

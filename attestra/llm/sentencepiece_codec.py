@@ -32,11 +32,11 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import arrow_rows, pick
+from .common import arrow_rows, pick, take_worker, worker_tables
 
 SPACE = "▁"
 #: Entries of the word and pair tables of one worker before they are emptied.
-CACHE_WORDS, CACHE_PAIRS, CACHE_LENGTH = 250_000, 500_000, 40
+CACHE_WORDS, CACHE_PAIRS, CACHE_LENGTH = 140_000, 250_000, 40
 
 SCHEMA = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
@@ -93,8 +93,8 @@ class Codec:
             self.automaton.add_word(p, p)
         self.automaton.make_automaton()
         self.compatible: dict[tuple[str, str], bool] = {}
-        self.words: dict[str, tuple[str, int, str]] = {}
-        self.older: dict[str, tuple[str, int, str]] = {}
+        self.words: dict[str, tuple] = {}
+        self.older: dict[str, tuple] = {}
         self.shown = {p: (str(i), self.surface[i]) for p, i in self.piece_id.items()}
 
     def merge(self, text: str) -> list[str]:
@@ -186,9 +186,14 @@ class Codec:
             parts.append(held.decode("utf-8", "replace"))
         return "".join(parts)
 
-    def word(self, chunk: str) -> tuple[str, int, str]:
-        """(ids as text, their number, decoded text) of a chunk that no piece
-        crosses.  Words used since the table was last full are kept."""
+    def empty(self) -> None:
+        self.words, self.older = {}, {}
+        self.compatible.clear()
+
+    def word(self, chunk: str) -> tuple:
+        """(ids as text, their number) of a chunk that no piece crosses; the
+        decoded text follows if decoding doesn't give the chunk itself.
+        Words used since the table was last full are kept."""
         found = self.older.get(chunk)
         if found is None:
             tokens = self.tokens(chunk)
@@ -198,24 +203,28 @@ class Codec:
             except KeyError:  # characters that are spelled in bytes
                 ids = self.ids(tokens)
                 found = (" ".join(map(str, ids)), len(ids), self.surfaces(ids))
+            if found[2] == chunk.replace(SPACE, " "):
+                found = found[:2]
         if len(chunk) <= CACHE_LENGTH:
             if len(self.words) >= CACHE_WORDS:
                 self.older, self.words = self.words, {}
             self.words[chunk] = found
         return found
 
-    def chunks(self, text: str) -> list[tuple[str, int, str]]:
+    def chunks(self, text: str) -> tuple[list[str], list[tuple]]:
+        """The chunks of a text and what is known of each."""
         if not text:
-            return []
+            return [], []
         norm = text.replace(" ", SPACE)
         if self.dummy_prefix:
             norm = SPACE + norm
         get, word = self.words.get, self.word
-        return [get(c) or word(c) for c in self.cut.findall(norm)]
+        cut = self.cut.findall(norm)
+        return cut, [get(c) or word(c) for c in cut]
 
     def encode(self, text: str | None) -> list[int]:
         """All ids of a text with the end id."""
-        return [int(i) for c in self.chunks(text or "") for i in c[0].split()] + [self.eos]
+        return [int(i) for c in self.chunks(text or "")[1] for i in c[0].split()] + [self.eos]
 
     def decode(self, ids: list[int]) -> str:
         text = self.surfaces(ids)
@@ -223,9 +232,9 @@ class Codec:
 
     def digest(self, text: str | None) -> tuple[int, str, str]:
         """(number of ids, SHA-256 of the ids as text, SHA-256 of the decoded text)."""
-        chunks = self.chunks(text or "")
+        cut, chunks = self.chunks(text or "")
         ids = " ".join([*[c[0] for c in chunks], str(self.eos)])
-        decoded = "".join([c[2] for c in chunks])
+        decoded = "".join([c if len(x) == 2 else x[2] for c, x in zip(cut, chunks, strict=True)]).replace(SPACE, " ")
         if self.dummy_prefix and decoded.startswith(" "):
             decoded = decoded[1:]
         return sum([c[1] for c in chunks]) + 1, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
@@ -237,6 +246,7 @@ def encode_ids(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: st
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_worker("sentencepiece")
         codec = Codec.of(model)
         for b in batches:
             ids = [codec.encode(t) for t in b.column(1).to_pylist()]
@@ -250,6 +260,7 @@ def token_digests(docs: DataFrame, model: str) -> DataFrame:
     arrow_rows(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_worker("sentencepiece")
         codec = Codec.of(model)
         for b in batches:
             rows = [codec.digest(t) for t in b.column(1).to_pylist()]
@@ -257,3 +268,11 @@ def token_digests(docs: DataFrame, model: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return pick(docs, "doc_id", "text").mapInArrow(run, SCHEMA)
+
+
+def _empty_tables() -> None:
+    for codec in Codec._open.values():
+        codec.empty()
+
+
+worker_tables("sentencepiece", _empty_tables)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, pick, stored
+from .common import arrow_rows, pick, stored, take_worker
 
 TOXIC_ROWS, CLEAN_ROWS = 2500, 3500
 LEXICONS, TERMS, FEATURES = 32, 512, 3000
@@ -47,7 +47,7 @@ PATTERNS = (
     r"(?:\b\w+\b)(?: \w+){0,3} (?:idiot|moron|scum|loser)s?\b",
     r"\?!|!\?",
 )
-CACHE = 300_000
+CACHE = 100_000
 
 WORD = re.compile(r"\w+")
 
@@ -155,6 +155,7 @@ def vote_patterns(docs: DataFrame, labels: DataFrame, voters: Voters) -> DataFra
     sent = docs.sparkSession.sparkContext.broadcast(voters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_worker("toxicity")
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([sent.value.mask(t) for t in b.column(1).to_pylist()], pa.int64())], ["doc_id", "mask"])
 
@@ -289,6 +290,7 @@ def score_with(docs: DataFrame, classifier: Classifier) -> DataFrame:
     schema = T.StructType([*docs.schema.fields, T.StructField("toxic_score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_worker("toxicity")
         for b in batches:
             scores = [sent.value.score(t) for t in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], schema.names)
