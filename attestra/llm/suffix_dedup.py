@@ -111,7 +111,7 @@ class Group:
         found = [self._anchors(a, b) for a, b in self._pieces()]
         doc, first, last, anchor = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in range(4))
         self.doc, self.first, self.last = doc, first, last
-        self.k = self.h[anchor]
+        self.k = _mix(self.h[anchor])  # anchors have small fingerprints; buckets need even ones
         # the rank of all covered text: its first and last window, and how they lie
         shape = ((last - first) * 128 + anchor - first).astype(np.uint64)
         self.x = _mix(pair(self.window(first), self.window(last)) + shape * _A)
