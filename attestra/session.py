@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
+import tempfile
 from collections.abc import Mapping
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -23,3 +26,20 @@ def session(master: str | None = None, settings: Mapping[str, str] | None = None
     for key, value in {**SETTINGS, **(settings or {})}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the executors, once for each application, so that
+    Python workers find it wherever they run."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        package = Path(__file__).resolve().parent
+        out = tempfile.mkdtemp(prefix="attestra-ship-")
+        copy = Path(out) / "source" / package.name
+        shutil.copytree(package, copy, ignore=shutil.ignore_patterns("__pycache__"))
+        spark.sparkContext.addPyFile(shutil.make_archive(f"{out}/{package.name}", "zip", copy.parent))
+        _shipped.add(app)
+    return spark
