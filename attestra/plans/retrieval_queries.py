@@ -252,3 +252,23 @@ def _(t):
     e = F.col("event_id")
     m = R.margin({"a": (e % 10).cast("double") / 10, "b": (e % 7).cast("double") / 10 + 0.01})
     return t.events.select("event_id", m.alias("m")).select("event_id", "m.kind", F.round("m.confidence", 6).alias("confidence"))
+
+
+@query("ext04_typed_candidates", """
+SELECT o_orderkey, 'invoice.total_eur' AS field_path, o_totalprice::DECIMAL(14,2)::DOUBLE AS number, NULL::DATE AS day FROM orders WHERE o_orderkey % 4 <> 0
+UNION ALL SELECT o_orderkey, 'invoice.issue_date', NULL, o_orderdate::DATE FROM orders WHERE o_orderkey % 3 <> 0
+UNION ALL SELECT o_orderkey, 'invoice.number', NULL, NULL FROM orders""")
+def _(t):
+    k = F.col("o_orderkey")
+    amount = F.when(k % 4 == 0, "n/d").otherwise(X.spanish_amount(F.col("o_totalprice").cast("decimal(14,2)")))
+    day = F.when(k % 3 == 0, "2025-02-30").otherwise(F.date_format("o_orderdate", "d/M/yyyy"))
+    fields = F.array(*[F.struct(F.lit(p).alias("field_path"), v.alias("value_text")) for p, v in (("invoice.total_eur", amount), ("invoice.issue_date", day), ("invoice.number", F.lit("F-1")))])
+    rows = E.typed(t.orders.select("o_orderkey", F.inline(fields)))
+    return rows.select("o_orderkey", "field_path", F.col("value_number").cast("double").alias("number"), F.col("value_date").alias("day"))
+
+
+@query("win07_ordinals_without_gaps", "SELECT doc_id AS document_id, true AS dense FROM documents WHERE trim(text, ' ' || chr(10)) <> ''")
+def _(t):
+    pages = t.documents.select(F.col("doc_id").alias("document_id"), F.lit(1).alias("page"), "text")
+    c = E.paragraph_chunks(pages, blank=r"\n")
+    return c.groupBy("document_id").agg(((F.min("ordinal") == 0) & (F.max("ordinal") + 1 == F.count("*")) & (F.count_distinct("ordinal") == F.count("*"))).alias("dense"))

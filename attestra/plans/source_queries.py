@@ -33,3 +33,35 @@ def _(t):
 @query("xml01_headings", "SELECT page_id, trim(regexp_replace(replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '&amp;', '&'), '\\s+', ' ', 'g')) AS heading FROM pages")
 def _(t):
     return pages.page_fields(t.pages, "page_id", "html", {"h1": ("h1", True)}).select("page_id", F.col("value").alias("heading"))
+
+
+@query("src01_upload_ceiling", "SELECT doc_id, strlen(text)::BIGINT AS size, CASE WHEN strlen(text) > 5000 THEN 'UNSUPPORTED' ELSE 'RECEIVED' END AS status FROM documents")
+def _(t):
+    size = F.octet_length("text").cast("long")
+    return t.documents.select("doc_id", size.alias("size"), F.when(size > 5000, "UNSUPPORTED").otherwise("RECEIVED").alias("status"))
+
+
+@query("src02_directory_scan")
+def _(t):
+    found = files.read_files(t.spark, t.sf_dir, "*.parquet")
+    return found.select(F.regexp_extract("path", "([^/]+)$", 1).alias("file"), F.col("length").alias("size"))
+
+
+@query("src14_store_captures", "SELECT sha256(html) AS digest, min(page_id) AS document, strlen(any_value(html))::BIGINT AS size FROM pages WHERE sha256(html) NOT IN (SELECT sha256(html) FROM pages WHERE page_id % 3 = 0) GROUP BY 1")
+def _(t):
+    new = t.pages.select("page_id", F.sha2("html", 256).alias("digest"), F.octet_length("html").cast("long").alias("size"))
+    stored = new.where("page_id % 3 = 0").select("digest")
+    return new.join(stored, "digest", "left_anti").groupBy("digest").agg(F.min("page_id").alias("document"), F.first("size").alias("size"))
+
+
+@query("ext06_call_page_fields", """
+SELECT n_nationkey AS page_id, 'call.code' AS field_path, 'C-' || n_name AS value, NULL::DATE AS day, NULL::DOUBLE AS number FROM nation
+UNION ALL SELECT n_nationkey, 'call.eligible_from', '2025-01-0' || (1 + n_regionkey), ('2025-01-0' || (1 + n_regionkey))::DATE, NULL FROM nation
+UNION ALL SELECT n_nationkey, 'call.max_funding_eur', '400.000,00 EUR', NULL, 400000.0 FROM nation""")
+def _(t):
+    from ..functions import dates, numbers
+
+    html = F.concat(F.lit('<dl><dd data-field="call-code">C-'), "n_name", F.lit('</dd><dd data-field="eligible-from">2025-01-0'), (F.col("n_regionkey") + 1).cast("string"), F.lit('</dd><dd data-field="max-funding">400.000,00 EUR</dd></dl>'))
+    rows = pages.page_fields(t.nation.select(F.col("n_nationkey").alias("page_id"), html.alias("html")), "page_id", "html").where("value is not null")
+    path, value = F.col("field_path"), F.col("value")
+    return rows.select("page_id", "field_path", "value", F.when(path.contains("eligible"), dates.parse_date(value)).alias("day"), F.when(path.endswith("_eur"), numbers.parse_amount(value)).cast("double").alias("number"))

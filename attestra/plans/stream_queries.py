@@ -8,7 +8,9 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..streaming import streams as S
+from ..operators import relational as R
 from .registry import query
+from .relational import UPSERT_SQL
 
 
 def _checkpoint(t) -> str:
@@ -60,3 +62,18 @@ s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS U
 SELECT user_id, count(*) AS actions, min(ts) AS start FROM s GROUP BY user_id, k""")
 def _(t):
     return _run(t, S.review_sessions(_stream(t, "events"), "ts", "user_id")).drop("end")
+
+
+@query("strs7_finding_upsert", UPSERT_SQL)
+def _(t):
+    """The upsert applied to each micro-batch; one file is one batch."""
+    k = F.col("o_orderkey")
+    status = F.when(k % 4 == 0, "ACCEPTED").when(k % 4 == 1, "RESOLVED").when(k % 7 == 2, "DISMISSED").otherwise("OPEN")
+    existing = t.orders.where(k % 3 != 0).select(k.alias("k"), status.alias("status"))
+    out = _checkpoint(t)
+
+    def apply(batch, number):
+        R.upsert(batch, existing, "k").write.mode("overwrite").parquet(f"{out}/snapshots/{number}")
+
+    S.upsert_batches(_stream(t, "orders").where("o_totalprice > 150000").select(k.alias("k")), apply, f"{out}/checkpoint").awaitTermination()
+    return t.spark.read.schema("k bigint, before string, after string, action string").parquet(f"{out}/snapshots/*")

@@ -58,3 +58,10 @@ def test_replay_changes_nothing_and_keeps_human_decisions(spark):
     decided = stored.withColumn("status", stored["status"].substr(1, 0)).selectExpr("fingerprint", "'DISMISSED' as status")
     gone = R.upsert(produced.where("false"), decided, "fingerprint")
     assert {r["after"] for r in gone.select("after").distinct().collect()} == {"DISMISSED"}
+
+
+def test_fixture_dossiers_have_exactly_the_expected_rules(spark):
+    from attestra import fixtures
+
+    found = rules.evaluate(fixtures.context(spark)).select("dossier_id", "rule_id").distinct().collect()
+    assert {d: {r["rule_id"] for r in found if r["dossier_id"] == d} for d in fixtures.EXPECTED} == fixtures.EXPECTED
