@@ -23,7 +23,6 @@ kept where documents are filtered.
 
 from __future__ import annotations
 
-import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -181,7 +180,3 @@ def contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> Da
 def decontaminate(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of ``docs``, with all their columns, in which nothing was found."""
     return annotate(docs, bench, window).where(F.size("found_spans") == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
-
-
-def sha256_of_items(items: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
