@@ -79,3 +79,23 @@ def pick(df: DataFrame, *columns: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Keys that hold more than one of this many parts of all rows are hot, so there
+#: are at most so many; the rows of each are dealt to ``SALTS`` places.
+HOT_PARTS, SALTS = 200, 32
+
+
+def hot_keys(counts: DataFrame, key: str, n: str) -> list:
+    """The hot keys of a table of counts: at most ``HOT_PARTS``, at any size."""
+    total = counts.agg(F.sum(n)).first()[0] or 0
+    return [r[0] for r in counts.where(F.col(n) > total / HOT_PARTS).select(key).collect()]
+
+
+def salted_join(rows: DataFrame, one: DataFrame, key: str, hot: list, by: str) -> DataFrame:
+    """``rows`` joined with a table of one row per key; the rows of hot keys are
+    spread by a hash of ``by``, and the hot rows of ``one`` copied to match."""
+    is_hot = F.col(key).isin(hot)
+    dealt = rows.withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).otherwise(0))
+    copied = one.withColumn("_salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    return dealt.join(copied, [key, "_salt"]).drop("_salt")

@@ -4,7 +4,8 @@
    than one text holds links each later text with the line's first holder (the
    smallest id).  Rare lines thus link a few texts, and a frequent line links
    each holder once instead of all holders with each other: links grow with the
-   lines, whatever their frequency, and no line is left out.
+   lines, whatever their frequency, and no line is left out.  The holders of a
+   hot line are spread over many tasks.
 2. Each linked pair is aligned with patience diff: lines that are unique in
    both texts are anchors, the longest chain of anchors in order of both texts
    is kept, equal lines next to anchors extend it, and the gaps are aligned
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_rows, pick, stored, take_worker
+from .common import arrow_rows, hot_keys, pick, salted_join, stored, take_worker
 
 LINE_WORDS, BLOCK_WORDS = 5, 10
 
@@ -139,8 +140,9 @@ def deletions(docs: DataFrame) -> DataFrame:
     texts = stored(rows.join(nodes.withColumnRenamed("node", "doc_id"), ["digest", "doc_id"], "left_semi").dropDuplicates(["doc_id", "digest"]), "texts")
     long = F.array_distinct(F.filter(F.arrays_zip("hashes", "words"), lambda x: x["words"] >= LINE_WORDS)["hashes"])
     lines = texts.select("doc_id", F.explode(long).alias("line"))
-    first = lines.groupBy("line").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("texts")).where("texts > 1").select("line", "first")
-    pairs = stored(lines.join(first, "line").where("first < doc_id").select("first", "doc_id").distinct(), "pairs")
+    first = stored(lines.groupBy("line").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("texts")).where("texts > 1"), "first")
+    held = salted_join(lines, first.drop("texts"), "line", hot_keys(first, "line", "texts"), "doc_id")
+    pairs = stored(held.where("first < doc_id").select("first", "doc_id").distinct(), "pairs")
     earlier = texts.select(F.col("doc_id").alias("first"), F.col("hashes").alias("first_hashes"))
     both = pairs.join(earlier, "first").join(texts, "doc_id").select("doc_id", "digest", "first_hashes", "hashes", "words")
 
