@@ -9,7 +9,9 @@
 2. Each linked pair is aligned with patience diff: lines that are unique in
    both texts are anchors, the longest chain of anchors in order of both texts
    is kept, equal lines next to anchors extend it, and the gaps are aligned
-   again in the same way.
+   again in the same way.  A gap without such lines is split at its heaviest
+   common run (the most words, the first of several), as long as that has
+   ``BLOCK_WORDS`` words; lighter runs of the gap could not be deleted.
 3. Aligned runs of lines that are common to both texts and hold at least
    ``BLOCK_WORDS`` words are deleted from the later text.  Blocks are judged on
    the input, so a line stays in its first holder.
@@ -29,6 +31,7 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -73,8 +76,37 @@ def anchors(a: list[int], b: list[int], a0: int, a1: int, b0: int, b1: int) -> l
     return out[::-1]
 
 
-def align(a: list[int], b: list[int]) -> list[tuple[int, int]]:
-    """Matched positions of two sequences by patience diff, in order."""
+def heaviest_run(a: list[int], b: list[int], weights: list[int], a0: int, a1: int, b0: int, b1: int) -> tuple[int, int, int, int]:
+    """(weight, start in a, start in b, lines) of the heaviest common run of the
+    ranges, the first one of several."""
+    x, y, w = np.array(a[a0:a1], np.int64), np.array(b[b0:b1], np.int64), np.array(weights[b0:b1], np.int64)
+    shared = np.isin(y, x)
+    if not w[shared].any():
+        return 0, a0, b0, 0
+    rows = np.isin(x, y)
+    best, at, ending = 0, (0, 0), np.zeros(b1 - b0 + 1, np.int64)
+    for i in range(a1 - a0):
+        if rows[i]:
+            ending[1:] = np.where(y == x[i], ending[:-1] + w, 0)
+            j = int(ending.argmax())
+            if ending[j] > best:
+                best, at = int(ending[j]), (a0 + i + 1, b0 + j)
+        else:
+            ending[:] = 0
+    i, j = at
+    n = 0
+    while i > a0 and j > b0 and a[i - 1] == b[j - 1]:
+        i, j, n = i - 1, j - 1, n + 1
+    while i + n < a1 and j + n < b1 and a[i + n] == b[j + n]:
+        n += 1
+    return best, i, j, n
+
+
+def align(a: list[int], b: list[int], words: list[int] | None = None, least: int = 1) -> list[tuple[int, int]]:
+    """Matched positions of two sequences by patience diff, in order.  Ranges
+    without unique lines are split at their heaviest common run by the words of
+    ``b`` (each line counts 1 where they are not given), if that has ``least``."""
+    weights = [1] * len(b) if words is None else words
     out: list[tuple[int, int]] = []
     todo = [(0, len(a), 0, len(b))]
     while todo:
@@ -90,6 +122,10 @@ def align(a: list[int], b: list[int]) -> list[tuple[int, int]]:
         i0, j0 = a0, b0
         chain = anchors(a, b, a0, a1, b0, b1)
         if not chain:
+            weight, i, j, n = heaviest_run(a, b, weights, a0, a1, b0, b1)
+            if weight >= least:
+                out += [(i + k, j + k) for k in range(n)]
+                todo += [(a0, i, b0, j), (i + n, a1, j + n, b1)]
             continue
         for i, j in [*chain, (a1, b1)]:
             todo.append((i0, i, j0, j))
@@ -104,7 +140,7 @@ def common_blocks(first: list[int], later: list[int], later_words: list[int]) ->
     out: list[int] = []
     run: list[int] = []
     at = (-2, -2)
-    for i, j in [*align(first, later), (-9, -9)]:
+    for i, j in [*align(first, later, later_words, BLOCK_WORDS), (-9, -9)]:
         if (i, j) != (at[0] + 1, at[1] + 1):
             if sum(later_words[k] for k in run) >= BLOCK_WORDS:
                 out += run

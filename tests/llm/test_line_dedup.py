@@ -68,3 +68,28 @@ def test_driver_table(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     assert sorted(tuple(r) for r in ld.line_report(docs).collect()) == sorted(brute(rows))
+
+
+def test_passages_repeated_in_either_text():
+    p, x = [1, 2, 3], [8]
+    for first, later, gone in (
+        (p + x + p, [20, *p, 21], [1, 2, 3]),
+        (p, [20, *p, 21, *p, 22], [1, 2, 3]),
+        (p + x + p, [20, *p, 21, *p, 22], [1, 2, 3, 5, 6, 7]),
+        ([30, *p, 31, 3, 32, *p], [40, *p, 41], [1, 2, 3]),
+    ):
+        assert ld.common_blocks(first, later, [5] * len(later)) == gone
+        assert ld.common_blocks(first, later, [3] * len(later)) == []
+    assert ld.common_blocks([1] * 3000 + [2], [1] * 2000 + [3], [9] * 2001) == list(range(2000))
+    rnd = random.Random(5)
+    for _ in range(300):
+        a, b = ([rnd.randrange(4) for _ in range(rnd.randrange(25))] for _ in range(2))
+        w = [rnd.randrange(8) for _ in b]
+        m = ld.align(a, b, w, ld.BLOCK_WORDS)
+        assert all(a[i] == b[j] for i, j in m) and all(s[0] < t[0] and s[1] < t[1] for s, t in zip(m, m[1:], strict=False))
+
+
+def test_a_first_holder_that_repeats_a_passage(spark):
+    p = "\n".join(f"line {k} of a passage that stands twice in its first holder" for k in range(3))
+    docs = spark.createDataFrame([(1, f"{p}\nbetween\n{p}"), (2, f"a\n{p}\nb"), (3, f"c\n{p}\nd")], "doc_id long, text string")
+    assert {r["doc_id"]: r["text"] for r in ld.without_common_blocks(docs).collect()} == {1: f"{p}\nbetween\n{p}", 2: "a\nb", 3: "c\nd"}
