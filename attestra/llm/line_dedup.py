@@ -1,11 +1,10 @@
 """Line dedup by pairwise alignment.
 
-1. Every line is hashed.  A line of at least ``LINE_WORDS`` words that more
-   than one text holds links each later text with the line's first holder (the
-   smallest id).  Rare lines thus link a few texts, and a frequent line links
-   each holder once instead of all holders with each other: links grow with the
-   lines, whatever their frequency, and no line is left out.  The holders of a
-   hot line are spread over many tasks.
+1. Lines are hashed, and with them the windows of a text: its shortest runs of
+   lines that hold ``BLOCK_WORDS`` words, among them a line of at least
+   ``LINE_WORDS``.  A window that more than one text holds links each later text
+   with its first holder (the smallest id).  The holders of a hot window are
+   spread over many tasks.
 2. Each linked pair is aligned with patience diff: lines that are unique in
    both texts are anchors, the longest chain of anchors in order of both texts
    is kept, equal lines next to anchors extend it, and the gaps are aligned
@@ -15,6 +14,15 @@
 3. Aligned runs of lines that are common to both texts and hold at least
    ``BLOCK_WORDS`` words are deleted from the later text.  Blocks are judged on
    the input, so a line stays in its first holder.
+4. A later text may keep lines of a window that earlier texts hold (its lines
+   may stand in another order in the first holder).  It is then held against
+   every other earlier holder of that window.  What counts of a holder are the
+   lines that the later text has too, so holders that look the same to it are
+   aligned once.  The result is that of aligning all pairs: each line deleted by
+   any pair is in a window of that pair.
+
+Each pair is aligned once: of a passage that stands more often in the later text
+than in an earlier one, as many copies leave as that alignment matches.
 
 Defined results: of equal texts the one of the smallest id stays, the others
 are one common block and lose all their lines (if they have ``BLOCK_WORDS``
@@ -38,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_rows, hot_keys, pick, salted_join, stored, take_worker
+from .common import SALTS, arrow_rows, hot_keys, pick, salted_join, stored, take_worker
 
 LINE_WORDS, BLOCK_WORDS = 5, 10
 
@@ -150,8 +158,37 @@ def common_blocks(first: list[int], later: list[int], later_words: list[int]) ->
     return out
 
 
+def windows(hashes: list[int], words: list[int]) -> dict[int, list[tuple[int, int]]]:
+    """Places of the shortest runs of ``BLOCK_WORDS`` words from each line
+    onwards and backwards, by hash.  Those inside a block cover it, so a block
+    of two texts has windows that both hold."""
+    n = len(hashes)
+    places = set()
+    ahead = back = 0
+    end = start = 0
+    for k in range(n):
+        while end < n and ahead < BLOCK_WORDS:
+            ahead += words[end]
+            end += 1
+        if ahead >= BLOCK_WORDS:
+            places.add((k, end))
+        ahead -= words[k]
+        back += words[k]
+        while back - words[start] >= BLOCK_WORDS:
+            back -= words[start]
+            start += 1
+        if back >= BLOCK_WORDS:
+            places.add((start, k + 1))
+    out: dict[int, list[tuple[int, int]]] = {}
+    for lo, hi in sorted(places):
+        if max(words[lo:hi]) >= LINE_WORDS:
+            x = xxhash.xxh3_64_intdigest(np.array(hashes[lo:hi], np.int64).tobytes())
+            out.setdefault(x - (1 << 64) if x >> 63 else x, []).append((lo, hi))
+    return out
+
+
 def lined(docs: DataFrame) -> DataFrame:
-    """(doc_id, digest, hashes, words) of every row with an id."""
+    """(doc_id, digest, hashes, words, windows) of every row with an id."""
     arrow_rows(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,11 +197,62 @@ def lined(docs: DataFrame) -> DataFrame:
             texts = [t or "" for t in b.column(1).to_pylist()]
             each = [line_hashes(t) for t in texts]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([hashlib.md5(t.encode()).hexdigest() for t in texts], pa.string()), pa.array([h for h, _ in each], pa.list_(pa.int64())), pa.array([w for _, w in each], pa.list_(pa.int32()))],
-                ["doc_id", "digest", "hashes", "words"],
+                [
+                    b.column(0), pa.array([hashlib.md5(t.encode()).hexdigest() for t in texts], pa.string()), pa.array([h for h, _ in each], pa.list_(pa.int64())), pa.array([w for _, w in each], pa.list_(pa.int32())),
+                    pa.array([list(windows(h, w)) for h, w in each], pa.list_(pa.int64())),
+                ],
+                ["doc_id", "digest", "hashes", "words", "windows"],
             )
 
-    return stored(pick(docs, "doc_id", "text").where("doc_id is not null").mapInArrow(run, "doc_id bigint, digest string, hashes array<bigint>, words array<int>"), "lined")
+    return stored(pick(docs, "doc_id", "text").where("doc_id is not null").mapInArrow(run, "doc_id bigint, digest string, hashes array<bigint>, words array<int>, windows array<bigint>"), "lined")
+
+
+def seen_from(hashes: list[int], lines: set[int], gap: int) -> tuple[int, ...]:
+    """A text as those see it who hold only ``lines``: the others are gaps."""
+    out: list[int] = []
+    for h in hashes:
+        if h in lines:
+            out.append(h)
+        elif not out or out[-1] != gap:
+            out.append(gap)
+    return tuple(out)
+
+
+def further(holders: list[tuple[int, list[int]]], later: list[tuple[int, str, list[int], list[int], int, int]]) -> list[tuple[int, str, list[int]]]:
+    """(doc_id, digest, gone) of the later texts (doc_id, digest, hashes, words,
+    start and end of a window) against every earlier one of the holders
+    (doc_id, hashes) of this window.  An alignment sees nothing of a holder but
+    the lines that the later text has too, so holders that look the same are
+    aligned once, and those that share nothing but the window all look like it,
+    with or without a gap before and after it."""
+    known = set().union(*(x[2] for x in later))
+    gap = next(g for g in range(len(known) + 1) if g not in known)
+    forms: dict[tuple[int, ...], int] = {}
+    for i, h in sorted(holders, key=lambda x: x[0]):
+        forms.setdefault(seen_from(h, known, gap), i)
+    looks, ids = list(forms), list(forms.values())
+    window = tuple(later[0][2][later[0][4] : later[0][5]])
+    ends = [(form[: len(window)] != window, form[-len(window) :] != window) for form in looks]
+    alike = {e: [k for k, x in enumerate(ends) if x == e] for e in set(ends)}
+    having: dict[int, list[int]] = {}
+    for k, form in enumerate(looks):
+        for h, n in Counter(form).items():
+            if h != gap and (n > 1 or h not in window):
+                having.setdefault(h, []).append(k)
+    out = []
+    for i, digest, hashes, words, _, _ in later:
+        own = set(hashes)
+        before = bisect_left(ids, i)
+        near = {k for h in own for k in having.get(h, ()) if k < before}
+        seen = {seen_from(looks[k], own, gap) for k in near}
+        nearby = Counter(ends[k] for k in near)
+        for e, those in alike.items():
+            if bisect_left(those, before) > nearby[e]:
+                seen.add((gap,) * e[0] + window + (gap,) * e[1])
+        gone = sorted({k for form in seen for k in common_blocks(list(form), hashes, words)})
+        if gone:
+            out.append((i, digest, gone))
+    return out
 
 
 def deletions(docs: DataFrame) -> DataFrame:
@@ -174,26 +262,61 @@ def deletions(docs: DataFrame) -> DataFrame:
     nodes = stored(rows.groupBy("digest").agg(F.min("doc_id").alias("node")), "nodes")
     copies = rows.join(nodes, "digest").where("doc_id > node").select("doc_id", "digest").distinct().select("doc_id", "digest", F.lit(True).alias("copy"), F.array().cast("array<int>").alias("gone"))
     texts = stored(rows.join(nodes.withColumnRenamed("node", "doc_id"), ["digest", "doc_id"], "left_semi").dropDuplicates(["doc_id", "digest"]), "texts")
-    long = F.array_distinct(F.filter(F.arrays_zip("hashes", "words"), lambda x: x["words"] >= LINE_WORDS)["hashes"])
-    lines = texts.select("doc_id", F.explode(long).alias("line"))
-    first = stored(lines.groupBy("line").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("texts")).where("texts > 1"), "first")
-    held = salted_join(lines, first.drop("texts"), "line", hot_keys(first, "line", "texts"), "doc_id")
-    pairs = stored(held.where("first < doc_id").select("first", "doc_id").distinct(), "pairs")
+    held = texts.select("doc_id", "digest", F.explode("windows").alias("window"))
+    first = stored(held.groupBy("window").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("texts")).where("texts > 1"), "first")
+    hot = hot_keys(first, "window", "texts")
+    links = salted_join(held, first.drop("texts"), "window", hot, "doc_id").where("first < doc_id")
+    pairs = stored(links.groupBy("first", "doc_id", "digest").agg(F.collect_set("window").alias("shared")), "pairs")
     earlier = texts.select(F.col("doc_id").alias("first"), F.col("hashes").alias("first_hashes"))
-    both = pairs.join(earlier, "first").join(texts, "doc_id").select("doc_id", "digest", "first_hashes", "hashes", "words")
+    both = pairs.join(earlier, "first").join(texts.drop("windows"), ["doc_id", "digest"]).select("doc_id", "digest", "first_hashes", "hashes", "words", "shared")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         take_worker("lines")
         for b in batches:
             gone = [common_blocks(x, y, w) for x, y, w in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)]
-            keep = pa.array([bool(g) for g in gone], pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep), pa.array([g for g in gone if g], pa.list_(pa.int32()))], ["doc_id", "digest", "gone"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(gone, pa.list_(pa.int32())), b.column(5)], ["doc_id", "digest", "gone", "shared"])
 
-    aligned = both.mapInArrow(run, "doc_id bigint, digest string, gone array<int>")
-    united = aligned.groupBy("doc_id", "digest").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
+    aligned = both.mapInArrow(run, "doc_id bigint, digest string, gone array<int>, shared array<bigint>")
+    begun = stored(aligned.groupBy("doc_id", "digest").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"), F.array_distinct(F.flatten(F.collect_list("shared"))).alias("shared")), "begun")
+    ended = begun.select("doc_id", "digest", "gone").unionByName(from_further(texts, held, begun, hot))
+    united = ended.groupBy("doc_id", "digest").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone")).where("size(gone) > 0")
     return stored(copies.unionByName(united.withColumn("copy", F.lit(False))), "deletions")
 
 
+def from_further(texts: DataFrame, held: DataFrame, begun: DataFrame, hot: list) -> DataFrame:
+    """(doc_id, digest, gone) from all other holders of the windows that earlier
+    texts share and that the first holders left open."""
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_worker("lines")
+        for b in batches:
+            at, found = [], []
+            for k, (hashes, words, gone, shared) in enumerate(zip(*(b.column(c).to_pylist() for c in range(2, 6)), strict=True)):
+                lost, own = set(gone), windows(hashes, words)
+                for x in shared:
+                    if not all(lost.issuperset(range(lo, hi)) for lo, hi in own[x]):
+                        at.append(k)
+                        found.append((x, *own[x][0]))
+            columns = [b.column(c).take(pa.array(at, pa.int64())) for c in range(4)]
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.array([x[c] for x in found], t) for c, t in enumerate((pa.int64(), pa.int32(), pa.int32())))], ["doc_id", "digest", "hashes", "words", "window", "lo", "hi"])
+
+    rows = begun.join(texts.drop("windows"), ["doc_id", "digest"]).select("doc_id", "digest", "hashes", "words", "gone", "shared")
+    left = stored(rows.mapInArrow(kept, "doc_id bigint, digest string, hashes array<bigint>, words array<int>, window bigint, lo int, hi int"), "open")
+    is_hot = F.col("window").isin(hot)
+    dealt = held.join(left.select("window").distinct(), "window", "left_semi").join(texts.select("doc_id", "digest", "hashes"), ["doc_id", "digest"])
+    dealt = dealt.select("doc_id", "hashes", "window", F.when(is_hot, F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).otherwise(0).alias("salt"))
+    copied = left.withColumn("salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+
+    def run(holders: pa.Table, later: pa.Table) -> pa.Table:
+        take_worker("lines")
+        found = []
+        if holders.num_rows and later.num_rows:
+            found = further(list(zip(*(holders[c].to_pylist() for c in ("doc_id", "hashes")), strict=True)), list(zip(*(later[c].to_pylist() for c in ("doc_id", "digest", "hashes", "words", "lo", "hi")), strict=True)))
+        return pa.table([pa.array([x[c] for x in found], t) for c, t in enumerate((pa.int64(), pa.string(), pa.list_(pa.int32())))], ["doc_id", "digest", "gone"])
+
+    return dealt.groupBy("window", "salt").cogroup(copied.groupBy("window", "salt")).applyInArrow(run, "doc_id bigint, digest string, gone array<int>")
+
+
 def annotated(docs: DataFrame) -> DataFrame:
     """``docs`` with kept_text, kept_lines (lines before), kept_removed (lines deleted)."""
     arrow_rows(docs.sparkSession)

@@ -93,3 +93,36 @@ def test_a_first_holder_that_repeats_a_passage(spark):
     p = "\n".join(f"line {k} of a passage that stands twice in its first holder" for k in range(3))
     docs = spark.createDataFrame([(1, f"{p}\nbetween\n{p}"), (2, f"a\n{p}\nb"), (3, f"c\n{p}\nd")], "doc_id long, text string")
     assert {r["doc_id"]: r["text"] for r in ld.without_common_blocks(docs).collect()} == {1: f"{p}\nbetween\n{p}", 2: "a\nb", 3: "c\nd"}
+
+
+def all_pairs(rows):
+    """Lines deleted from each distinct text by aligning it with all earlier ones."""
+    first = {}
+    for i, t in rows:
+        first[t] = min(first.get(t, i), i)
+    reps = [(i, *ld.line_hashes(t)) for i, t in sorted((i, t) for t, i in first.items())]
+    return {(i, k) for i, h, w in reps for f, g, _ in reps if f < i and not set(g).isdisjoint(h) for k in ld.common_blocks(g, h, w)}
+
+
+def deleted(spark, rows):
+    found = ld.deletions(spark.createDataFrame(rows, "doc_id long, text string")).where("not copy").collect()
+    return {(r["doc_id"], k) for r in found for k in r["gone"]}
+
+
+def test_blocks_that_no_first_holder_has(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(7)) for x in "abc")
+    p, q = f"{a} x y z", f"{b} x y z"
+    rows = [
+        (1, f"{a}\none"), (2, f"{b}\ntwo"), (3, f"three\n{a}\n{b}"), (5, f"{a}\n{b}\nfive"),
+        (10, f"{p}\nten\n{q}"), (11, f"{q}\neleven\n{p}"), (12, f"{q}\ntwelve\n{p}"), (13, f"{c}\n{p}\n{p}"), (14, f"{p}\nx\n{p}\n{c}\n{p}"),
+    ]
+    got = deleted(spark, rows)
+    assert got == all_pairs(rows)
+    assert {(5, 0), (5, 1), (12, 0), (12, 2)} <= got
+
+
+def test_all_pairs(spark):
+    rnd = random.Random(8)
+    lines = [" ".join(f"w{k}" for k in range(j * 20, j * 20 + rnd.randrange(5, 13))) for j in range(14)]
+    rows = [(i, "\n".join(rnd.choice(lines) if rnd.random() < 0.7 else f"own {i} {k}" for k in range(rnd.randrange(1, 9)))) for i in range(600)]
+    assert deleted(spark, rows) == all_pairs(rows)
