@@ -1,10 +1,9 @@
 """Line dedup by pairwise alignment.
 
 1. Lines are hashed, and with them the windows of a text: its shortest runs of
-   lines that hold ``BLOCK_WORDS`` words, among them a line of at least
-   ``LINE_WORDS``.  A window that more than one text holds links each later text
-   with its first holder (the smallest id).  The holders of a hot window are
-   spread over many tasks.
+   lines that hold ``BLOCK_WORDS`` words, however short each line is.  A window
+   that more than one text holds links each later text with its first holder
+   (the smallest id).  The holders of a hot window are spread over many tasks.
 2. Each linked pair is aligned with patience diff: lines that are unique in
    both texts are anchors, the longest chain of anchors in order of both texts
    is kept, equal lines next to anchors extend it, and the gaps are aligned
@@ -48,6 +47,7 @@ from pyspark.sql import types as T
 
 from .common import SALTS, arrow_rows, hot_keys, pick, salted_join, stored, take_worker
 
+#: Lines of ``LINE_WORDS`` words link texts in the tests' brute force of first holders only.
 LINE_WORDS, BLOCK_WORDS = 5, 10
 
 
@@ -181,9 +181,8 @@ def windows(hashes: list[int], words: list[int]) -> dict[int, list[tuple[int, in
             places.add((start, k + 1))
     out: dict[int, list[tuple[int, int]]] = {}
     for lo, hi in sorted(places):
-        if max(words[lo:hi]) >= LINE_WORDS:
-            x = xxhash.xxh3_64_intdigest(np.array(hashes[lo:hi], np.int64).tobytes())
-            out.setdefault(x - (1 << 64) if x >> 63 else x, []).append((lo, hi))
+        x = xxhash.xxh3_64_intdigest(np.array(hashes[lo:hi], np.int64).tobytes())
+        out.setdefault(x - (1 << 64) if x >> 63 else x, []).append((lo, hi))
     return out
 
 

@@ -126,3 +126,13 @@ def test_all_pairs(spark):
     lines = [" ".join(f"w{k}" for k in range(j * 20, j * 20 + rnd.randrange(5, 13))) for j in range(14)]
     rows = [(i, "\n".join(rnd.choice(lines) if rnd.random() < 0.7 else f"own {i} {k}" for k in range(rnd.randrange(1, 9)))) for i in range(600)]
     assert deleted(spark, rows) == all_pairs(rows)
+
+
+def test_passages_of_short_lines(spark):
+    verse = "\n".join(f"verse {k} here" for k in range(6))
+    rows = [(1, f"one\n{verse}"), (2, f"{verse}\ntwo"), (3, f"three\n{verse}\nfour"), (4, "verse 1 here\nverse 2 here\n\nverse 3 here")]
+    assert deleted(spark, rows) == all_pairs(rows) == {(2, k) for k in range(6)} | {(3, k) for k in range(1, 7)}
+    rnd = random.Random(9)
+    lines = ["", *(" ".join(f"w{j}" for _ in range(rnd.randrange(1, 7))) for j in range(9))]
+    rows = [(i, "\n".join(rnd.choice(lines) if rnd.random() < 0.9 else f"own {i} {k}" for k in range(rnd.randrange(1, 12)))) for i in range(500)]
+    assert deleted(spark, rows) == all_pairs(rows)
