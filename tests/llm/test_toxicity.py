@@ -1,6 +1,8 @@
 import random
 import zlib
 
+import numpy as np
+
 from attestra.llm import toxicity as tx
 
 BAD = ("idiot", "scumbag", "vilea", "vileb", "vilec")
@@ -47,14 +49,77 @@ def test_odd_rows(spark):
     assert tx.toxicity(d.where("false"), none).count() == 0
 
 
-def test_label_model_finds_accuracies(spark):
+def vote_rows(n=4000):
     rnd = random.Random(3)
     rows = []
-    for _ in range(4000):
+    for _ in range(n):
         y = rnd.random() < 0.2
         mask = sum(1 << k for k, (a, b) in enumerate([(0.8, 0.02), (0.6, 0.01), (0.7, 0.05)]) if rnd.random() < (a if y else b))
         mask |= (mask & 1) << 3  # a voter that repeats the first
         rows.append((mask, int(y) if rnd.random() < 0.1 else -1, 1))
-    m = tx.LabelModel(4).fit(spark.createDataFrame(rows, "mask long, label int, n long"))
+    return rows
+
+
+def test_label_model_finds_accuracies_and_correlations(spark):
+    m = tx.LabelModel(4).fit(spark.createDataFrame(vote_rows(), "mask long, label int, n long"))
     assert abs(m.share - 0.2) < 0.05 and abs(m.fire[1][1] - 0.6) < 0.08 and m.fire[0][1] < 0.05
-    assert m.weight[0] < 0.6 and m.weight[3] < 0.6 and m.weight[1] > 0.7
+    assert m.parent[3] == 0 or m.parent[0] == 3
+    # the repeated voter adds next to nothing: its vote follows from the first one's
+    v = 3 if m.parent[3] == 0 else 0
+    assert abs(np.log(m.given[1, v, 1] / m.given[0, v, 1])) < 0.3 and abs(np.log((1 - m.given[1, v, 0]) / (1 - m.given[0, v, 0]))) < 0.3
+    assert np.log(m.fire[1, v] / m.fire[0, v]) > 2
+
+
+def test_label_model_against_brute_force(spark):
+    """Expectation maximisation row by row, for voters taken as independent."""
+    rows = [(x & 7, y) for x, y, _ in vote_rows(1500)]
+    known = [y for _, y in rows if y >= 0]
+    weight = len(known) / (len(rows) - len(known))
+    share, fire = 0.1, [[0.02] * 3, [0.2] * 3]
+    for _ in range(3):
+        size, hits = [0.0, 0.0], [[0.0] * 3, [0.0] * 3]
+        for x, y in rows:
+            like = [1 - share, share]
+            for c in (0, 1):
+                for k in range(3):
+                    like[c] *= fire[c][k] if x >> k & 1 else 1 - fire[c][k]
+            p = like[1] / sum(like) if y < 0 else y
+            for c, q in ((0, 1 - p), (1, p)):
+                q *= weight if y < 0 else 1
+                size[c] += q
+                for k in range(3):
+                    hits[c][k] += q * (x >> k & 1)
+        share = (sum(known) + 1) / (len(known) + 2)
+        fire = [[min(max((hits[c][k] + (0.01, 0.1)[c]) / (size[c] + 1), 1e-5), 1 - 1e-5) for k in range(3)] for c in (0, 1)]
+    m = tx.LabelModel(3)
+    m.tree = lambda size, second: np.full(3, -1)
+    m.fit(spark.createDataFrame([(x, y, 1) for x, y in rows], "mask long, label int, n long"), rounds=3)
+    assert np.allclose(m.fire, fire) and abs(m.share - share) < 1e-9
+
+
+def test_scores_come_from_the_votes(spark, monkeypatch):
+    """A label model that says nothing leaves nothing to learn."""
+    docs, labels = corpus(400)
+    d, known = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    truth = dict(labels)
+
+    def right():
+        return sum(r["predicted"] == truth[r["doc_id"]] for r in tx.toxicity(d, known).collect() if r["doc_id"] in truth) / len(truth)
+
+    assert right() > 0.95
+
+    def silent(self, patterns):
+        self.share, self.given = 0.5, np.full_like(self.given, 0.1)
+        return self
+
+    monkeypatch.setattr(tx.LabelModel, "fit", silent)
+    assert right() < 0.5
+
+
+def test_contradicting_labels_and_clashing_columns(spark):
+    labels = spark.createDataFrame([(1, 0), (1, 1), (6, None), (None, 1), (8, 0)], "doc_id long, toxic int")
+    got = {r["doc_id"]: r["toxic"] for r in tx.train_labels(labels, (0, 1, 2, 3, 4)).collect()}
+    assert got == {1: 1, 8: 0}
+    docs = spark.createDataFrame([(1, "fine words", 3, 0.25), (2, None, 4, None)], "doc_id long, text string, Toxic_Score int, score double")
+    kept = tx.without_toxic(docs, labels)
+    assert kept.columns == docs.columns and kept.count() == 2
