@@ -3,11 +3,12 @@
 Weights are the multiplicities of a text's five-word shingles.  Per shingle,
 the weight axis is cut at 0, 1, 2, 4, 8, ...; each interval has a Poisson
 process seeded by shingle and interval, whose points carry a time, a register
-and a place inside the interval found by halving it, so that two texts see the
-same points below the smaller of their weights.  A register keeps its earliest
-point, hence two texts agree in a register with probability equal to their
-weighted Jaccard similarity.  A text stops drawing points once they are later
-than the latest of its registers.
+and a path of bits.  Each bit halves the interval, so a path ends in one cell of
+weight 1, and a text sees a point if its weight reaches that cell: two texts see
+the same points below the smaller of their weights.  A register keeps its
+earliest point, hence two texts agree in a register with probability equal to
+their weighted Jaccard similarity.  A process is left once its points are later
+than the latest of the text's registers.
 
 Signatures are cut into bands; texts that share a band are candidates and are
 verified by exact multiset overlap.  A bucket is never expanded into all its
@@ -17,10 +18,13 @@ bucket that still belong to different components are *open*; what is left out
 so far could only link texts that are in one class already.
 
 Open texts meet in an exact join: shingles are ordered from rare to frequent,
-and a pair of similarity 0.8 must share one among the first of both texts.  How
-many count follows from both sizes (rows are keyed by shingle and size class),
-which leaves out the shingles that a whole group has in common, so that copies
-of one source which are too different from each other don't meet in pairs.
+and a pair of similarity 0.8 must share one among the first of both texts.  A
+text sends one row for each of its first shingles that others hold too, a fifth
+of its words at most; which of them count for a partner follows from the place
+of the shingle and both sizes.  The shingles that a whole group has in common
+come last and are left out, so that copies of one source which are too different
+from each other don't meet in pairs.  Rows of hot shingles are spread over many
+tasks.
 
 A text pair of similarity 0.8 shares no band with probability 3e-6 (32 bands of
 5 registers).
@@ -28,8 +32,10 @@ A text pair of similarity 0.8 shares no band with probability 3e-6 (32 bands of
 Defined results: equal texts form one node before anything else; texts of fewer
 words than a shingle are one shingle; texts without words match only equal
 texts; rows with a null id get a null class; null text counts as empty; a class
-is named by its smallest id.  Extra columns are ignored, or kept by
-``one_per_class``.
+is named by its smallest id.  Different texts under one id are judged each on
+its own (two classes may then have one name).  Very long texts are read whole;
+an empty table has no classes.  Extra columns are ignored, or kept by
+``one_per_class``, whatever their names.
 """
 
 from __future__ import annotations
@@ -40,20 +46,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, pick, stored, take_worker
+from .common import arrow_rows, fresh, hot_keys, pick, salted_join, stored, take_worker
 from .components import components
 from .decontaminate import words
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, WIDTH = 32, 5
 REGISTERS = BANDS * WIDTH
-#: Ratio of the sizes that bound a size class.
-CLASS_STEP = 1.03
-#: Slots of the table of shingle frequencies, and the parts it travels in.
-SLOTS, SLOT_BLOCKS = 1 << 22, 256
+#: Slots of the table of shingle frequencies, the parts it travels in, and in how
+#: many lanes the tasks' tables of a part are added up before the last sum.
+SLOTS, SLOT_BLOCKS, SLOT_LANES = 1 << 22, 256, 64
 
 U = np.uint64
 
@@ -106,11 +112,11 @@ def signatures(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         if not has.any():
             break
         width = max(low, 1)
-        parts.append((of[has], mix(shingle[has] + U((level + 1) * 0x632BE59BD9B4E019 & (1 << 64) - 1)), np.full(has.sum(), float(width)), np.minimum((n[has] - low) / width, 1.0)))
+        parts.append((of[has], mix(shingle[has] + U((level + 1) * 0x632BE59BD9B4E019 & (1 << 64) - 1)), np.full(has.sum(), width), np.minimum(n[has] - low, width)))
         level += 1
     if not parts:
         return registers.reshape(-1, REGISTERS), sizes
-    of, state, width, share = (np.concatenate(x) for x in zip(*parts, strict=True))
+    of, state, width, reach = (np.concatenate(x) for x in zip(*parts, strict=True))
     time = np.zeros(len(of))
     while len(of):
         state = mix(state + U(0x9E3779B97F4A7C15))
@@ -118,15 +124,16 @@ def signatures(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         latest = registers.reshape(-1, REGISTERS).max(1)
         on = time < latest[of]
         if not on.all():
-            of, state, width, share, time = of[on], state[on], width[on], share[on], time[on]
+            of, state, width, reach, time = of[on], state[on], width[on], reach[on], time[on]
         draw = mix(state ^ U(0xD1B54A32D192ED03))
         place = of * REGISTERS + (draw % U(REGISTERS)).astype(np.int64)
-        # where a point lies in its interval decides whether the text's weight reaches it
-        seen = share >= 1.0
+        seen = reach == width
         if seen.all():
             np.minimum.at(registers, place, time)
         else:
-            seen |= unit(mix(draw)) <= share
+            # the width is a power of two: each bit of the path halves what is left of the interval, down to a cell
+            cell = mix(draw) & (width - 1).astype(np.uint64)
+            seen |= cell < reach.astype(np.uint64)
             np.minimum.at(registers, place[seen], time[seen])
     return registers.reshape(-1, REGISTERS), sizes
 
@@ -190,20 +197,10 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return stored(rows.mapInArrow(run, "a bigint, b bigint"), "verified")
 
 
-def size_class(size: np.ndarray | int):
-    return np.floor(np.log(size) / np.log(CLASS_STEP)).astype(np.int64)
-
-
-def class_floor(k: np.ndarray) -> np.ndarray:
-    """A lower bound of the sizes of a class (a little low, for rounding)."""
-    return np.power(CLASS_STEP, k) * (1 - 1e-9)
-
-
-def first_places(size: int, other: np.ndarray | float) -> np.ndarray:
+def first_places(size: int, other: float) -> int:
     """How many of a text's first shingles can be the first that it shares
     with a similar text of (at least) the other size."""
-    overlap = np.ceil(SIMILARITY / (1 + SIMILARITY) * (size + other) - 1e-6)
-    return np.maximum(size - overlap + 1, 0).astype(np.int64)
+    return max(int(size - np.ceil(SIMILARITY / (1 + SIMILARITY) * (size + other) - 1e-6) + 1), 0)
 
 
 def shingle_frequencies(texts: DataFrame) -> np.ndarray:
@@ -213,20 +210,22 @@ def shingle_frequencies(texts: DataFrame) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots = np.zeros(SLOTS, np.uint32)
+        lane = TaskContext.get().partitionId() % SLOT_LANES
         for b in batches:
             _, shingle, _ = shingle_counts(b.column(0).to_pylist())
             np.add.at(slots, slot(shingle), np.uint32(1))
         for k, part in enumerate(slots.reshape(SLOT_BLOCKS, -1)):
             if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.minimum(part, 65535).astype(np.uint16).tobytes()], pa.binary())], ["block", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([lane], pa.int32()), pa.array([np.minimum(part, 65535).astype(np.uint16).tobytes()], pa.binary())], ["block", "lane", "counts"])
 
     def total(table: pa.Table) -> pa.Table:
         parts = [np.frombuffer(x, np.uint16).astype(np.uint32) for x in table.column("counts").to_pylist()]
-        return pa.table({"block": table.column("block").slice(0, 1), "counts": pa.array([np.minimum(sum(parts), 65535).astype(np.uint16).tobytes()], pa.binary())})
+        return pa.table({"block": table.column("block").slice(0, 1), "lane": table.column("lane").slice(0, 1), "counts": pa.array([np.minimum(sum(parts), 65535).astype(np.uint16).tobytes()], pa.binary())})
 
     out = np.zeros((SLOT_BLOCKS, SLOTS // SLOT_BLOCKS), np.uint16)
-    counted = texts.select("text").coalesce(64).mapInArrow(count, "block int, counts binary").groupBy("block").applyInArrow(total, "block int, counts binary")
-    for r in counted.collect():
+    form = "block int, lane int, counts binary"
+    lanes = texts.select("text").mapInArrow(count, form).groupBy("block", "lane").applyInArrow(total, form)
+    for r in lanes.groupBy("block").applyInArrow(total, form).select("block", "counts").collect():
         out[r["block"]] = np.frombuffer(r["counts"], np.uint16)
     return out.ravel()
 
@@ -252,41 +251,39 @@ def prefix_pairs(texts: DataFrame) -> DataFrame:
             order = np.lexsort((shingle, rank, of))
             of, shingle, n, shared = of[order], shingle[order], n[order], rank[order] > 1
             cut = np.searchsorted(of, np.arange(b.num_rows + 1))
-            keys, asks, places, sources = [], [], [], []
+            keys, places, sources = [], [], []
             for i in np.flatnonzero(np.diff(cut)):
                 mine, count = shingle[cut[i] : cut[i + 1]], n[cut[i] : cut[i + 1]]
                 size = int(count.sum())
                 before = np.cumsum(count) - count  # a shingle stands for all its copies
-                other = shared[cut[i] : cut[i + 1]]
-                wide = other[: np.searchsorted(before, first_places(size, SIMILARITY * size))].nonzero()[0]
-                takes = [(int(size_class(size)), wide, False)]
-                if b.column(3)[i].as_py():
-                    for k in range(int(size_class(max(1.0, SIMILARITY * size * (1 - 1e-9)))), int(size_class(size / SIMILARITY * (1 + 1e-9))) + 1):
-                        few = np.searchsorted(before, first_places(size, max(float(class_floor(k)), SIMILARITY * size)))
-                        takes.append((k, wide[: np.searchsorted(wide, few)], True))
-                keys.append(np.concatenate([mix(mine[w] * U(2) + U(1) ^ mix(np.uint64([k]))) for k, w, _ in takes]))
-                asks.append(np.concatenate([np.full(len(w), ask) for _, w, ask in takes]))
-                places.append(np.concatenate([before[w] for _, w, _ in takes]) + (size << 32))
-                sources.append(np.full(len(keys[-1]), i))
+                first = np.flatnonzero(shared[cut[i] : cut[i + 1]][: np.searchsorted(before, first_places(size, SIMILARITY * size))])
+                keys.append(mine[first])
+                places.append(before[first] + (size << 32))
+                sources.append(np.full(len(first), i))
             if keys:
                 source = pa.array(np.concatenate(sources))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(asks)), b.column(0).take(source), b.column(1).take(source), pa.array(np.concatenate(places))], ["key", "ask", "node", "label", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), *(b.column(c).take(source) for c in (3, 0, 1)), pa.array(np.concatenate(places))], ["key", "ask", "node", "label", "place"])
 
     rows = stored(texts.select("node", "label", "text", "asks").mapInArrow(run, "key bigint, ask boolean, node bigint, label bigint, place bigint"), "prefixes")
-    asked = rows.where("ask").select("key", F.col("node").alias("u"), F.col("label").alias("u_label"), F.col("place").alias("u_at"))
-    kept = rows.where("not ask").select("key", F.col("node").alias("v"), F.col("label").alias("v_label"), F.col("place").alias("v_at"))
+    per_key = stored(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("ask").alias("ask"), (F.min("label") < F.max("label")).alias("mixed")).where("ask and mixed").select("key", "n"), "prefix-keys")
+    hot = hot_keys(per_key, "key", "n")
+    alive = rows.join(per_key.select("key"), "key", "left_semi")
+    asked = alive.where("ask").select("key", F.col("node").alias("u"), F.col("label").alias("u_label"), F.col("place").alias("u_at"))
+    kept = alive.select("key", F.col("node").alias("v"), F.col("label").alias("v_label"), F.col("place").alias("v_at"))
     u_size, v_size = F.shiftright("u_at", 32), F.shiftright("v_at", 32)
     overlap = F.ceil(F.lit(SIMILARITY / (1 + SIMILARITY)) * (u_size + v_size) - 1e-6)
     low = F.lit((1 << 32) - 1)
-    able = (asked["key"] == kept["key"]) & (F.col("u_label") != F.col("v_label")) & (F.col("u_at").bitwiseAND(low) <= u_size - overlap) & (F.col("v_at").bitwiseAND(low) <= v_size - overlap)
-    return asked.join(kept, able).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
+    able = (F.col("u_label") != F.col("v_label")) & (F.col("u_at").bitwiseAND(low) <= u_size - overlap) & (F.col("v_at").bitwiseAND(low) <= v_size - overlap) & (F.least(u_size, v_size) >= F.lit(SIMILARITY * (1 - 1e-9)) * F.greatest(u_size, v_size))
+    return salted_join(asked, kept, "key", hot, "u").where(able).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, class_id), one row for each row of ``docs``."""
-    spark = docs.sparkSession
+def named_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, digest) with an id, and a table (digest, doc_id, node,
+    class, name): for each distinct text its smallest id, and a number and the
+    smallest id of its class."""
     rows = sketch(docs)
-    nodes = stored(rows.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("size").alias("size"), F.first("bands").alias("bands")), "nodes")
+    nodes = rows.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("bands").alias("bands"))
+    nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")  # numbers that hold once they are written
     members = nodes.where("size > 0").select("node", "size", F.explode("bands").alias("band"))
     shared = members.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = stored(members.join(shared, "band"), "members")
@@ -297,9 +294,9 @@ def classes(docs: DataFrame) -> DataFrame:
     def worth(size_a, size_b):
         return F.least(size_a, size_b) >= SIMILARITY * F.greatest(size_a, size_b)
 
-    wanted = members.select(F.col("node").alias("id")).distinct().hint("merge")  # the same plan at every size
-    texts = pick(docs, "doc_id", "text").join(wanted, F.col("doc_id") == F.col("id"), "left_semi").dropDuplicates(["doc_id"])
-    texts = stored(texts.select(F.col("doc_id").alias("node"), F.coalesce("text", F.lit("")).alias("text")), "texts")
+    wanted = nodes.select("doc_id", "digest", "node").join(members.select("node").distinct(), "node", "left_semi").hint("merge")  # the same plan at every size
+    texts = pick(docs, "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("digest", F.md5(F.col("text").cast("binary")))
+    texts = stored(texts.join(wanted, ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"]).select("node", "text"), "texts")
     pairs = stored(members.where((F.col("node") != F.col("pivot.node")) & worth(F.col("size"), F.col("pivot.size"))).select(F.col("node").alias("a"), F.col("pivot.node").alias("b")).distinct(), "pairs")
     links = [verified(pairs, texts)]
     labels = components(links[0])
@@ -316,17 +313,34 @@ def classes(docs: DataFrame) -> DataFrame:
             found = verified(left, texts)
             if not found.isEmpty():
                 labels = components(links[0].union(found))
-    named = nodes.select("digest", "node").join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("class_id"))
-    out = rows.select("doc_id", "digest").join(named, "digest").select("doc_id", "class_id")
+    arrow_rows(docs.sparkSession)
+    known = nodes.select("digest", "doc_id", "node")
+    linked = known.join(labels, "node")
+    names = stored(linked.groupBy("label").agg(F.min("doc_id").alias("name"), F.count(F.lit(1)).alias("n")), "names")
+    linked = salted_join(linked, names.select("label", "name"), "label", hot_keys(names, "label", "n"), "node")
+    alone = known.join(labels, "node", "left_anti")
+    return rows.select("doc_id", "digest"), linked.select("digest", "doc_id", "node", F.col("label").alias("class"), "name").unionByName(alone.select("digest", "doc_id", "node", F.col("node").alias("class"), F.col("doc_id").alias("name")))
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """(doc_id, class_id), one row for each row of ``docs``."""
+    rows, named = named_classes(docs)
+    copies = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n"))
+    out = salted_join(rows, named.select("digest", F.col("name").alias("class_id")), "digest", hot_keys(copies, "digest", "n"), "doc_id").select("doc_id", "class_id")
     lost = pick(docs, "doc_id").where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"))
-    arrow_rows(spark)
     return out.unionByName(lost)
 
 
 def one_per_class(docs: DataFrame) -> DataFrame:
     """One row of ``docs``, with all its columns, for each class: that of the
-    smallest id.  Rows without an id stay."""
-    kept = classes(docs).where("doc_id = class_id").select(F.col("class_id").alias("kept_id")).distinct()
-    same = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi")
-    nth = same.withColumn("kept_nth", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.lit(1))))
-    return nth.where("kept_nth = 1").drop("kept_nth").unionByName(docs.where("doc_id is null"))
+    smallest id, then of the smallest digest; of repeated rows of it the first
+    by the other columns.  Rows without an id stay."""
+    _, named = named_classes(docs)
+    first = named.groupBy("class").agg(F.min(F.struct("doc_id", "digest")).alias("k"))
+    at, digest, nth, other = (fresh(docs, c) for c in ("kept_id", "kept_digest", "kept_nth", "kept_order"))
+    kept = first.select(F.col("k.doc_id").alias(at), F.col("k.digest").alias(digest))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    rows = docs.where("doc_id is not null").withColumn(at, F.col("doc_id")).withColumn(digest, F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    rows = rows.join(kept, [at, digest], "left_semi").withColumn(other, F.to_json(F.struct(*[c for c, x in zip(columns, docs.columns, strict=True) if x not in ("doc_id", "text")], F.lit(0).alias(other))))
+    ordered = rows.withColumn(nth, F.row_number().over(Window.partitionBy(at, digest).orderBy(F.col(other), F.col("text").isNull())))
+    return ordered.where(F.col(nth) == 1).select(*columns).unionByName(docs.where("doc_id is null"))

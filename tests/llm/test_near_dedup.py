@@ -95,3 +95,50 @@ def test_driver_table(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     assert sorted(tuple(r) for r in nd.classes(docs).collect()) == sorted(brute(rows))
+
+
+def test_a_family_of_texts_that_are_too_different(spark):
+    """Hundreds of texts of similarity 0.6 to 0.75 share passages, but few are near copies."""
+    rnd = random.Random(4)
+    vocab = [f"word{k}" for k in range(3000)]
+    base = [rnd.choice(vocab) for _ in range(100)]
+    rows = []
+    for i in range(300):
+        w = list(base)
+        at = rnd.randrange(80)
+        w[at : at + 14] = [rnd.choice(vocab) for _ in range(14)]
+        rows.append((i, " ".join(w)))
+        if i % 10 == 0:
+            rows.append((1000 + i, " ".join([*w, "tail"])))
+    got = nd.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(tuple(r) for r in got) == sorted(brute(rows))
+
+
+def test_different_texts_under_one_id_and_clashing_columns(spark):
+    rnd = random.Random(6)
+    vocab = [f"word{k}" for k in range(3000)]
+    a, b = (" ".join(rnd.choice(vocab) for _ in range(60)) for _ in range(2))
+    rows = [(1, a, 5, "x"), (1, b, 6, "y"), (2, a + " tail", 7, None), (3, b + " tail", 8, "z"), (1, a, 4, "w")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kept_nth int, KEPT_ID string")
+    got = {tuple(r) for r in nd.one_per_class(docs).collect()}
+    assert {r[:2] for r in got} == {(1, a), (1, b)} and len(got) == 2
+    assert nd.one_per_class(docs).columns == docs.columns
+    assert sorted(tuple(r) for r in nd.classes(docs).collect()) == [(1, 1), (1, 1), (1, 1), (2, 1), (3, 1)]
+
+
+def test_recall_by_similarity(spark):
+    """Planted pairs of similarity 0.8 and more are all found."""
+    rnd = random.Random(12)
+    vocab = [f"word{k}" for k in range(5000)]
+    rows = []
+    for i in range(400):
+        w = [rnd.choice(vocab) for _ in range(100)]
+        rows.append((2 * i, " ".join(w)))
+        at = rnd.randrange(70)
+        w[at : at + rnd.randint(1, 9)] = [rnd.choice(vocab)]
+        rows.append((2 * i + 1, " ".join(w)))
+    sets = [shingles(t) for _, t in rows]
+    near = [i for i in range(400) if jaccard(sets[2 * i], sets[2 * i + 1]) >= 0.8]
+    got = {r["doc_id"]: r["class_id"] for r in nd.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(near) > 200 and all(got[2 * i + 1] == 2 * i for i in near)
+    assert sum(got[2 * i + 1] == 2 * i for i in range(400)) == len(near)
