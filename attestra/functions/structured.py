@@ -35,10 +35,30 @@ def storage_key(digest: Column) -> Column:
     return F.concat_ws("/", F.substring(digest, 1, 2), F.substring(digest, 3, 2), digest)
 
 
+def outermost_object(text: str | None) -> str | None:
+    """The last JSON object of noisy text that no other object holds."""
+    if not text:
+        return None
+    read, found, at = json.JSONDecoder().raw_decode, None, text.find("{")
+    while at >= 0:
+        try:
+            _, end = read(text, at)
+            found = text[at:end]
+        except (ValueError, RecursionError):
+            end = at + 1
+        at = text.find("{", end)
+    return found
+
+
+def _outermost(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for texts in batches:
+        yield pd.Series([outermost_object(t) for t in texts], dtype=object)
+
+
 def last_json(c: Column, schema: str) -> Column:
-    """The last flat JSON object inside noisy text."""
-    objects = F.transform(F.regexp_extract_all(c, F.lit(r"\{[^{}]*\}"), F.lit(0)), lambda x: F.from_json(x, schema))
-    return F.try_element_at(F.filter(objects, lambda x: x.isNotNull()), F.lit(-1))
+    """The last JSON object inside noisy text, nested ones included.  Balanced
+    braces are beyond regular expressions, so Python looks for it in batches."""
+    return F.from_json(F.pandas_udf(_outermost, "string")(c), schema)
 
 
 def detail_rows(c: Column, labels: Mapping[str, str]) -> Column:

@@ -48,7 +48,6 @@ KIND_SIGNALS = {
 # Confidences by method.
 TEXT_CONFIDENCE, CELL_CONFIDENCE, REPAIRED = 0.95, 0.98, 0.75
 REVIEW_THRESHOLD = 0.80
-CLASSIFIED_CHARS = 12_000
 
 
 def _is_amount() -> Column:
@@ -130,8 +129,8 @@ def unpivot_registry(registry: DataFrame) -> DataFrame:
 
 
 def classify(body: Column, signals: Mapping = KIND_SIGNALS) -> Column:
-    """Kind and confidence of a document by weighted signals."""
-    folded = text.fold(F.substring(body, 1, CLASSIFIED_CHARS))
+    """Kind and confidence of a document by weighted signals in its whole text."""
+    folded = text.fold(body)
     return margin({k: text.weighted_score(folded, s).cast("double") for k, s in signals.items()})
 
 

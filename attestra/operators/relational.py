@@ -104,17 +104,24 @@ def margin(scores: Mapping[str, Column], least: float = 0.2) -> Column:
     return F.struct(F.when(best["score"] > 0, best["kind"]).otherwise("UNKNOWN").alias("kind"), F.when(best["score"] > 0, sure).otherwise(0.0).alias("confidence"))
 
 
-def upsert(produced: DataFrame, existing: DataFrame, key: str) -> DataFrame:
-    """What a run does to stored findings: (key, status before, status after,
+def upsert(produced: DataFrame, existing: DataFrame, keys: str | Sequence[str], scope: DataFrame | None = None) -> DataFrame:
+    """What a run does to stored findings: (keys, status before, status after,
     action).  Accepted and dismissed findings are never changed; open ones that
-    are no longer produced are resolved; resolved ones that come back reopen."""
-    p = produced.select(key).distinct().withColumn("_p", F.lit(True))
-    e = existing.select(key, F.col("status").alias("before"))
-    both = p.join(e, key, "full_outer")
-    seen, kept = F.col("_p").isNotNull(), F.col("before").isin("ACCEPTED", "DISMISSED")
+    are no longer produced are resolved; resolved ones that come back reopen.
+    A finding is named by all its keys: (dossier_id, fingerprint).  ``scope``
+    names what the run has looked at, by some of the keys (the dossiers); open
+    findings elsewhere are left alone."""
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    p = produced.select(*keys).distinct().withColumn("_p", F.lit(True))
+    e = existing.select(*keys, F.col("status").alias("before"))
+    both = p.join(e, keys, "full_outer")
+    if scope is not None:
+        both = both.join(scope.distinct().withColumn("_in", F.lit(True)), scope.columns, "left")
+    looked = F.lit(True) if scope is None else F.col("_in").isNotNull() | F.col("_p").isNotNull()
+    seen, kept = F.col("_p").isNotNull(), F.col("before").isin("ACCEPTED", "DISMISSED") | ~looked
     after = F.when(F.col("before").isNull(), "OPEN").when(kept, F.col("before")).when(seen, "OPEN").otherwise("RESOLVED")
-    action = F.when(F.col("before").isNull(), "CREATED").when(seen & (F.col("before") == "RESOLVED"), "REOPENED").when(seen, "REFRESHED").when(F.col("before") == "OPEN", "AUTO_RESOLVED").otherwise("KEPT")
-    return both.select(key, "before", after.alias("after"), action.alias("action"))
+    action = F.when(F.col("before").isNull(), "CREATED").when(seen & (F.col("before") == "RESOLVED"), "REOPENED").when(seen, "REFRESHED").when(looked & (F.col("before") == "OPEN"), "AUTO_RESOLVED").otherwise("KEPT")
+    return both.select(*keys, "before", after.alias("after"), action.alias("action"))
 
 
 def both_differences(a: DataFrame, b: DataFrame, key: str) -> DataFrame:

@@ -123,14 +123,20 @@ def csv_rows(df: DataFrame) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str, dialect: str = "plain") -> None:
-    """Two dialects: comma with line feeds, or semicolon with CRLF."""
-    options = {"sep": ",", "lineSep": "\n"} if dialect == "plain" else {"sep": ";", "lineSep": "\r\n", "encoding": "UTF-8"}
-    # Spark's writer takes one character as line separator; the text sink writes the semicolon dialect
+    """Two dialects: comma with line feeds, or semicolon with CRLF, a byte order
+    mark and one header, for spreadsheet programs (one file: what a person opens)."""
     if dialect == "plain":
-        df.write.options(header="true", escape='"', **options).csv(path)
+        df.write.options(header="true", escape='"', sep=",", lineSep="\n").csv(path)
         return
-    quoted = [F.concat(F.lit('"'), F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit('"'), F.lit('""')), F.lit('"')) for c in df.columns]
-    df.select(F.concat_ws(";", *quoted).alias("value")).write.option("lineSep", "\r\n").text(path)
+
+    # Spark's CSV writer takes one character as line separator; the text sink writes this dialect
+    def line(cells: list[Column]) -> Column:
+        return F.concat_ws(";", *[F.concat(F.lit('"'), F.replace(F.coalesce(c.cast("string"), F.lit("")), F.lit('"'), F.lit('""')), F.lit('"')) for c in cells])
+
+    place = F.monotonically_increasing_id()
+    head = df.sparkSession.range(1).select(F.lit(-1).cast("long").alias("_at"), F.concat(F.lit("\ufeff"), line([F.lit(c) for c in df.columns])).alias("value"))
+    body = df.select(place.alias("_at"), line([F.col(f"`{c}`") for c in df.columns]).alias("value"))
+    head.unionByName(body).coalesce(1).sortWithinPartitions("_at").select("value").write.option("lineSep", "\r\n").text(path)
 
 
 def nested_json(parent: DataFrame, key: str, children: Mapping[str, tuple[DataFrame, str]]) -> DataFrame:
@@ -152,13 +158,16 @@ def metrics_text(df: DataFrame, name: str, label: str, value: str) -> DataFrame:
 
 
 def html_table(df: DataFrame, title: str, most: int = 1000) -> str:
-    """A report page of a bounded frame."""
+    """A report page; of a longer frame it shows the first ``most`` rows and says
+    how many there are."""
     import html
 
-    rows = df.limit(most).collect()
+    rows = df.limit(most + 1).collect()
+    more = f"<p>Se muestran {most} de {df.count()} filas.</p>" if len(rows) > most else ""
+    rows = rows[:most]
     head = "".join(f"<th>{html.escape(c)}</th>" for c in df.columns)
     body = "".join("<tr>" + "".join(f"<td>{html.escape('' if v is None else str(v))}</td>" for v in r) + "</tr>" for r in rows)
-    return f"<!DOCTYPE html><html lang=\"es\"><head><meta charset=\"utf-8\"><title>{html.escape(title)}</title></head><body><h1>{html.escape(title)}</h1><table><tr>{head}</tr>{body}</table></body></html>"
+    return f"<!DOCTYPE html><html lang=\"es\"><head><meta charset=\"utf-8\"><title>{html.escape(title)}</title></head><body><h1>{html.escape(title)}</h1><table><tr>{head}</tr>{body}</table>{more}</body></html>"
 
 
 def append_audit(events: DataFrame, path: str) -> None:

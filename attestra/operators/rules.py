@@ -268,6 +268,11 @@ def ambiguous_field(c: Context) -> DataFrame:
 
 
 def evaluate(c: Context) -> DataFrame:
-    """All findings; equal fingerprints of a dossier count once."""
-    every = reduce(DataFrame.unionByName, [f(c) for f in dict.fromkeys(RULES.values())])
-    return every.dropDuplicates(["dossier_id", "fingerprint"])
+    """All findings; equal fingerprints of a dossier count once.  The last rule
+    of the catalogue that gives one counts, then the greatest detail."""
+    found = [f(c).withColumn("_rule", F.lit(n)) for n, f in enumerate(dict.fromkeys(RULES.values()))]
+    every = reduce(DataFrame.unionByName, found)
+    columns = [x for x in every.columns if x != "_rule"]
+    keys = ["dossier_id", "fingerprint"]
+    whole, order = F.struct(*columns), F.struct("_rule", F.to_json("detail"), F.to_json("document_ids"))
+    return every.groupBy(*keys).agg(F.max_by(whole, order).alias("_f")).select("_f.*")

@@ -41,10 +41,15 @@ def _(t):
     return t.documents.select("doc_id", size.alias("size"), F.when(size > 5000, "UNSUPPORTED").otherwise("RECEIVED").alias("status"))
 
 
-@query("src02_directory_scan")
+MANIFEST = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations", "absent")
+
+
+@query("src02_directory_scan", "SELECT * FROM (VALUES " + ", ".join(f"('{m}', '{m}.parquet', {str(m != 'absent').lower()})" for m in MANIFEST) + ") v(entry, file, present)")
 def _(t):
-    found = files.read_files(t.spark, t.sf_dir, "*.parquet")
-    return found.select(F.regexp_extract("path", "([^/]+)$", 1).alias("file"), F.col("length").alias("size"))
+    """The files of a folder against the manifest that announces them."""
+    found = files.scan(t.spark, t.sf_dir, "*.parquet").select(F.regexp_extract("path", r"/(\w+\.parquet)(?:/|$)", 1).alias("file")).distinct()
+    manifest = t.spark.createDataFrame([(m, f"{m}.parquet") for m in MANIFEST], "entry string, file string")
+    return files.against_manifest(found, manifest)
 
 
 @query("src14_store_captures", "SELECT sha256(html) AS digest, min(page_id) AS document, strlen(any_value(html))::BIGINT AS size FROM pages WHERE sha256(html) NOT IN (SELECT sha256(html) FROM pages WHERE page_id % 3 = 0) GROUP BY 1")

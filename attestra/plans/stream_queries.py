@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
 from ..streaming import streams as S
-from ..operators import relational as R
 from .registry import query
 from .relational import UPSERT_SQL
 
 
 def _checkpoint(t) -> str:
-    root = t.spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="attestra-stream-")
-    return f"{root.rstrip('/')}/streams/{uuid.uuid4().hex}"
+    return f"{shared_folder(t.spark)}/streams/{uuid.uuid4().hex}"
 
 
 def _stream(t, name: str):
@@ -66,14 +64,19 @@ def _(t):
 
 @query("strs7_finding_upsert", UPSERT_SQL)
 def _(t):
-    """The upsert applied to each micro-batch; one file is one batch."""
+    """The upsert applied to each micro-batch: here all files are one batch."""
     k = F.col("o_orderkey")
     status = F.when(k % 4 == 0, "ACCEPTED").when(k % 4 == 1, "RESOLVED").when(k % 7 == 2, "DISMISSED").otherwise("OPEN")
     existing = t.orders.where(k % 3 != 0).select(k.alias("k"), status.alias("status"))
-    out = _checkpoint(t)
+    return S.finding_snapshots(_stream(t, "orders").where("o_totalprice > 150000").select(k.alias("k")), existing, ["k"], _checkpoint(t))
 
-    def apply(batch, number):
-        R.upsert(batch, existing, "k").write.mode("overwrite").parquet(f"{out}/snapshots/{number}")
 
-    S.upsert_batches(_stream(t, "orders").where("o_totalprice > 150000").select(k.alias("k")), apply, f"{out}/checkpoint").awaitTermination()
-    return t.spark.read.schema("k bigint, before string, after string, action string").parquet(f"{out}/snapshots/*")
+@query("strs3_expired_leases", """
+WITH e AS (SELECT user_id AS job, date_trunc('millisecond', ts) + INTERVAL 120 SECOND AS until, event_type = 'view' AS claim, lead(date_trunc('millisecond', ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS following FROM events)
+SELECT job, until::TIMESTAMP AS expired_at FROM e WHERE claim AND CASE WHEN following IS NULL THEN until <= (SELECT max(ts) - INTERVAL 1 SECOND FROM events) ELSE following > until END""")
+def _(t):
+    """A view claims a lease of two minutes, any other event ends it; timers
+    count milliseconds."""
+    t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", S.STATE_STORE)
+    event = F.when(F.col("event_type") == "view", "claim").otherwise("end")
+    return _run(t, S.expired_leases(_stream(t, "events").select(F.col("user_id").alias("job"), F.col("ts").alias("at"), event.alias("event"), F.col("event_id").alias("place"))), "append")

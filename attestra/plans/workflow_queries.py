@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import evaluation as V
 from ..operators import relational as R
 from ..operators import reporting as P
 from ..operators import workflow as W
+from ..session import shared_folder
 from .registry import query
 from .relational import UPSERT_SQL, finding_upsert
 
@@ -209,7 +212,10 @@ def _(t):
     return P.nested_json(t.customer.select("c_custkey"), "c_custkey", {"orders": (t.orders.select("o_custkey", "o_orderkey", "o_orderstatus"), "o_custkey")})
 
 
-@query("snk05_html_report", None)
+@query("snk05_html_report", """
+WITH h AS (SELECT '<!DOCTYPE html><html lang="es"><head><meta charset="utf-8"><title>Países</title></head><body><h1>Países</h1><table><tr><th>n_nationkey</th><th>n_name</th><th>n_regionkey</th></tr>'
+|| string_agg('<tr><td>' || n_nationkey || '</td><td>' || n_name || '</td><td>' || n_regionkey || '</td></tr>', '' ORDER BY n_nationkey) || '</table></body></html>' AS html FROM nation)
+SELECT length(html)::INT AS size, sha256(html) AS digest FROM h""")
 def _(t):
     page = P.html_table(t.nation.orderBy("n_nationkey"), "Países")
     return t.spark.createDataFrame([(page, len(page))], "html string, size int").select("size", F.sha2("html", 256).alias("digest"))
@@ -266,6 +272,11 @@ def _(t):
     return V.verdicts(s, "complete", "v").select("doc_id", "verdict")
 
 
-@query("snk08_audit_append")
+@query("snk08_audit_append", "SELECT event_id, ts, event_type AS action, user_id::VARCHAR AS actor FROM events")
 def _(t):
-    return t.events.select("event_id", "ts", F.col("event_type").alias("action"), F.col("user_id").cast("string").alias("actor"))
+    """Two appends to one log, read back."""
+    path = f"{shared_folder(t.spark)}/audit/{uuid.uuid4().hex}"
+    rows = t.events.select("event_id", "ts", F.col("event_type").alias("action"), F.col("user_id").cast("string").alias("actor"))
+    for part in (rows.where("event_type = 'view'"), rows.where("event_type != 'view'")):
+        P.append_audit(part, path)
+    return t.spark.read.schema(rows.schema).parquet(path)

@@ -28,6 +28,18 @@ def session(master: str | None = None, settings: Mapping[str, str] | None = None
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which driver and executors share.
+    Where it isn't set, a temporary folder serves as long as all run on one machine."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        root = "file://" + tempfile.mkdtemp(prefix="attestra-")
+        spark.sparkContext.setCheckpointDir(root)
+    return root.rstrip("/")
+
+
 _shipped: set[str] = set()
 
 

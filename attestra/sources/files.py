@@ -25,6 +25,17 @@ def read_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
 
 
+def scan(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """(path, length) of the files under a path, without reading them."""
+    return read_files(spark, path, pattern).select("path", "length")
+
+
+def against_manifest(found: DataFrame, manifest: DataFrame) -> DataFrame:
+    """The entries of a manifest (entry, file), and whether their file is there;
+    files that no entry announces come as rows without an entry."""
+    return manifest.join(found.select("file").distinct().withColumn("_there", F.lit(True)), "file", "full_outer").select("entry", "file", F.coalesce("_there", F.lit(False)).alias("present"))
+
+
 def kind_of(content: Column) -> Column:
     """Media kind by the first bytes."""
     start = lambda n: F.hex(F.substring(content, 1, n))

@@ -3,14 +3,18 @@ returns one, or starts a query that ends when all files are read."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-LEASES = "job long, at timestamp, event string"
+from ..operators.relational import upsert
+
+LEASES = "job long, at timestamp, event string, place long"
+#: Timers and typed state need this provider of state.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def arrivals(spark: SparkSession, path: str, schema, files_per_batch: int = 100) -> DataFrame:
@@ -40,9 +44,9 @@ def review_sessions(stream: DataFrame, ts: str, actor: str, gap: str = "30 minut
 
 
 class LeaseProcessor(StatefulProcessor):
-    """Emits a reclaim for each claim whose lease runs out without an end.
-    Claims and ends (job, at, event) come keyed by job; the lease is an
-    event-time timer."""
+    """Emits a reclaim for each claim whose lease runs out before the job's next
+    event.  Claims and ends (job, at, event, place) come keyed by job, in order
+    of at and place; the lease is an event-time timer."""
 
     seconds = 120
 
@@ -51,16 +55,22 @@ class LeaseProcessor(StatefulProcessor):
         self.until = handle.getValueState("until", "until long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        for frame in rows:
-            for r in frame.sort_values("at").itertuples():
-                if self.until.exists():
-                    self.handle.deleteTimer(int(self.until.get()[0]))
-                    self.until.clear()
-                if r.event == "claim":
-                    end = int(r.at.timestamp() * 1000) + self.seconds * 1000
-                    self.until.update((end,))
-                    self.handle.registerTimer(end)
-        return iter(())
+        before = until = int(self.until.get()[0]) if self.until.exists() else None
+        expired = []
+        for r in pd.concat(rows).sort_values(["at", "place"]).itertuples():
+            at = r.at.value // 1_000_000
+            if until is not None and at > until:
+                expired.append(until)
+            until = at + self.seconds * 1000 if r.event == "claim" else None
+        if before is not None and until != before:
+            self.handle.deleteTimer(before)
+        if until is None:
+            self.until.clear()
+        elif until != before:
+            self.until.update((until,))
+            self.handle.registerTimer(until)
+        if expired:
+            yield pd.DataFrame({"job": [int(key[0])] * len(expired), "expired_at": pd.to_datetime(expired, unit="ms")})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.until.clear()
@@ -82,6 +92,29 @@ def upsert_batches(stream: DataFrame, apply: Callable[[DataFrame, int], None], c
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def finding_snapshots(stream: DataFrame, existing: DataFrame, keys: Sequence[str], out: str, scope: Sequence[str] = ()) -> DataFrame:
+    """Upsert each micro-batch of produced findings against the snapshot that the
+    batch before it left, and return the last one: (keys, before, after, action).
+    A batch that is run again overwrites its own snapshot.  With ``scope`` (some
+    of the keys, such as the dossier) a batch only speaks for what it names."""
+    spark = stream.sparkSession
+    fields = [existing.schema[k] for k in keys]
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["before string", "after string", "action string"])
+    last: list[int] = []
+
+    def apply(batch: DataFrame, number: int) -> None:
+        before = existing
+        if number:
+            before = spark.read.schema(schema).parquet(f"{out}/snapshots/{number - 1}").select(*keys, F.col("after").alias("status"))
+        upsert(batch, before, keys, batch.select(*scope) if scope else None).write.mode("overwrite").parquet(f"{out}/snapshots/{number}")
+        last.append(number)
+
+    upsert_batches(stream, apply, f"{out}/checkpoint").awaitTermination()
+    if not last:
+        return upsert(existing.where("false"), existing, keys, existing.select(*keys).where("false"))
+    return spark.read.schema(schema).parquet(f"{out}/snapshots/{max(last)}")
+
+
 def drained(frame: DataFrame, out: str, mode: str = "append") -> DataFrame:
     """Run a stream over all that is there and return its rows: every batch is
     a folder under ``out``; a complete result is that of the last batch."""

@@ -47,6 +47,8 @@ def test_structured(spark):
     row = spark.createDataFrame([('[{"a": 1}, {"b": {"c": "x"}}]', "x")], "j string, v string")
     assert row.select(structured.object_with_value(F.col("j"), F.col("v"))).first()[0] == '{"c": "x"}'
     assert ev(spark, lambda c: structured.last_json(c, "a int")["a"], 'so {"a": 1} then {"a": 2} end') == 2
+    nested = ev(spark, lambda c: structured.last_json(c, "a int, b struct<c:int>"), 'noise {"a": 1, "b": {"c": 2}} end {not json}')
+    assert (nested["a"], nested["b"]["c"]) == (1, 2)
 
 
 def test_chunks_reproduce_the_text():
@@ -85,6 +87,11 @@ def test_csv_dialects(spark, tmp_path):
     rows = spark.createDataFrame([("a;b", '=x"')], "field_path string, value string")
     reporting.write_csv(reporting.csv_rows(rows), str(tmp_path / "s"), "semicolon")
     body = b"".join(p.read_bytes() for p in (tmp_path / "s").glob("part-*"))
-    assert body == b'"a;b";"\'=x"""\r\n'
+    assert body == b'\xef\xbb\xbf"field_path";"value"\r\n"a;b";"\'=x"""\r\n'
     reporting.write_csv(reporting.csv_rows(rows), str(tmp_path / "p"))
     assert b"field_path,value" in b"".join(p.read_bytes() for p in (tmp_path / "p").glob("part-*"))
+
+
+def test_a_long_report_says_what_it_leaves_out(spark):
+    page = reporting.html_table(spark.range(5), "t", most=3)
+    assert page.count("<tr>") == 4 and "3 de 5" in page and "<p>" not in reporting.html_table(spark.range(3), "t", most=3)

@@ -65,3 +65,23 @@ def test_fixture_dossiers_have_exactly_the_expected_rules(spark):
 
     found = rules.evaluate(fixtures.context(spark)).select("dossier_id", "rule_id").distinct().collect()
     assert {d: {r["rule_id"] for r in found if r["dossier_id"] == d} for d in fixtures.EXPECTED} == fixtures.EXPECTED
+
+
+def test_findings_are_named_by_dossier_and_fingerprint(spark):
+    d = spark.createDataFrame
+    produced = d([("A", "f")], "dossier_id string, fingerprint string")
+    existing = d([("A", "f", "OPEN"), ("B", "f", "OPEN"), ("B", "g", "DISMISSED")], "dossier_id string, fingerprint string, status string")
+    keys = ["dossier_id", "fingerprint"]
+    whole = {tuple(r) for r in R.upsert(produced, existing, keys).collect()}
+    assert whole == {("A", "f", "OPEN", "OPEN", "REFRESHED"), ("B", "f", "OPEN", "RESOLVED", "AUTO_RESOLVED"), ("B", "g", "DISMISSED", "DISMISSED", "KEPT")}
+    only_a = {tuple(r) for r in R.upsert(produced, existing, keys, produced.select("dossier_id")).collect()}
+    assert only_a == {("A", "f", "OPEN", "OPEN", "REFRESHED"), ("B", "f", "OPEN", "OPEN", "KEPT"), ("B", "g", "DISMISSED", "DISMISSED", "KEPT")}
+
+
+def test_the_last_emission_of_a_finding_counts(spark):
+    c = context(spark, False)
+    rows = [("i", "A", "F-1", date(2025, 3, 1), "P", "INN-2025-041", D(100), D(21), D(t)) for t in (130, 150, 140)]
+    for parts in (1, 3):
+        c2 = rules.Context(**{**c.__dict__, "invoices": spark.createDataFrame(rows, c.invoices.schema).repartition(parts)})
+        found = rules.evaluate(c2).where("rule_id = 'INVOICE_ARITHMETIC_MISMATCH'").collect()
+        assert len(found) == 1 and found[0]["detail"]["stated_total_eur"].startswith("150")

@@ -34,11 +34,24 @@ def test_intake_keeps_refusals_as_rows(spark, tmp_path):
 def test_workbook_cells(spark):
     frame = spark.createDataFrame([("d", bytearray(book()))], "document_id string, content binary")
     got = sorted(tuple(r) for r in workbook.workbook_cells(frame).collect())
-    assert got == [("d", "Horas", 1, 1, "Mes", "s", False), ("d", "Horas", 1, 3, "x", "inlineStr", False), ("d", "Horas", 1, 28, "2", "n", True)]
+    assert got == [("d", "Horas", 1, 1, "Mes", "s", False, None), ("d", "Horas", 1, 3, "x", "inlineStr", False, None), ("d", "Horas", 1, 28, "2", "n", True, "1+1")]
     with pytest.raises(ValueError):
         list(workbook.cells_of(book(), most=1))
 
 
+def test_a_bad_workbook_is_a_row(spark):
+    frame = spark.createDataFrame([("good", bytearray(book())), ("bad", bytearray(b"PK\x03\x04zz")), ("none", None)], "document_id string, content binary")
+    got = {r["document_id"]: (r["status"], r["cells"]) for r in workbook.workbook_status(frame).collect()}
+    assert got == {"good": ("EXTRACTED", 3), "bad": ("CORRUPT", 0), "none": ("CORRUPT", 0)}
+    assert {r["document_id"] for r in workbook.workbook_cells(frame).collect()} == {"good"}
+
+
+def test_files_against_a_manifest(spark):
+    found = spark.createDataFrame([("a.pdf",), ("z.pdf",)], "file string")
+    manifest = spark.createDataFrame([("A", "a.pdf"), ("B", "b.pdf")], "entry string, file string")
+    assert {tuple(r) for r in files.against_manifest(found, manifest).collect()} == {("A", "a.pdf", True), ("B", "b.pdf", False), (None, "z.pdf", True)}
+
+
 def test_page_fields_and_urls(spark):
     html = '<dl><dt>x</dt><dd data-field="call-code">C-1 <b>x</b></dd><dd data-field="eligible-from">2025-01-01</dd></dl>'
     got = {r["field_path"]: (r["value"], r["missing"]) for r in pages.page_fields(spark.createDataFrame([(1, html)], "id int, html string"), "id", "html").collect()}

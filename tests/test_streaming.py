@@ -26,7 +26,18 @@ def test_expired_leases(spark, tmp_path):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     t = lambda m, s=0: datetime(2025, 1, 1, 0, m, s)
     src = tmp_path / "in"
-    for rows in ([(1, t(0), "claim"), (2, t(0), "claim")], [(2, t(1), "end")], [(3, t(30), "claim")], [(4, t(31), "claim")]):
+    for rows in ([(1, t(0), "claim", 1), (2, t(0), "claim", 2), (5, t(0), "claim", 3), (5, t(9), "end", 4)], [(2, t(1), "end", 5)], [(3, t(30), "claim", 6)], [(4, t(31), "claim", 7)]):
         spark.createDataFrame(rows, S.LEASES).coalesce(1).write.mode("append").parquet(str(src))
     out = S.drained(S.expired_leases(S.arrivals(spark, str(src), S.LEASES, 1)), str(tmp_path / "out"))
-    assert 1 in {r["job"] for r in out.collect()} and 2 not in {r["job"] for r in out.collect()}
+    assert {(r["job"], r["expired_at"]) for r in out.collect()} == {(1, t(2)), (5, t(2))}
+
+
+def test_snapshots_follow_each_other(spark, tmp_path):
+    src, form = tmp_path / "in", "dossier string, fingerprint string"
+    for rows in ([("A", "f"), ("A", "g")], [("B", "f")], [("A", "g")]):
+        spark.createDataFrame(rows, form).coalesce(1).write.mode("append").parquet(str(src))
+    existing = spark.createDataFrame([("A", "old", "OPEN"), ("B", "old", "ACCEPTED"), ("C", "old", "OPEN")], form + ", status string")
+    out = S.finding_snapshots(S.arrivals(spark, str(src), form, 1), existing, ["dossier", "fingerprint"], str(tmp_path / "out"), ["dossier"])
+    got = {(r["dossier"], r["fingerprint"]): r["after"] for r in out.collect()}
+    assert out.count() == len(got) == 6
+    assert got == {("A", "f"): "RESOLVED", ("A", "g"): "OPEN", ("A", "old"): "RESOLVED", ("B", "f"): "OPEN", ("B", "old"): "ACCEPTED", ("C", "old"): "OPEN"}
