@@ -1,6 +1,6 @@
 """Helpers that every operator of this subpackage shares.
 
-* ``shared_root``  the folder that driver and executors share;
+* ``shared_root``  the folder that driver and executors share (of the session);
 * ``stored``       write a frame there and read it again, which cuts lineage
   and lets a lost executor be survived;
 * ``pick``         take the columns an operator needs from a table that may
@@ -9,16 +9,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch handed to Python.  Texts may be long; a batch of
-#: this many rows stays within a worker's memory for texts of 100 KB.
-ARROW_ROWS = 512
+from ..session import shared_folder as shared_root
+
+#: Rows, and bytes, in one Arrow batch handed to Python, and bytes of text that
+#: are worked on together.
+ARROW_ROWS, ARROW_BYTES, SLICE_BYTES = 512, 64 << 20, 8 << 20
 
 
 #: What empties the tables that an operator keeps in a worker process.
@@ -37,18 +40,6 @@ def take_worker(owner: str) -> None:
             empty()
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a temporary one is set
-    only where none is named, as in tests on one machine."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="attestra-")
-        spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/attestra/{uuid.uuid4().hex}/{name}"
 
@@ -61,15 +52,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def delete(spark: SparkSession, path: str) -> None:
-    """Remove a path of the shared folder."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def arrow_rows(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Bound the rows of the Arrow batches that Python workers receive."""
+    """Bound the rows and bytes of the Arrow batches that Python workers receive."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+
+
+def byte_slices(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """A batch in slices whose texts hold at most so many bytes (one row at least)."""
+    sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_pylist()
+    start = held = 0
+    for k, n in enumerate(sizes):
+        if k > start and held + n > most:
+            yield batch.slice(start, k - start)
+            start, held = k, 0
+        held += n
+    yield batch.slice(start)
 
 
 def pick(df: DataFrame, *columns: str) -> DataFrame:

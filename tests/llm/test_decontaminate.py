@@ -1,7 +1,11 @@
 import hashlib
+import random
 import re
 
+import pyarrow as pa
+
 from attestra.llm import decontaminate as d
+from attestra.llm.common import byte_slices
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -51,8 +55,9 @@ def test_small_cases_against_brute_force(spark):
 
 def test_blocks_give_the_same_rows(spark, small):
     docs, bench = spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/benchmark.parquet")
-    one = d.annotate(docs.select("doc_id", "text"), bench).drop("text")
-    many = d.annotate(docs.select("doc_id", "text"), bench, block_bytes=2000).drop("text")
+    names = ("n", "spans", "matches")
+    one = d.annotate(docs.select("doc_id", "text"), bench, names).drop("text")
+    many = d.annotate(docs.select("doc_id", "text"), bench, names, block_bytes=2000).drop("text")
     assert sorted(map(str, one.collect())) == sorted(map(str, many.collect()))
 
 
@@ -71,4 +76,51 @@ def test_driver_tables_against_brute_force(spark, small):
 def test_empty_tables(spark, small):
     docs, bench = spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/benchmark.parquet")
     assert d.contamination(docs.where("false"), bench).count() == 0
-    assert d.contamination(docs, bench.where("false")).where("contaminated").count() == 0
+    none = d.contamination(docs, bench.where("false"))
+    assert none.where("contaminated").count() == 0 and none.where("longest_match > 0 or longest_item is not null").count() == 0
+
+
+def brute_longest(text, items, window=10):
+    """(words, item, place, item place) of the longest match; the first one of several."""
+    w, best = brute_words(text), None
+    for item, t in items:
+        v = brute_words(t)
+        least = min(window, len(v))
+        for p in range(len(w)):
+            for i in range(len(v)):
+                n = 0
+                while p + n < len(w) and i + n < len(v) and w[p + n] == v[i + n]:
+                    n += 1
+                if n >= least > 0:
+                    key = (-n, p, str(item), i)
+                    best = key if best is None else min(best, key)
+    return (0, None, None, None) if best is None else (-best[0], best[2], best[1], best[3])
+
+
+def test_longest_matches_against_brute_force(spark, small):
+    rnd = random.Random(3)
+    vocab = [f"w{k}" for k in range(300)]
+    items = [(k, " ".join(rnd.choice(vocab) for _ in range(40))) for k in range(12)] + [(90, "same same " * 12), (91, "tiny one"), (90, "w1 w2 w3")]
+    docs = [(-1, "same " * 30), (-2, "tiny one and tiny one"), (-3, None)]
+    for i in range(120):
+        parts = [rnd.choice(vocab) for _ in range(rnd.randrange(20))]
+        for _ in range(rnd.randrange(3)):
+            v = brute_words(rnd.choice(items)[1])
+            a = rnd.randrange(len(v))
+            parts += v[a : a + rnd.randrange(1, 35)] + [rnd.choice(vocab)]
+        docs.append((i, " ".join(parts)))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {r["doc_id"]: (r["longest_match"], r["longest_item"], r["longest_place"], r["longest_item_place"]) for r in d.contamination(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert got == {i: brute_longest(t, items) for i, t in docs}
+    assert sum(m[0] > 12 for m in got.values()) > 20
+
+
+def test_slices_are_bounded_by_bytes():
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3, 4]), pa.array(["a" * 5, None, "b" * 9, "c"])], ["i", "t"])
+    assert [s.num_rows for s in byte_slices(batch, 1, 6)] == [2, 1, 1] and [s.num_rows for s in byte_slices(batch.slice(0, 0), 1)] == [0]
+
+
+def test_clashing_columns_are_kept(spark):
+    docs = spark.createDataFrame([(1, "a", 1, "x"), (2, "a b c d e f g h i j k", 2, "y")], "doc_id long, text string, found_words int, Found_Spans string")
+    kept = d.decontaminate(docs, spark.createDataFrame(ITEMS, "item_id long, text string"))
+    assert kept.columns == docs.columns and [tuple(r) for r in kept.collect()] == [(1, "a", 1, "x")]
