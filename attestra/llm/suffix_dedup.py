@@ -19,15 +19,17 @@ length moves many times the input, so ranks are kept where they are needed:
   equal windows repeat.
 
 Every string that the plain method would find is found: the sample depends on
-the window's bytes alone.  Documents are kept in one table bucketed by group;
-the passes over it do not shuffle texts.  A group sends one row for each
-distinct rank pair, so a passage in a third of all documents is one row for
-each group, not for each document.
+the window's bytes alone.  Documents are kept in one table bucketed by part; the
+passes over it do not shuffle texts.  A part (``BUCKET_BYTES`` of text) is worked
+on in groups of ``GROUP_BYTES``.  A group sends each distinct rank pair once, so a
+passage in a third of all documents travels once for each group, not for each
+document; what a part's groups send to one bucket is one row.  There are as many
+parts and buckets as the bytes (or the shuffle partitions) ask for.
 
 Defined results: null text counts as empty; rows with a null id are neither
 compared nor changed; rows of equal id are compared by start alone, so neither
-of two equal rows removes the other; texts under 100 bytes keep all bytes.
-Extra columns are ignored.
+of two equal rows removes the other; texts under 100 bytes keep all bytes; an
+empty table gives no rows.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,6 +37,7 @@ from __future__ import annotations
 import gc
 import hashlib
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -185,31 +188,49 @@ class Group:
         base = first[number]
         return first, number, (mine > mine[base]) | (start > start[base])
 
-    def messages(self, g: int, buckets: int, k: np.ndarray, x: np.ndarray, doc: np.ndarray, p: np.ndarray) -> pa.Table:
-        """Sorted rank pairs with their places, one row for each bucket."""
+    def messages(self, g: int, buckets: int, k: np.ndarray, x: np.ndarray, doc: np.ndarray, p: np.ndarray) -> list[tuple[int, int, int, int, bytes]]:
+        """Sorted rank pairs with their places, packed for each bucket: bucket,
+        group, place of the first pair, number of pairs, pairs."""
+        if not len(k):
+            return []
         mine, start = self.key(doc, p)
         to = ((k >> U(32)) * U(buckets) >> U(32)).astype(np.int64)
-        cut = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])) if len(to) else np.zeros(0, np.int64)
+        cut = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]]))
         end = np.concatenate([cut[1:], [len(to)]]).astype(np.int64)
         start = start.astype(np.int32)
         blobs = [pack(k[a:b], x[a:b], mine[a:b], start[a:b]) for a, b in zip(cut, end, strict=False)]
-        return pa.table({"bucket": pa.array(to[cut], pa.int32()), "g": pa.array([g] * len(cut), pa.int32()), "begin": pa.array(cut, pa.int64()), "n": pa.array(end - cut, pa.int32()), "blob": pa.array(blobs, pa.binary())})
+        return [(int(bucket), g, int(a), int(b - a), blob) for bucket, a, b, blob in zip(to[cut], cut, end, blobs, strict=True)]
 
 
-MESSAGE = "bucket int, g int, begin bigint, n int, blob binary"
-REPLY = "g int, level int, places binary, open boolean"
+MESSAGE = "bucket int, sent array<struct<g:int,begin:bigint,n:int,blob:binary>>"
+REPLY = "part int, g int, level int, places binary, open boolean"
+_SENT = pa.list_(pa.struct([("g", pa.int32()), ("begin", pa.int64()), ("n", pa.int32()), ("blob", pa.binary())]))
 
 
-def _group(table: pa.Table) -> tuple[int, Group]:
-    return table.column("g")[0].as_py(), Group(table.column("doc_id").to_pylist(), table.column("text").to_pylist())
+def _groups(table: pa.Table) -> Iterator[tuple[int, Group]]:
+    """The groups of a part, one at a time."""
+    if table.num_rows:
+        of = table.column("g").to_numpy()
+        for g in np.unique(of):
+            mine = table.filter(pa.array(of == g))
+            yield int(g), Group(mine.column("doc_id").to_pylist(), mine.column("text").to_pylist())
 
 
-def _answers(level: int):
+def _by_bucket(messages: list[tuple[int, int, int, int, bytes]]) -> pa.Table:
+    """What the groups of a part send, one row for each bucket."""
+    rows: dict[int, list[dict]] = {}
+    for bucket, g, begin, n, blob in messages:
+        rows.setdefault(bucket, []).append({"g": g, "begin": begin, "n": n, "blob": blob})
+    return pa.table({"bucket": pa.array(list(rows), pa.int32()), "sent": pa.array(list(rows.values()), _SENT)})
+
+
+def _answers(level: int, parts: int):
     """A bucket's work: for every rank pair, whether it began earlier."""
 
     def run(table: pa.Table) -> pa.Table:
         k, x, d, s, g, place = [], [], [], [], [], []
-        for source, begin, n, blob in zip(*(table.column(c).to_pylist() for c in ("g", "begin", "n", "blob")), strict=True):
+        for m in (m for sent in table.column("sent") for m in sent.as_py()):
+            source, begin, n, blob = m["g"], m["begin"], m["n"], m["blob"]
             for held, part in zip((k, x, d, s), unpack(blob, n, np.uint64, np.uint64, np.int64, np.int32), strict=True):
                 held.append(part)
             g.append(np.full(n, source, np.int32))
@@ -239,23 +260,34 @@ def _answers(level: int):
                 out["level"].append(level)
                 out["places"].append(np.sort(place[at[a:b]]).astype(np.int32).tobytes())
                 out["open"].append(flag)
-        return pa.table({"g": pa.array(out["g"], pa.int32()), "level": pa.array(out["level"], pa.int32()), "places": pa.array(out["places"], pa.binary()), "open": pa.array(out["open"], pa.bool_())})
+        return pa.table({"part": pa.array([g % parts for g in out["g"]], pa.int32()), "g": pa.array(out["g"], pa.int32()), "level": pa.array(out["level"], pa.int32()), "places": pa.array(out["places"], pa.binary()), "open": pa.array(out["open"], pa.bool_())})
 
     return run
 
 
 def _first_messages(buckets: int):
     def run(table: pa.Table) -> pa.Table:
-        g, group = _group(table)
-        first, _, _ = group.representatives(group.k, group.x, group.doc, group.first)
-        return group.messages(g, buckets, group.k[first], group.x[first], group.doc[first], group.first[first])
+        out = []
+        for g, group in _groups(table):
+            first, _, _ = group.representatives(group.k, group.x, group.doc, group.first)
+            out += group.messages(g, buckets, group.k[first], group.x[first], group.doc[first], group.first[first])
+        return _by_bucket(out)
 
     return run
 
 
-def _told(replies: pa.Table, level: int, is_open: bool) -> np.ndarray:
-    parts = [np.frombuffer(p, np.int32) for p, x, o in zip(replies.column("places").to_pylist(), replies.column("level").to_pylist(), replies.column("open").to_pylist(), strict=True) if x == level and o == is_open]
-    return np.concatenate(parts) if parts else np.zeros(0, np.int32)
+class Told:
+    """The replies to a part: places of rank pairs by group, level and kind."""
+
+    def __init__(self, replies: pa.Table) -> None:
+        self.parts: dict[tuple, list[np.ndarray]] = {}
+        if not replies.num_rows:
+            return
+        for *key, places in zip(*(replies.column(c).to_pylist() for c in ("g", "level", "open", "places")), strict=True):
+            self.parts.setdefault(tuple(key), []).append(np.frombuffer(places, np.int32))
+
+    def __call__(self, g: int, level: int, is_open: bool) -> np.ndarray:
+        return np.concatenate(self.parts.get((g, level, is_open), [np.zeros(0, np.int32)]))
 
 
 class Windows:
@@ -274,31 +306,36 @@ class Windows:
 
 def _second_messages(buckets: int):
     def run(table: pa.Table, replies: pa.Table) -> pa.Table:
-        if not table.num_rows or not replies.num_rows:
-            return pa.table({"bucket": pa.array([], pa.int32()), "g": pa.array([], pa.int32()), "begin": pa.array([], pa.int64()), "n": pa.array([], pa.int32()), "blob": pa.array([], pa.binary())})
-        g, group = _group(table)
-        first, _, _ = group.representatives(group.k, group.x, group.doc, group.first)
-        w = Windows(group, first, _told(replies, 0, True))
-        return group.messages(g, buckets, w.k[w.first], w.x[w.first], w.doc[w.first], w.p[w.first])
+        out, told = [], Told(replies)
+        for g, group in _groups(table) if replies.num_rows else ():
+            first, _, _ = group.representatives(group.k, group.x, group.doc, group.first)
+            w = Windows(group, first, told(g, 0, True))
+            out += group.messages(g, buckets, w.k[w.first], w.x[w.first], w.doc[w.first], w.p[w.first])
+        return _by_bucket(out)
 
     return run
 
 
+KEPT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
+
+
 def _removals(table: pa.Table, replies: pa.Table) -> pa.Table:
     """Per document what is removed and what is kept."""
-    if not table.num_rows:
-        return pa.table({"doc_id": pa.array([], pa.int64()), **{c: pa.array([], pa.int64()) for c in ("n_bytes", "n_removed", "n_spans")}, "kept_sha256": pa.array([], pa.string()), "kept": pa.array([], pa.binary())})
-    _, group = _group(table)
+    told = Told(replies)
+    return pa.concat_tables([KEPT.empty_table(), *(_of_group(g, group, told) for g, group in _groups(table))])
+
+
+def _of_group(g: int, group: Group, told: Told) -> pa.Table:
     first, number, later = group.representatives(group.k, group.x, group.doc, group.first)
     again = np.zeros(len(first), bool)
-    again[_told(replies, 0, False)] = True
+    again[told(g, 0, False)] = True
     whole = later | again[number]
     edge = np.zeros(int(group.begin[-1]) + 1, np.int32)
     np.add.at(edge, group.first[whole], 1)
     np.add.at(edge, group.last[whole] + LENGTH, -1)
-    w = Windows(group, first, _told(replies, 0, True))
+    w = Windows(group, first, told(g, 0, True))
     again = np.zeros(len(w.first), bool)
-    again[_told(replies, 1, False)] = True
+    again[told(g, 1, False)] = True
     single = w.later | again[w.number]
     np.add.at(edge, w.p[single], 1)
     np.add.at(edge, w.p[single] + LENGTH, -1)
@@ -316,7 +353,8 @@ def _removals(table: pa.Table, replies: pa.Table) -> pa.Table:
 
 
 def _digests(table: pa.Table, replies: pa.Table) -> pa.Table:
-    return _removals(table, replies).drop_columns(["kept"])
+    told, form = Told(replies), KEPT.empty_table().drop_columns(["kept"])
+    return pa.concat_tables([form, *(_of_group(g, group, told).drop_columns(["kept"]) for g, group in _groups(table))])
 
 
 DIGESTS = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
@@ -336,23 +374,24 @@ def dedup(docs: DataFrame, keep_bytes: bool = False, group_bytes: int = GROUP_BY
     rows = pick(docs, "doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")).cast("binary"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = -(-total // group_bytes) or 1
-    buckets = max(1, min(groups, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))))
+    parts = buckets = max(1, min(groups, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))))
     name = f"attestra_{uuid.uuid4().hex}"
-    grouped = rows.where("doc_id is not null").withColumn("g", F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int"))
-    grouped.repartition(buckets, "g").write.bucketBy(buckets, "g").option("compression", "zstd").option("path", new_path(spark, "texts")).saveAsTable(name)
-    texts = spark.table(name)
-    _release(docs)
-    first = texts.groupBy("g").applyInArrow(_first_messages(groups), MESSAGE)
-    replies = stored(first.groupBy("bucket").applyInArrow(_answers(0), REPLY), "replies")
-    del first
-    _release(docs)
-    second = texts.groupBy("g").cogroup(replies.groupBy("g")).applyInArrow(_second_messages(groups), MESSAGE)
-    more = stored(second.groupBy("bucket").applyInArrow(_answers(1), REPLY), "replies")
-    del second
-    _release(docs)
-    told = replies.unionByName(more)
-    done = texts.groupBy("g").cogroup(told.groupBy("g"))
+    grouped = rows.where("doc_id is not null").withColumn("g", F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int")).withColumn("part", F.col("g") % parts)
+    grouped.repartition(parts, "part").write.bucketBy(parts, "part").option("compression", "zstd").option("path", new_path(spark, "texts")).saveAsTable(name)
+    try:
+        texts = spark.table(name)
+        _release(docs)
+        first = texts.groupBy("part").applyInArrow(_first_messages(buckets), MESSAGE)
+        replies = stored(first.groupBy("bucket").applyInArrow(_answers(0, parts), REPLY), "replies")
+        del first
+        _release(docs)
+        second = texts.groupBy("part").cogroup(replies.groupBy("part")).applyInArrow(_second_messages(buckets), MESSAGE)
+        more = stored(second.groupBy("bucket").applyInArrow(_answers(1, parts), REPLY), "replies")
+        del second
+        _release(docs)
+        done = texts.groupBy("part").cogroup(replies.unionByName(more).groupBy("part"))
+        found = stored(done.applyInArrow(_removals, f"{DIGESTS}, kept binary") if keep_bytes else done.applyInArrow(_digests, DIGESTS), "removals")
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")  # its files are in the shared folder
     alone = rows.where("doc_id is null").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"), F.col("text").alias("kept"))
-    if keep_bytes:
-        return done.applyInArrow(_removals, f"{DIGESTS}, kept binary").unionByName(alone)
-    return done.applyInArrow(_digests, DIGESTS).unionByName(alone.drop("kept"))
+    return found.unionByName(alone if keep_bytes else alone.drop("kept"))
