@@ -98,10 +98,10 @@ def hot_keys(counts: DataFrame, key: str, n: str) -> list:
     return [r[0] for r in counts.where(F.col(n) > total / HOT_PARTS).select(key).collect()]
 
 
-def salted_join(rows: DataFrame, one: DataFrame, key: str, hot: list, by: str) -> DataFrame:
+def salted_join(rows: DataFrame, one: DataFrame, key: str, hot: list, by: str, how: str = "inner") -> DataFrame:
     """``rows`` joined with a table of one row per key; the rows of hot keys are
     spread by a hash of ``by``, and the hot rows of ``one`` copied to match."""
     is_hot = F.col(key).isin(hot)
     dealt = rows.withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).otherwise(0))
     copied = one.withColumn("_salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
-    return dealt.join(copied, [key, "_salt"]).drop("_salt")
+    return dealt.join(copied, [key, "_salt"], how).drop("_salt")

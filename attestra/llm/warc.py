@@ -4,32 +4,39 @@ transactions from request, response and metadata records.
 Writing stays in DataFrame operations: a row becomes the text of three records
 (capture, request, metadata) and Spark's text sink ends each with the blank
 line WARC asks for.  Of captures with equal payloads of at least
-``REVISIT_BYTES`` bytes the first (smallest page_id, then order of the table)
-is a response; the others are revisits that carry no payload.
-
-Reading parses each archive by the records' declared lengths, so payloads may
-hold anything, blank lines included; payload digests are computed anew and held
-against the declared ones.  ``transactions`` joins the records through their
-concurrent-to identifiers and gives one nested row per capture.
+``REVISIT_BYTES`` bytes the first (smallest page_id, then order of the table) is
+a response; the others are revisits that carry no payload.  First ones are found
+from digests and ids alone; the captures of a payload that very many pages share
+are spread over tasks when they meet them.  An archive holds about
+``ARCHIVE_BYTES`` of payloads.
+
+Reading inflates each archive piece by piece and parses it by the records'
+declared lengths, so payloads may hold anything, blank lines included; payload
+digests are computed anew and held against the declared ones.  ``transactions``
+joins the records through their concurrent-to identifiers and gives one nested
+row per capture.
 
 Defined results: null html is an empty payload; a null url is the empty target;
-a null page_id stays null; repeated rows are captures of their own; an empty
-table gives no captures.  Extra columns are ignored.
+a null page_id stays null and comes after all others (it is the response only
+where no other page has the payload); repeated rows are captures of their own;
+very long payloads are kept whole; an empty table gives no captures.  Extra
+columns are ignored.  Captures are numbered by their place, so the pages must
+come from a stored table, whose rows stay in place.
 """
 
 from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ARROW_ROWS, arrow_rows, new_path, pick, stored
+from .common import ARROW_ROWS, arrow_rows, hot_keys, new_path, pick, salted_join, stored
 
-REVISIT_BYTES = 100
+REVISIT_BYTES, ARCHIVE_BYTES, PIECE = 100, 128 << 20, 1 << 20
 DATE = "2024-01-01T00:00:00Z"
 EOL = "\r\n"
 RECORD = "kind string, record_id string, concurrent_to string, refers_to string, target string, payload_bytes bigint, payload_digest string, fields map<string,string>"
@@ -49,8 +56,11 @@ def write_archives(pages: DataFrame, path: str) -> None:
         "page_id", F.regexp_replace(F.coalesce("url", F.lit("")), r"[\x00-\x20]", "%20").alias("target"), F.coalesce("html", F.lit("")).alias("html"), F.monotonically_increasing_id().alias("uid")
     )
     rows = rows.withColumn("digest", F.sha2("html", 256)).withColumn("bytes", F.octet_length("html"))
-    first = rows.where(F.col("bytes") >= REVISIT_BYTES).groupBy("digest").agg(F.min(F.struct("page_id", "uid")).alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1").select("digest", "first")
-    rows = rows.join(first, "digest", "left").withColumn("again", F.col("first").isNotNull() & (F.col("first.uid") != F.col("uid")))
+    order = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "uid")
+    first = stored(rows.where(F.col("bytes") >= REVISIT_BYTES).groupBy("digest").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1"), "first")
+    mean = rows.agg(F.avg("bytes")).first()[0] or 0.0
+    rows = salted_join(rows, first.drop("copies"), "digest", hot_keys(first, "digest", "copies"), "uid", "left")
+    rows = rows.withColumn("again", F.col("first").isNotNull() & (F.col("first.uid") != F.col("uid")))
 
     def name(kind: str, uid):
         return F.concat(F.lit("<urn:attestra:"), uid.cast("string"), F.lit(f":{kind}>"))
@@ -72,24 +82,53 @@ def write_archives(pages: DataFrame, path: str) -> None:
     request = _record("request", name("request", F.col("uid")), F.concat(F.lit("GET "), F.col("target"), F.lit(f" HTTP/1.1{EOL}Host: "), host, F.lit(EOL + EOL)), ("WARC-Target-URI", F.col("target")), ("WARC-Concurrent-To", capture), ("Content-Type", F.lit("application/http; msgtype=request")))
     fields = F.coalesce(F.concat(F.lit("page-id: "), F.col("page_id").cast("string"), F.lit(EOL)), F.lit(""))
     metadata = _record("metadata", name("metadata", F.col("uid")), fields, ("WARC-Target-URI", F.col("target")), ("WARC-Concurrent-To", capture), ("Content-Type", F.lit("application/warc-fields")))
-    rows.select(F.explode(F.array(response, request, metadata)).alias("value")).write.option("lineSep", EOL + EOL).option("compression", "gzip").text(path)
-
-
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers (names in lower case) and block of each record of an archive."""
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        version, *lines = data[at:end].decode().split(EOL)
+    rows.select(F.explode(F.array(response, request, metadata)).alias("value")).write.option("lineSep", EOL + EOL).option("compression", "gzip").option("maxRecordsPerFile", 3 * (1 + int(ARCHIVE_BYTES / (mean + 1000)))).text(path)
+
+
+def parse(pieces: Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers (names in lower case) and block of each record of an archive that
+    comes in pieces; no more than a record and a piece is held."""
+    held, source = bytearray(), iter(pieces)
+
+    def fill(wanted: int) -> bool:
+        while len(held) < wanted:
+            piece = next(source, None)
+            if piece is None:
+                return False
+            held.extend(piece)
+        return True
+
+    while fill(1):
+        end = held.find(b"\r\n\r\n")
+        while end < 0:
+            if not fill(len(held) + 1):
+                raise ValueError("record is cut short")
+            end = held.find(b"\r\n\r\n")
+        version, *lines = held[:end].decode().split(EOL)
         if not version.startswith("WARC/"):
             raise ValueError("not at the start of a record")
         headers = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines)}
-        size = int(headers["content-length"])
-        block = data[end + 4 : end + 4 + size]
-        if len(block) != size or data[end + 4 + size : end + 8 + size] != b"\r\n\r\n":
+        stop = end + 4 + int(headers["content-length"])
+        if not fill(stop + 4) or held[stop : stop + 4] != b"\r\n\r\n":
             raise ValueError("record is cut short")
-        yield headers, block
-        at = end + 8 + size
+        yield headers, bytes(held[end + 4 : stop])
+        del held[: stop + 4]
+
+
+def inflated(data: bytes) -> Iterator[bytes]:
+    """A gzipped archive, or one whose records are gzipped one by one, in pieces."""
+    rest = memoryview(data)
+    while len(rest):
+        z, at = zlib.decompressobj(47), 0
+        while not z.eof:
+            if at >= len(rest):
+                raise ValueError("archive is cut short")
+            tail = bytes(rest[at : at + PIECE])
+            at += len(tail)
+            while tail and not z.eof:
+                yield z.decompress(tail, PIECE)
+                tail = z.unconsumed_tail
+        rest = rest[at - len(z.unused_data) :]
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
@@ -101,7 +140,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
         for b in batches:
             for content in b.column(0):
                 rows = []
-                for h, block in parse(zlib.decompressobj(47).decompress(content.as_py())):
+                for h, block in parse(inflated(content.as_py())):
                     size = digest = None
                     fields: dict[str, str] = {}
                     declared = h.get("warc-payload-digest", "").removeprefix("sha256:") or None
@@ -139,7 +178,9 @@ def transactions(records: DataFrame) -> DataFrame:
     captures = records.where(F.col("kind").isin("response", "revisit")).select("record_id", "refers_to", whole.alias("capture"))
     nested = captures.join(part("request").drop("request_fields"), "record_id", "left").join(part("metadata"), "record_id", "left")
     origin = nested.where("capture.kind = 'response'").select(F.col("record_id").alias("refers_to"), F.col("capture.payload_bytes").alias("origin_bytes"), F.col("metadata_fields")["page-id"].alias("origin_page"))
-    again = nested.where("capture.kind = 'revisit'").join(origin, "refers_to", "left")
+    again = nested.where("capture.kind = 'revisit'")
+    counts = records.where("kind = 'revisit'").groupBy("refers_to").agg(F.count(F.lit(1)).alias("n"))
+    again = salted_join(again, origin, "refers_to", hot_keys(counts, "refers_to", "n"), "record_id", "left")
     return nested.where("capture.kind = 'response'").withColumn("origin_bytes", F.lit(None).cast("long")).withColumn("origin_page", F.lit(None).cast("string")).unionByName(again)
 
 
@@ -155,14 +196,16 @@ def archive_round_trip(pages: DataFrame) -> DataFrame:
         F.col("capture.payload_digest").alias("payload_digest"),
         F.col("capture.kind").alias("record_type"),
         F.col("origin_page").cast("long").alias("refers_to"),
+        F.col("capture.target").alias("target"),
+        F.col("request.target").alias("request_target"),
     )
 
 
 ORACLE = f"""
-WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
-d AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha256(html) AS payload_digest FROM p),
+WITH p AS (SELECT page_id, regexp_replace(coalesce(url, ''), '[\\x00-\\x20]', '%20', 'g') AS target, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, target, strlen(html)::BIGINT AS payload_bytes, sha256(html) AS payload_digest FROM p),
 f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM d)
 SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN payload_bytes >= {REVISIT_BYTES} AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN payload_bytes >= {REVISIT_BYTES} AND page_id > first THEN first END AS refers_to FROM f
+       CASE WHEN payload_bytes >= {REVISIT_BYTES} AND page_id > first THEN first END AS refers_to, target, target AS request_target FROM f
 """

@@ -1,4 +1,8 @@
+import gzip
 import hashlib
+import random
+
+import pytest
 
 from attestra.llm import warc
 
@@ -28,3 +32,29 @@ def test_transactions_are_nested(spark, tmp_path):
     t = {r["metadata_fields"]["page-id"]: r for r in warc.transactions(warc.read_records(spark, path)).collect()}
     assert t["1"]["request"]["target"] == "http://a/x" and t["1"]["capture"]["kind"] == "response"
     assert t["2"]["capture"]["kind"] == "revisit" and t["2"]["origin_page"] == "1" and t["2"]["origin_bytes"] == 150
+
+
+def test_null_ids_come_last(spark):
+    same = "p" * 150
+    pages = spark.createDataFrame([(None, "n", same), (7, "s", same), (5, "f", same), (None, "only", "q" * 150), (None, "again", "q" * 150)], "page_id long, url string, html string")
+    got = sorted(((r["target"], r["record_type"], r["refers_to"]) for r in warc.archive_round_trip(pages.coalesce(1)).collect()), key=str)
+    assert got == [("again", "revisit", None), ("f", "response", None), ("n", "revisit", 5), ("only", "response", None), ("s", "revisit", 5)]
+
+
+def test_archives_are_read_in_pieces():
+    rnd = random.Random(1)
+    blocks = [rnd.randbytes(n) for n in (0, 5, 3_000_000, 17)]
+    records = [f"WARC/1.1\r\nWARC-Type: x{k}\r\nContent-Length: {len(b)}\r\n\r\n".encode() + b + b"\r\n\r\n" for k, b in enumerate(blocks)]
+    for data in (gzip.compress(b"".join(records)), b"".join(map(gzip.compress, records))):
+        assert [(h["warc-type"], b) for h, b in warc.parse(warc.inflated(data))] == [(f"x{k}", b) for k, b in enumerate(blocks)]
+        with pytest.raises(ValueError):
+            list(warc.parse(warc.inflated(data[: len(data) // 2])))
+    assert list(warc.parse([])) == []
+
+
+def test_a_payload_that_many_pages_share(spark):
+    rows = spark.range(5000).selectExpr("id as page_id", "concat('http://h/', id) as url", "case when id % 3 = 0 then repeat('e', 200) else concat('page ', id, repeat('x', 120)) end as html")
+    got = warc.archive_round_trip(rows).collect()
+    assert len(got) == 5000
+    assert all((r["record_type"], r["refers_to"]) == (("revisit", 0) if r["page_id"] % 3 == 0 and r["page_id"] else ("response", None)) for r in got)
+    assert all(r["target"] == r["request_target"] == f"http://h/{r['page_id']}" for r in got)
