@@ -1,4 +1,14 @@
-"""python -m attestra list | run NAME SF_DIR [OUT] | status SF_DIR"""
+"""python -m attestra COMMAND
+
+list                      names of the queries
+run NAME SF_DIR [OUT]     run a query, and show or store its rows
+status SF_DIR             rows of the tables
+seed FOLDER               write the small corpus of dossiers
+process FOLDER OUT        from its files to findings; prints open and blocking ones
+report OUT FOLDER         CSV, JSON and HTML of the last run
+reindex OUT               embed the chunks of the last run that are new or changed
+reset OUT                 remove all runs under OUT
+"""
 
 from __future__ import annotations
 
@@ -7,7 +17,7 @@ import sys
 
 def main(args: list[str]) -> int:
     from .plans import catalogue
-    from .session import session
+    from .session import session, ship
 
     if args[:1] == ["list"]:
         print("\n".join(catalogue.QUERIES))
@@ -19,6 +29,31 @@ def main(args: list[str]) -> int:
     if args[:1] == ["status"] and len(args) == 2:
         catalogue.QUERIES["agg09_table_counts"](session(), args[1]).show()
         return 0
+    if args[:1] == ["seed"] and len(args) == 2:
+        from . import corpus
+
+        print("\n".join(corpus.write(args[1])))
+        return 0
+    if args[:1] == ["process"] and len(args) == 3:
+        from . import process
+
+        process.summary(process.process(ship(session()), args[1], args[2])).show(1000, truncate=False)
+        return 0
+    if args[:1] == ["report"] and len(args) == 3:
+        from . import process
+
+        process.report(session(), args[1], args[2])
+        return 0
+    if args[:1] == ["reindex"] and len(args) == 2:
+        from . import process
+
+        print(process.reindex(session(), args[1]), "chunks embedded")
+        return 0
+    if args[:1] == ["reset"] and len(args) == 2:
+        from . import process
+
+        process.reset(session(), args[1])
+        return 0
     print(__doc__)
     return 2
 

@@ -79,14 +79,40 @@ def pixels(content: Column) -> Column:
     return number(17) * number(21)
 
 
+def jpeg_pixels(data: bytes) -> int | None:
+    """Width times height of a JPEG, from its first frame header; null if none is found."""
+    at = 2
+    while at + 9 <= len(data) and data[at] == 0xFF:
+        kind, size = data[at + 1], int.from_bytes(data[at + 2 : at + 4], "big")
+        if 0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC):
+            return int.from_bytes(data[at + 5 : at + 7], "big") * int.from_bytes(data[at + 7 : at + 9], "big")
+        at += 2 + size
+    return None
+
+
+def _jpegs(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for s in batches:
+        yield pd.Series([jpeg_pixels(bytes(d)) if d is not None else None for d in s], dtype="Int64")
+
+
+def pdf_fault(content: Column) -> Column:
+    """Why a PDF can't be read: encrypted, or no page; null if it can.  A file
+    whose objects are packed in streams shows its pages to a PDF reader only."""
+    text = F.decode(content, "ISO-8859-1")
+    return F.when(F.contains(text, F.lit("/Encrypt")), "encrypted").when(~text.rlike(r"/Type\s*/Page\b") & ~F.contains(text, F.lit("/ObjStm")), "no pages")
+
+
 def intake(files: DataFrame, most: int = MAX_BYTES) -> DataFrame:
     """(path, size, digest, kind, status, reason) of files (path, length, content)."""
     rows = files.select("path", F.col("length").alias("size"), "content").withColumn("digest", F.sha2("content", 256)).withColumn("sniffed", kind_of(F.col("content")))
     over = F.col("size") > most
     archive = F.when((F.col("sniffed") == "ZIP") & ~over, F.pandas_udf(_archives, "kind string, status string, reason string")(F.when(F.col("sniffed") == "ZIP", F.col("content"))))
     rows = rows.withColumn("a", archive)
-    large = (F.col("sniffed") == "PNG") & (pixels(F.col("content")) > MAX_PIXELS)
+    jpeg = F.pandas_udf(_jpegs, "long")(F.when((F.col("sniffed") == "JPEG") & ~over, F.col("content")))
+    rows = rows.withColumn("pixels", F.when(F.col("sniffed") == "PNG", pixels(F.col("content"))).when(F.col("sniffed") == "JPEG", jpeg)).withColumn("fault", F.when((F.col("sniffed") == "PDF") & ~over, pdf_fault(F.col("content"))))
+    large = F.coalesce(F.col("pixels") > MAX_PIXELS, F.lit(False))
+    fault = F.coalesce(F.col("fault"), F.when((F.col("sniffed") == "JPEG") & ~over & F.col("pixels").isNull(), "no frame"))
     kind = F.when(over, "UNSUPPORTED").when(F.col("sniffed") == "ZIP", F.col("a.kind")).otherwise(F.col("sniffed"))
-    status = F.when(F.col("size") == 0, "CORRUPT").when(over | large | (F.col("sniffed") == "UNSUPPORTED"), "UNSUPPORTED").when(F.col("sniffed") == "ZIP", F.col("a.status")).otherwise("RECEIVED")
-    reason = F.when(F.col("size") == 0, "empty").when(over, "over the byte ceiling").when(large, "over the pixel ceiling").when(F.col("sniffed") == "UNSUPPORTED", "unknown signature").otherwise(F.col("a.reason"))
+    status = F.when(F.col("size") == 0, "CORRUPT").when(over | large | (F.col("sniffed") == "UNSUPPORTED"), "UNSUPPORTED").when(F.col("sniffed") == "ZIP", F.col("a.status")).when(fault == "encrypted", "UNSUPPORTED").when(fault.isNotNull(), "CORRUPT").otherwise("RECEIVED")
+    reason = F.when(F.col("size") == 0, "empty").when(over, "over the byte ceiling").when(large, "over the pixel ceiling").when(F.col("sniffed") == "UNSUPPORTED", "unknown signature").otherwise(F.coalesce(fault, F.col("a.reason")))
     return rows.select("path", "size", "digest", kind.alias("kind"), status.alias("status"), reason.alias("reason"))

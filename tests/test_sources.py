@@ -25,10 +25,11 @@ def book(extra=()):
 
 def test_intake_keeps_refusals_as_rows(spark, tmp_path):
     png = bytes.fromhex("89504E470D0A1A0A") + b"\0\0\0\rIHDR" + (100_000).to_bytes(4, "big") * 2
-    for name, data in {"a.pdf": b"%PDF-1.7", "b.xlsx": book(), "c.zip": b"PK\x03\x04broken", "d.bin": b"zz", "e.xlsm": book(["xl/vbaProject.bin"]), "f.png": png}.items():
+    frame = bytes.fromhex("FFD8FFE0000400FFFFC0000B08") + (600).to_bytes(2, "big") + (800).to_bytes(2, "big")
+    for name, data in {"a.pdf": b"%PDF-1.7 <</Type /Page>>", "g.pdf": b"%PDF-1.7 /Type/Page /Encrypt 1 0 R", "h.pdf": b"%PDF-1.7 /Type /Pages", "i.jpg": frame, "j.jpg": frame[:8], "k.jpg": frame[:-4] + b"\xff" * 4, "b.xlsx": book(), "c.zip": b"PK\x03\x04broken", "d.bin": b"zz", "e.xlsm": book(["xl/vbaProject.bin"]), "f.png": png}.items():
         (tmp_path / name).write_bytes(data)
     got = {r["path"].rsplit("/", 1)[1]: (r["kind"], r["status"]) for r in files.intake(files.read_files(spark, str(tmp_path))).collect()}
-    assert got == {"a.pdf": ("PDF", "RECEIVED"), "b.xlsx": ("XLSX", "RECEIVED"), "c.zip": ("UNSUPPORTED", "CORRUPT"), "d.bin": ("UNSUPPORTED", "UNSUPPORTED"), "e.xlsm": ("UNSUPPORTED", "UNSUPPORTED"), "f.png": ("PNG", "UNSUPPORTED")}
+    assert got == {"a.pdf": ("PDF", "RECEIVED"), "b.xlsx": ("XLSX", "RECEIVED"), "c.zip": ("UNSUPPORTED", "CORRUPT"), "d.bin": ("UNSUPPORTED", "UNSUPPORTED"), "e.xlsm": ("UNSUPPORTED", "UNSUPPORTED"), "f.png": ("PNG", "UNSUPPORTED"), "g.pdf": ("PDF", "UNSUPPORTED"), "h.pdf": ("PDF", "CORRUPT"), "i.jpg": ("JPEG", "RECEIVED"), "j.jpg": ("JPEG", "CORRUPT"), "k.jpg": ("JPEG", "UNSUPPORTED")}
 
 
 def test_workbook_cells(spark):
