@@ -27,8 +27,10 @@ Defined results: of equal texts the one of the smallest id stays, the others
 are one common block and lose all their lines (if they have ``BLOCK_WORDS``
 words); null texts count as empty, and stay null where nothing is deleted; rows
 with a null id are neither compared nor changed; rows with equal id and text are
-the same document and treated alike; line ends are ``\\n``.  Extra columns are
-kept by ``without_common_blocks``.
+the same document and treated alike, those with equal id and different texts are
+not compared with each other; an empty table gives no rows; very long texts are
+read whole; line ends are ``\\n``.  Extra columns are kept, whatever their names,
+by ``without_common_blocks``.
 """
 
 from __future__ import annotations
@@ -45,7 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SALTS, arrow_rows, hot_keys, pick, salted_join, stored, take_worker
+from .common import SALTS, arrow_rows, fresh, hot_keys, pick, salted_join, stored, take_worker
 
 #: Lines of ``LINE_WORDS`` words link texts in the tests' brute force of first holders only.
 LINE_WORDS, BLOCK_WORDS = 5, 10
@@ -316,12 +318,14 @@ def from_further(texts: DataFrame, held: DataFrame, begun: DataFrame, hot: list)
     return dealt.groupBy("window", "salt").cogroup(copied.groupBy("window", "salt")).applyInArrow(run, "doc_id bigint, digest string, gone array<int>")
 
 
-def annotated(docs: DataFrame) -> DataFrame:
-    """``docs`` with kept_text, kept_lines (lines before), kept_removed (lines deleted)."""
+def annotated(docs: DataFrame, names: tuple[str, str, str]) -> DataFrame:
+    """``docs`` with three columns of the given names: the kept text, lines
+    before, and lines deleted."""
     arrow_rows(docs.sparkSession)
-    gone = deletions(docs).select(F.col("doc_id").alias("gone_id"), F.col("digest").alias("gone_digest"), "copy", "gone")
-    rows = docs.withColumn("gone_md5", F.md5(F.coalesce("text", F.lit("")).cast("binary"))).join(gone, (F.col("doc_id") == F.col("gone_id")) & (F.col("gone_md5") == F.col("gone_digest")), "left").drop("gone_id", "gone_digest", "gone_md5")
-    own = [T.StructField("kept_text", T.StringType()), T.StructField("kept_lines", T.LongType()), T.StructField("kept_removed", T.LongType())]
+    at_id, at_digest, at_md5, at_copy, at_gone = (fresh(docs, f"gone_{c}") for c in ("id", "digest", "md5", "copy", "lines"))
+    gone = deletions(docs).select(F.col("doc_id").alias(at_id), F.col("digest").alias(at_digest), F.col("copy").alias(at_copy), F.col("gone").alias(at_gone))
+    rows = docs.withColumn(at_md5, F.md5(F.coalesce("text", F.lit("")).cast("binary"))).join(gone, (docs["doc_id"] == F.col(at_id)) & (F.col(at_md5) == F.col(at_digest)), "left").drop(at_id, at_digest, at_md5)
+    own = [T.StructField(names[0], T.StringType()), T.StructField(names[1], T.LongType()), T.StructField(names[2], T.LongType())]
     schema = T.StructType([*docs.schema.fields, *own])
     at, width = docs.columns.index("text"), len(docs.columns)
 
@@ -349,18 +353,19 @@ def annotated(docs: DataFrame) -> DataFrame:
 
 def without_common_blocks(docs: DataFrame) -> DataFrame:
     """``docs`` with the shortened texts; n_chars, where present, follows."""
+    text, before, removed = (fresh(docs, f"kept_{c}") for c in ("text", "lines", "removed"))
     columns = []
     for c in docs.columns:
         if c == "text":
-            columns.append(F.col("kept_text").alias("text"))
+            columns.append(F.col(text).alias("text"))
         elif c == "n_chars":
-            columns.append(F.when(F.col("kept_removed") > 0, F.length("kept_text").cast(docs.schema[c].dataType)).otherwise(F.col("n_chars")).alias("n_chars"))
+            columns.append(F.when(F.col(removed) > 0, F.length(text).cast(docs.schema[c].dataType)).otherwise(F.col("n_chars")).alias("n_chars"))
         else:
             columns.append(F.col(f"`{c}`"))
-    return annotated(docs).select(*columns)
+    return annotated(docs, (text, before, removed)).select(*columns)
 
 
 def line_report(docs: DataFrame) -> DataFrame:
     """Per row: lines, deleted lines, and size and digest of what is kept."""
     kept = F.coalesce("kept_text", F.lit(""))
-    return annotated(pick(docs, "doc_id", "text")).select("doc_id", F.col("kept_lines").alias("n_lines"), F.col("kept_removed").alias("n_removed"), F.octet_length(kept).cast("long").alias("kept_bytes"), F.sha2(kept, 256).alias("kept_sha256"))
+    return annotated(pick(docs, "doc_id", "text"), ("kept_text", "kept_lines", "kept_removed")).select("doc_id", F.col("kept_lines").alias("n_lines"), F.col("kept_removed").alias("n_removed"), F.octet_length(kept).cast("long").alias("kept_bytes"), F.sha2(kept, 256).alias("kept_sha256"))

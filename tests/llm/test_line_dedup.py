@@ -3,6 +3,8 @@ import random
 
 from attestra.llm import line_dedup as ld
 
+from . import naive
+
 
 def brute(rows):
     first = {}
@@ -136,3 +138,31 @@ def test_passages_of_short_lines(spark):
     lines = ["", *(" ".join(f"w{j}" for _ in range(rnd.randrange(1, 7))) for j in range(9))]
     rows = [(i, "\n".join(rnd.choice(lines) if rnd.random() < 0.9 else f"own {i} {k}" for k in range(rnd.randrange(1, 12)))) for i in range(500)]
     assert deleted(spark, rows) == all_pairs(rows)
+
+
+def naively(rows):
+    return sorted((i, n, gone, len(kept.encode()), hashlib.sha256(kept.encode()).hexdigest()) for i, kept, n, gone in naive.without_lines(rows))
+
+
+def test_against_a_naive_version(spark):
+    rnd = random.Random(21)
+    lines = ["", *(" ".join(f"w{k}x{n}" for n in range(rnd.randrange(1, 9))) for k in range(16))]
+    rows = [(i, "\n".join(rnd.choice(lines) if rnd.random() < 0.8 else f"own {i} {k}" for k in range(rnd.randrange(1, 14)))) for i in range(250)]
+    long = [" ".join(f"v{k}y{n}" for n in range(6)) for k in range(3)]
+    rows += [(1001, f"a\n{long[0]}"), (1002, f"b\n{long[1]}"), (1003, f"x\n{long[0]}\n{long[1]}\nz"), (1004, f"w\n{long[0]}\n{long[1]}\nv"), (1004, f"w\n{long[0]}\n{long[1]}\nv"), (1004, f"{long[2]}\n{long[2]}")]
+    got = sorted(tuple(r) for r in ld.line_report(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == naively(rows)
+    assert [r[2] for r in got if r[0] == 1004].count(2) == 2
+
+
+def test_driver_table_against_a_naive_version(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").where("n_chars < 4000")
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    assert sorted(tuple(r) for r in ld.line_report(docs).collect()) == naively(rows)
+
+
+def test_clashing_columns_are_kept(spark):
+    text = " ".join(f"w{k}" for k in range(12))
+    docs = spark.createDataFrame([(1, text, "a", 1), (2, f"{text}\nown", "b", 2)], "doc_id long, text string, kept_text string, Gone_Id int")
+    kept = ld.without_common_blocks(docs)
+    assert kept.columns == docs.columns and sorted(tuple(r) for r in kept.collect()) == [(1, text, "a", 1), (2, "own", "b", 2)]

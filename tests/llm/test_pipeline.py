@@ -1,9 +1,12 @@
+import hashlib
+
+import sentencepiece
+
 import corpus_pipeline
-from attestra.llm import line_dedup as ld
 from attestra.llm.queries import tokenizer_path
-from attestra.llm.sentencepiece_codec import Codec
 from attestra.llm.toxicity import train
 
+from . import naive
 from .test_decontaminate import brute as brute_leaks
 from .test_near_dedup import brute as brute_classes
 
@@ -13,37 +16,18 @@ def test_pipeline_against_brute_force(spark, small):
     labels, bench = spark.read.parquet(f"{small}/labels.parquet"), spark.read.parquet(f"{small}/benchmark.parquet")
     model = train(docs, labels)
     rows = [(r["doc_id"], r["text"]) for r in docs.collect() if model.score(r["text"]) < 0.5]
-    texts = dict(rows)
-    # lines
-    first, hashed, holder, kept = {}, {}, {}, []
-    for i, t in sorted(rows):
-        first.setdefault(t, i)
-    for i, t in sorted(rows):
-        if first[t] == i:
-            hashed[i] = ld.line_hashes(t)
-            for h, w in zip(*hashed[i], strict=True):
-                if w >= ld.LINE_WORDS:
-                    holder.setdefault(h, i)
-    for i, t in rows:
-        lines = t.split("\n")
-        if first[t] < i:
-            kept.append((i, "" if len(t.split()) >= ld.BLOCK_WORDS else t))
-            continue
-        h, w = hashed[i]
-        gone = set()
-        for f in {holder[x] for x, n in zip(h, w, strict=True) if n >= ld.LINE_WORDS and holder[x] < i}:
-            gone |= set(ld.common_blocks(hashed[f][0], h, w))
-        kept.append((i, "\n".join(x for k, x in enumerate(lines) if k not in gone) if gone else t))
+    kept = [(i, "" if t is None else k) for (i, t), (_, k, _, _) in zip(rows, naive.without_lines(rows), strict=True)]
     texts = dict(kept)
     ids = [i for i, c in brute_classes(kept) if i == c]
     items = [(r["item_id"], r["text"]) for r in bench.collect()]
     ids = [i for i in ids if len(texts[i]) > 20_000 or not brute_leaks(texts[i], items)[4]]
-    codec = Codec.of(tokenizer_path("piece_bpe_32k.model"))
+    library = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path("piece_bpe_32k.model"))
     got = {r["doc_id"]: tuple(r)[1:] for r in corpus_pipeline.run(spark, small).collect()}
     long = {i for i in ids if len(texts[i]) > 20_000}
     assert set(got) - long == set(ids) - long and set(got) <= set(ids)
     for i in got:
-        assert got[i] == codec.digest(texts[i])
+        tokens = library.encode(texts[i], add_eos=True)
+        assert got[i] == (len(tokens), *(hashlib.sha256(x.encode()).hexdigest() for x in (" ".join(map(str, tokens)), library.decode(tokens))))
 
 
 def test_stages_keep_the_columns(spark, small):
