@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
@@ -66,20 +67,43 @@ def collapse_spaces(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, "[ \\t\\u00A0\\u202F]+", " "))
 
 
-def labelled_value(c: Column, label: str) -> Column:
-    """Struct of the value after a label, and its start and end in the text;
-    null where the label is missing.  The value may stand on the next line."""
+def label_pattern(label: str) -> tuple[str, int]:
+    """The expression of a label and its value on folded text, and the value's group."""
     # folded text needs no case flag; naming the Unicode spaces is much faster than the flag for them
     spaced = label.replace("\\s", SPACES)
-    pattern = f"{spaced}{SPACES}*:?{SPACES}*([^\\n\\r]+)"
     groups = len([1 for i, x in enumerate(label) if x == "(" and label[i + 1 : i + 2] != "?" and label[i - 1 : i] != "\\"])
+    return f"{spaced}{SPACES}*:?{SPACES}*([^\\n\\r]+)", groups + 1
+
+
+def labelled_match(folded: Column, label: str) -> Column:
+    """A label with its value, or the empty text.  Texts that lack a word of the
+    label are passed over before any expression."""
+    return F.when(F.contains(folded, F.lit(certain_word(label))), F.regexp_extract(folded, label_pattern(label)[0], 0)).otherwise("")
+
+
+def labelled_value(c: Column, label: str) -> Column:
+    """Struct of the value after a label, and its start and end in the text;
+    null where the label is missing.  The value may stand on the next line."""
     folded = fold(c)
-    whole, value = F.regexp_extract(folded, pattern, 0), F.regexp_extract(folded, pattern, groups + 1)
-    start = F.regexp_instr(folded, F.lit(pattern)) - 1 + F.length(whole) - F.length(value)
+    whole = labelled_match(folded, label)
+    value = F.regexp_extract(whole, *label_pattern(label))  # of the short match, not of the text
+    start = F.instr(folded, whole) - 1 + F.length(whole) - F.length(value)
     found = F.struct(collapse_spaces(F.substring(c, start + 1, F.length(value))).alias("value"), start.alias("start"), (start + F.length(value)).alias("end"))
     return F.when(F.length(whole) > 0, found)
 
 
+def certain_word(pattern: str) -> str:
+    """The longest run of letters that every match of a label holds; empty if
+    there is none.  Labels have no alternatives but in brackets."""
+    outer = re.sub(r"\[[^]]*\][?*+]?", " ", pattern)
+    while "(" in outer:
+        outer = re.sub(r"(?<!\\)\([^()]*\)[?*+]?", " ", outer.replace("\\(", " ").replace("\\)", " "))
+    if "|" in outer:
+        return ""
+    outer = re.sub(r"\\.|.[?*]|\{[^}]*\}", " ", outer)
+    return max(re.findall("[a-z]+", outer), key=len, default="")
+
+
 def reference_key(c: Column) -> Column:
     return F.regexp_replace(F.upper(c), "[^A-Z0-9-]", "")
 

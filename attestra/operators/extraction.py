@@ -54,19 +54,32 @@ def _is_amount() -> Column:
     return F.col("field_path").endswith("_eur")
 
 
+def once(df: DataFrame, parts: Column) -> DataFrame:
+    """``df`` with the fields of a struct as columns, worked out once for each row:
+    a filter on them isn't pushed below, where it would work them out again."""
+    return df.select("*", F.inline(F.array(parts)))
+
+
 def typed(df: DataFrame, tolerant: bool = False) -> DataFrame:
     """Adds value_number and value_date by field; a typed value that doesn't
     parse yields no candidate."""
     amount = numbers.parse_amount_tolerant(F.col("value_text")) if tolerant else numbers.parse_amount(F.col("value_text"))
     is_date = F.col("field_path").endswith("_date")
-    out = df.withColumn("value_number", F.when(_is_amount(), amount)).withColumn("value_date", F.when(is_date, dates.parse_date(F.col("value_text"))))
+    out = once(df, F.struct(F.when(_is_amount(), amount).alias("value_number"), F.when(is_date, dates.parse_date(F.col("value_text"))).alias("value_date")))
     return out.where((~_is_amount() | F.col("value_number").isNotNull()) & (~is_date | F.col("value_date").isNotNull()))
 
 
 def _labelled(df: DataFrame, body: str, labels: Mapping[str, str]) -> DataFrame:
-    found = [F.struct(F.lit(path).alias("field_path"), text.labelled_value(F.col(body), label).alias("m")) for path, label in labels.items()]
-    rows = df.withColumn("_f", F.explode(F.array(*found))).where("_f.m is not null and _f.m.value != ''")
-    return rows.select("*", "_f.field_path", F.col("_f.m.value").alias("value_text"), F.col("_f.m.start").alias("char_start"), F.col("_f.m.end").alias("char_end")).drop("_f")
+    """One row for each label that a text holds.  Matches are found before the
+    rows are made, so nothing after it looks for them again."""
+    found = []
+    for path, label in labels.items():
+        size = F.when(F.contains("_folded", F.lit(text.certain_word(label))), F.length(F.regexp_extract("_folded", *text.label_pattern(label))))
+        found.append(F.struct(F.lit(path).alias("field_path"), text.labelled_match(F.col("_folded"), label).alias("whole"), size.alias("size")))
+    rows = df.withColumn("_folded", text.fold(F.col(body))).withColumn("_f", F.explode(F.array(*found))).where("_f.whole != ''")
+    start = F.instr("_folded", F.col("_f.whole")) - 1 + F.length("_f.whole") - F.col("_f.size")
+    value = F.struct(F.col("_f.field_path").alias("field_path"), text.collapse_spaces(F.substring(F.col(body), start + 1, F.col("_f.size"))).alias("value_text"), start.alias("char_start"), (start + F.col("_f.size")).alias("char_end"))
+    return once(rows, value).drop("_folded", "_f").where("value_text != ''")
 
 
 def report_fields(pages: DataFrame, labels: Mapping[str, str] = REPORT_LABELS) -> DataFrame:

@@ -21,18 +21,21 @@ WIDTH = 512
 RRF_K = 60
 
 
-def features(words: Column) -> Column:
-    """Words and the letter trigrams of each word, marked by kind."""
-    one = lambda w: F.concat(F.array(F.concat(F.lit("w:"), w)), F.transform(text.trigrams(w), lambda g: F.concat(F.lit("c3:"), g)))
-    return F.when(F.size(words) == 0, F.array(F.lit("<empty>"))).otherwise(F.flatten(F.transform(words, one)))
+def features(word: Column) -> Column:
+    """A word and its letter trigrams, marked by kind; what stands for a text
+    without words, if the word is empty."""
+    marked = F.concat(F.array(F.concat(F.lit("w:"), word)), F.transform(text.trigrams(word), lambda g: F.concat(F.lit("c3:"), g)))
+    return F.when(word == "", F.array(F.lit("<empty>"))).otherwise(marked)
 
 
 def hashed_buckets(df: DataFrame, key: str, words: Column, width: int = WIDTH) -> DataFrame:
-    """(key, bucket, weight): the sparse signed counts of each text.  Features
-    are exploded and summed with map-side aggregation."""
-    each = df.select(key, F.explode(features(words)).alias("f"))
-    counted = each.groupBy(key, "f").agg(F.count("*").alias("n"))
-    weighed = counted.select(key, numbers.bucket(F.col("f"), width).alias("bucket"), (F.col("n") * numbers.sign(F.col("f"))).alias("w"))
+    """(key, bucket, weight): the sparse signed counts of each text.  Texts are
+    dealt by key once; then the words of a text are counted, and the features of
+    its distinct words hashed and summed, without another shuffle."""
+    dealt = df.select(key, words.alias("w")).repartition(key)
+    each = dealt.select(key, F.explode(F.when(F.size("w") == 0, F.array(F.lit(""))).otherwise(F.col("w"))).alias("w"))
+    counted = each.groupBy(key, "w").agg(F.count("*").alias("n"))
+    weighed = counted.select(key, "n", F.explode(features(F.col("w"))).alias("f")).select(key, numbers.bucket(F.col("f"), width).alias("bucket"), (F.col("n") * numbers.sign(F.col("f"))).alias("w"))
     return weighed.groupBy(key, "bucket").agg(F.sum("w").cast("long").alias("weight"))
 
 
