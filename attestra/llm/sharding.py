@@ -26,7 +26,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import fresh, stored
 
 BITS = 60
 SHARD_BYTES = 1 << 20
@@ -56,11 +56,23 @@ def _directory(rest: DataFrame, low: int, high: int, limit: int) -> DataFrame:
 def shards(rows: DataFrame, key_col: str, text_col: str, limit: int = SHARD_BYTES) -> DataFrame:
     """One row per input row: key, n_bytes, depth and prefix of its shard, the
     shard's bytes and rows, and whether its key had to be spread."""
-    keys = rows.select(F.col(f"`{key_col}`").alias("key"), F.coalesce(F.octet_length(F.col(f"`{text_col}`")), F.lit(0)).cast("long").alias("n_bytes"))
-    keys = stored(keys.withColumn("h", hash_bits(F.col("key"))).withColumn("place", F.monotonically_increasing_id()), "keys")
+    keys = rows.select(F.col(f"`{key_col}`").alias("key"), F.monotonically_increasing_id().alias("place"), _size(text_col))
+    return _placed(keys, limit).drop("place", "own").withColumnRenamed("key", key_col)
+
+
+def _size(text_col: str) -> Column:
+    return F.coalesce(F.octet_length(F.col(f"`{text_col}`")), F.lit(0)).cast("long").alias("n_bytes")
+
+
+def _placed(keys: DataFrame, limit: int) -> DataFrame:
+    """The shard of each row of keys (key, place, n_bytes).  A row over the limit
+    is a shard of its own, which depth and prefix do not name: ``own`` holds its
+    place, and is null for all others."""
+    keys = stored(keys.withColumn("h", hash_bits(F.col("key"))), "keys")
     own = F.col("n_bytes") > limit
-    columns = ["key", "n_bytes", "depth", "prefix", "shard_bytes", "shard_rows", "spread"]
-    parts = [keys.where(own).select("key", "n_bytes", F.lit(BITS).alias("depth"), F.col("h").alias("prefix"), F.col("n_bytes").alias("shard_bytes"), F.lit(1).cast("long").alias("shard_rows"), F.lit(False).alias("spread"))]
+    columns = ["key", "place", "own", "n_bytes", "depth", "prefix", "shard_bytes", "shard_rows", "spread"]
+    keys = keys.withColumn("own", F.when(own, F.col("place")))
+    parts = [keys.where(own).select("key", "place", "own", "n_bytes", F.lit(BITS).alias("depth"), F.col("h").alias("prefix"), F.col("n_bytes").alias("shard_bytes"), F.lit(1).cast("long").alias("shard_rows"), F.lit(False).alias("spread"))]
     rest, spread = keys.where(~own), False
     total = rest.agg(F.sum("n_bytes")).first()[0] or 0
     low, high = 0, min(BITS, max(0, math.ceil(math.log2(max(1, total / limit)))) + 3)
@@ -84,13 +96,19 @@ def shards(rows: DataFrame, key_col: str, text_col: str, limit: int = SHARD_BYTE
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.withColumnRenamed("key", key_col).withColumn("depth", F.col("depth").cast("int"))
+    return out.withColumn("depth", F.col("depth").cast("int"))
 
 
 def write_shards(rows: DataFrame, key_col: str, text_col: str, path: str, limit: int = SHARD_BYTES) -> None:
-    """Write ``rows`` with one folder for each shard.  Keys must be unique."""
-    placed = shards(rows, key_col, text_col, limit).select(key_col, F.concat_ws("-", F.lpad("depth", 2, "0"), F.hex("prefix")).alias("shard"))
-    rows.join(placed, key_col).repartition("shard").write.partitionBy("shard").parquet(path)
+    """Write ``rows`` with one folder for each shard.  Rows are stored with their
+    places first, so keys may repeat or be null."""
+    place = fresh(rows, "row_place")
+    held = stored(rows.withColumn(place, F.monotonically_increasing_id()), "rows")
+    placed = _placed(held.select(F.col(f"`{key_col}`").alias("key"), F.col(place).alias("place"), _size(text_col)), limit)
+    name = F.concat_ws("-", F.lpad("depth", 2, "0"), F.hex("prefix"), F.when(F.col("spread"), F.lit("s")), F.hex("own"))
+    shard = fresh(rows, "shard")
+    placed = placed.select(F.col("place").alias(place), name.alias(shard))
+    held.join(placed, place).drop(place).repartition(shard).write.partitionBy(shard).parquet(path)
 
 
 ORACLE = f"""

@@ -11,8 +11,9 @@ over the limit: hosts with few labels lean on their domain and suffix.
 Defined results: a null url, or one without ``://``, has empty host and path
 and is judged as the empty host; a host of a suffix alone is its own domain;
 labels without a page, and pages without a label, add no outcome; repeated
-pages are separate outcomes; without any label every host gets the prior of
-``PRIOR``.  Extra columns are ignored.
+pages are separate outcomes; of rules that fit a page the longest counts, then the
+last by name; very long urls are read whole; an empty table gives no rows; without
+any label every host gets the prior of ``PRIOR``.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from .common import pick, stored
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 #: Suffixes of more than one label under which registrations are made.
 SUFFIXES = ("example.com", "example.net", "example.org")
+#: Some public suffixes; pass the whole public list as ``suffixes``.
+PUBLIC_SUFFIXES = ("ac.uk", "co.uk", "gov.uk", "org.uk", "com.au", "org.au", "co.jp", "com.br", "co.nz", "co.za", "*.ck", "!www.ck")
 #: Share of bad outcomes from which a host is blocked, and the bound's distance in standard deviations.
 LIMIT, DISTANCE = 0.2, 1.645
 #: Share and weight assumed where nothing is labelled.
@@ -52,8 +55,23 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]] =
     return F.array_max(F.array(*fits)) if fits else F.lit(None).cast("struct<size:int,rule:string,verdict:string>")
 
 
-def suffix_of(host: Column, suffixes: Sequence[str] = SUFFIXES) -> Column:
-    known = [F.when((host == s) | F.endswith(host, F.lit("." + s)), F.lit(s)) for s in sorted(suffixes, key=len, reverse=True)]
+def suffix_of(host: Column, suffixes: Sequence[str] = SUFFIXES + PUBLIC_SUFFIXES) -> Column:
+    """The suffix under which the host is registered, by rules in the manner of the
+    public suffix list: ``co.uk``; ``*.ck``, any one label before ck; ``!www.ck``,
+    an exception to that.  Exceptions come first, then rules of more labels; a
+    host that no rule fits has its last label."""
+
+    def under(s: str) -> Column:
+        return (host == s) | F.endswith(host, F.lit("." + s))
+
+    known = []
+    for rule in sorted(suffixes, key=lambda s: (not s.startswith("!"), -s.count("."), s)):
+        if rule.startswith("!"):
+            known.append(F.when(under(rule[1:]), F.lit(rule.partition(".")[2])))
+        elif rule.startswith("*."):
+            known.append(F.when(F.endswith(host, F.lit(rule[1:])), F.substring_index(host, ".", -rule.count(".") - 1)))
+        else:
+            known.append(F.when(under(rule), F.lit(rule)))
     return F.coalesce(*known, F.substring_index(host, ".", -1))
 
 
@@ -81,9 +99,9 @@ def _posterior(level: DataFrame, weight: float) -> DataFrame:
     return level.withColumn("a", w * F.col("m") + F.col("k")).withColumn("b", w * (1 - F.col("m")) + F.col("n") - F.col("k"))
 
 
-def reputation(outcomes: DataFrame) -> DataFrame:
+def reputation(outcomes: DataFrame, suffixes: Sequence[str] = SUFFIXES + PUBLIC_SUFFIXES) -> DataFrame:
     """(host, n, k, a, b): beta posteriors of hosts from rows (host, n, k)."""
-    host = outcomes.groupBy("host").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).withColumn("suffix", suffix_of(F.col("host")))
+    host = outcomes.groupBy("host").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).withColumn("suffix", suffix_of(F.col("host"), suffixes))
     host = stored(host.withColumn("domain", domain_of(F.col("host"), F.col("suffix"))), "hosts")
     domain = host.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     suffix = host.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
@@ -107,12 +125,12 @@ def lower_bound(a: Column, b: Column, distance: float = DISTANCE) -> Column:
     return a / s - F.lit(distance) * F.sqrt(a * b / (s * s * (s + 1)))
 
 
-def judge(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, limit: float = LIMIT) -> DataFrame:
+def judge(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, limit: float = LIMIT, suffixes: Sequence[str] = SUFFIXES + PUBLIC_SUFFIXES) -> DataFrame:
     """page_id, host, path, rule and verdict of every page."""
     urls = pick(pages, "page_id", "url").select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     bad = pick(labels, "doc_id", "quality").where("quality is not null").groupBy(F.col("doc_id").alias("page_id")).agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("quality") == 0).cast("long")).alias("k"))
     counted = urls.select("page_id", "host").join(bad, "page_id", "left").select("host", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("k", F.lit(0)).alias("k"))
-    blocked = reputation(counted).where(lower_bound(F.col("a"), F.col("b")) > limit).select("host", F.lit(True).alias("blocked"))
+    blocked = reputation(counted, suffixes).where(lower_bound(F.col("a"), F.col("b")) > limit).select("host", F.lit(True).alias("blocked"))
     fit = rule_of(F.col("host"), F.col("path"), rules)
     judged = urls.join(blocked, "host", "left").withColumn("fit", fit)
     return judged.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), F.coalesce("fit.verdict", F.when(F.col("blocked"), F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"))

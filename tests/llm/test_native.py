@@ -64,6 +64,18 @@ def test_a_hot_key_is_spread(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "s")).count() == 100
 
 
+def test_written_shards_hold_every_row_and_keep_to_the_limit(spark, tmp_path):
+    rows = [(5, "b" * 3000, "x"), (5, "c" * 3000, "y"), (None, "n" * 10, "z"), (None, None, "w"), *[(7, "x" * 100, str(k)) for k in range(60)], *[(i, "y" * 100, "o") for i in range(100, 200)]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, Shard string")
+    sharding.write_shards(docs, "doc_id", "text", str(tmp_path / "s"), 2000)
+    back = spark.read.option("recursiveFileLookup", "true").parquet(str(tmp_path / "s"))
+    assert sorted(map(str, back.select(*docs.columns).collect())) == sorted(map(str, docs.collect()))
+    held = Counter()
+    for r in spark.read.parquet(str(tmp_path / "s")).selectExpr("shard_ as s", "coalesce(octet_length(text), 0) as n").collect():
+        held[r["s"]] += r["n"]
+    assert sorted(held.values())[-2:] == [3000, 3000] and all(n <= 2000 or n == 3000 for n in held.values())
+
+
 URLS = [
     (1, "http://A.Example.org/es/x?y"), (2, "https://example.org/en/12"), (3, "http://b.org"), (4, "http://b.org/"), (5, "x://com/de/1"), (6, "http://q.com/fr/"), (7, None), (8, "nothing"), (9, "http:///p"),
     (10, "http://xorg/"), (11, "http://h.net/a#b"), (12, "http://É.net?x://y/"), (2, "https://example.org/en/12"), (None, "http://h.net/"),
@@ -102,3 +114,11 @@ def test_domains(spark):
     got = [tuple(r) for r in rows.select(s, url_filters.domain_of(F.col("h"), s)).collect()]
     assert got == [("example.com", "a.example.com"), ("example.com", "example.com"), ("zz", "y.zz"), ("zz", "zz"), ("", "")]
     assert math.isclose(url_filters.MOST_RHO, 0.5)
+
+
+def test_suffix_rules(spark):
+    from pyspark.sql import functions as F
+
+    want = {"a.b.co.uk": "co.uk", "co.uk": "co.uk", "x.y.ck": "y.ck", "www.ck": "ck", "a.www.ck": "ck", "ck": "ck", "b.example.org": "example.org", "uk": "uk"}
+    rows = spark.createDataFrame([(h,) for h in want], "h string")
+    assert {r[0]: r[1] for r in rows.select("h", url_filters.suffix_of(F.col("h"))).collect()} == want
