@@ -10,8 +10,10 @@ The store keeps a payload losslessly as the samples of an 8-bit grey PNG image
 take each digest once.
 
 Defined results: null text and null HTML count as empty; an empty text is
-stored as one padded line; equal payloads share a digest and every value; a
-reference whose digest is not in the store resolves to nulls.
+stored as one padded line; equal payloads share a digest and every value; repeated
+rows give a row each; very long texts are stored whole; a null id stays null; an
+empty table gives no rows; a reference whose digest is not in the store resolves
+to nulls.  Extra columns are ignored.
 """
 
 from __future__ import annotations

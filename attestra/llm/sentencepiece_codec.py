@@ -18,7 +18,9 @@ of frequent words are kept and reused.
 
 Defined results: null text counts as empty; an empty text encodes to the end
 id alone and decodes to the empty text.  Very long texts are walked in linear
-time.  Ties between equal merges go to the leftmost, as in the library.
+time.  Ties between equal merges go to the leftmost, as in the library.  Repeated
+rows, and rows with a null id, give a row each; an empty table gives no rows.
+Extra columns are ignored.
 """
 
 from __future__ import annotations
