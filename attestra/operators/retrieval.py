@@ -7,7 +7,7 @@ query is a short list of words or one vector; it enters as literals.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -173,11 +173,11 @@ RULE_QUESTIONS = {
 ALWAYS = ("¿Qué periodo de ejecución declara la memoria?", "¿Qué conceptos de gasto declara la memoria y por qué importe?", "¿Qué entidad emite las facturas del expediente?")
 
 
-def suggested(rule_ids: Column, most: int = 5) -> Column:
+def suggested(rule_ids: Column, most: int = 5, questions: Mapping[str, str] = RULE_QUESTIONS, always: Sequence[str] = ALWAYS) -> Column:
     """Questions for the rules that fired, then those that always help."""
-    known = F.create_map(*[F.lit(x) for kv in RULE_QUESTIONS.items() for x in kv])
+    known = F.create_map(*[F.lit(x) for kv in questions.items() for x in kv])
     asked = F.filter(F.transform(F.array_distinct(rule_ids), lambda r: F.try_element_at(known, r)), lambda q: q.isNotNull())
-    fallback = F.array_except(F.array(*[F.lit(q) for q in ALWAYS]), asked)
+    fallback = F.array_except(F.array(*[F.lit(q) for q in always]), asked)
     return F.slice(F.concat(asked, fallback), 1, most)
 
 
