@@ -114,3 +114,30 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffix_dedup import dedup
 
     return dedup(table(spark, sf_dir, "documents"))
+
+
+def _secret_oracle() -> str:
+    from .secret_scan import ORACLE
+
+    return ORACLE
+
+
+@query("op13_secret_scan", _secret_oracle())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secret_scan import secrets
+
+    return secrets(table(spark, sf_dir, "documents"))
+
+
+@query("op12_spelling_variants")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spelling_variants import variants
+
+    return variants(table(spark, sf_dir, "documents"))
+
+
+@query("op11_alignment")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .alignment import ByteLevel, Pieces, alignment_digests
+
+    return alignment_digests(table(spark, sf_dir, "documents"), ByteLevel.load(tokenizer_path("byte_bpe_50k.json")), Pieces.load(tokenizer_path("piece_bpe_32k.model")))
