@@ -138,6 +138,6 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op11_alignment")
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .alignment import ByteLevel, Pieces, alignment_digests
+    from .alignment import Tokenizers, alignment_digests
 
-    return alignment_digests(table(spark, sf_dir, "documents"), ByteLevel.load(tokenizer_path("byte_bpe_50k.json")), Pieces.load(tokenizer_path("piece_bpe_32k.model")))
+    return alignment_digests(table(spark, sf_dir, "documents"), Tokenizers(spark, tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model")))
