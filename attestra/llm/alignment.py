@@ -34,7 +34,9 @@ import hashlib
 import json
 import os
 import re
+import sys
 import unicodedata
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -44,13 +46,14 @@ from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, pick, stored, take_worker, worker_tables
+from .common import arrow_rows, byte_slices, pick, stored, take_worker, worker_tables
 from .sentencepiece_codec import SPACE, Codec
 
 #: Events in one row; tokens and documents that are cut together; pairs that one
-#: part asks for; words that a worker keeps of each tokenizer, and their length.
+#: part asks for; words that a worker keeps of each tokenizer, and their length;
+#: characters of new words that are encoded together, and bytes of text.
 RUN_EVENTS, CUT_TOKENS, CUT_DOCS, PART_PAIRS = 1 << 16, 1 << 20, 30_000, 1 << 20
-KEEP_WORDS, KEEP_LENGTH = 200_000, 40
+KEEP_WORDS, KEEP_LENGTH, ROW_CHARS, TEXT_BYTES = 200_000, 40, 20_000, 4 << 20
 #: Groups of more links are counted by distinct ids.
 LINKS_AT_ONCE = 64
 #: Bits of the second id in a pair's key.
@@ -70,26 +73,68 @@ def _classes() -> tuple[str, str]:
 
 
 class Words:
-    """Packed ids of the pieces that a tokenizer looks at one by one; those used
-    since the table was last full are kept."""
-
-    def __init__(self, learn: Callable[[list[str]], list[bytes | bool]]) -> None:
-        self.learn, self.new, self.old = learn, {}, {}
-
-    def packed(self, words: list[str]) -> bytes | None:
-        """The ids of all words; nothing, if one isn't spelled by its tokens."""
-        get = self.new.get
-        found = [get(w) for w in words]
-        if None in found:
-            missing = list({w for w, f in zip(words, found, strict=True) if f is None})
-            rest = [w for w in missing if w not in self.old]
-            known = dict(zip(rest, self.learn(rest), strict=True))
-            fresh = {w: known[w] if w in known else self.old[w] for w in missing}
-            found = [fresh[w] if f is None else f for w, f in zip(words, found, strict=True)]
-            if len(self.new) + len(fresh) > KEEP_WORDS:
-                self.old, self.new = self.new, {}
-            self.new.update((w, f) for w, f in fresh.items() if len(w) <= KEEP_LENGTH)
-        return None if False in found else b"".join(found)
+    """Packed ids of the words that a tokenizer looks at one by one; those used
+    since the table was last full are kept.  ``whole`` encodes a text, ``one`` a word that
+    can't stand in a row of words; ``led`` says which can."""
+
+    def __init__(self, spelled: dict[int, bytes], dtype: str, whole: Callable[[str], list[int]], one: Callable[[str], list[int]], led: Callable[[str], bool]) -> None:
+        self.spelled, self.dtype, self.whole, self.one, self.led = spelled, dtype, whole, one, led
+        self.lengths = np.array([len(spelled.get(i, b"")) for i in range(max(spelled) + 1)], np.int64)
+        self.new: dict[str, bytes | bool] = {}
+        self.old: dict[str, bytes | bool] = {}
+
+    def single(self, ids: list[int], text: str) -> bytes | bool:
+        """Packed ids; False, if they don't spell the text."""
+        return pack_ids(ids, self.dtype) if b"".join([self.spelled[i] for i in ids]) == text.encode() else False
+
+    def learn(self, words: list[str]) -> Iterator[tuple[str, bytes | bool]]:
+        """Words that begin with a space are encoded in rows, and the row is cut where they end."""
+        row: list[str] = []
+        held = 0
+        for k, w in enumerate(words):
+            if self.led(w):
+                row.append(w)
+                held += len(w)
+            else:
+                yield w, self.single(self.one(w), w)
+            if row and (held >= ROW_CHARS or k + 1 == len(words)):
+                yield from self.of_row(row)
+                row, held = [], 0
+        if row:
+            yield from self.of_row(row)
+
+    def of_row(self, row: list[str]) -> Iterator[tuple[str, bytes | bool]]:
+        ids = self.whole("".join(row))
+        packed = self.single(ids, "".join(row))
+        if packed is False:
+            yield from ((w, self.single(self.whole(w), w)) for w in row)
+            return
+        ends = np.cumsum(self.lengths[ids])
+        wanted = np.cumsum([len(w.encode()) for w in row])
+        at = (np.searchsorted(ends, wanted) + 1) * (len(packed) // len(ids))
+        start = 0
+        for w, stop in zip(row, at.tolist(), strict=True):
+            yield w, packed[start:stop]
+            start = stop
+
+    def packed(self, texts: list[list[str] | None]) -> list[bytes | None]:
+        """The ids of all words of each text; nothing, if one isn't spelled by its tokens."""
+        if len(self.new) > KEEP_WORDS:
+            self.old, self.new = self.new, {}
+        new, old = self.new, self.old
+        missing = list({w for words in texts if words for w in words if w not in new})
+        new.update((w, old[w]) for w in missing if w in old)
+        new.update(self.learn([w for w in missing if w not in old]))
+        out: list[bytes | None] = []
+        for words in texts:
+            try:
+                out.append(b"".join(map(new.get, words)) if words else None)
+            except TypeError:  # a word that isn't spelled by its tokens
+                out.append(None)
+        for w in missing:
+            if len(w) > KEEP_LENGTH:
+                del new[w]
+        return out
 
     def empty(self) -> None:
         self.new, self.old = {}, {}
@@ -105,43 +150,51 @@ class ByteLevel:
             content = f.read()
         self.tokenizer = Tokenizer.from_str(content)
         self.tokenizer.encode_special_tokens = True
-        self.spelled, self.dtype = _byte_level(content)
+        spelled, dtype = _byte_level(content)
         letters, numbers = _classes()
         either = letters + numbers
         self.plain = re.compile(r"[^\x00-\u052f\u2000-\u206f]")
         self.cut = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letters}]+| ?[{numbers}]+| ?[^{_SPACES}{either}]+|[{_SPACES}]+(?![^{_SPACES}])|[{_SPACES}]+")
-        self.words = Words(self.learn)
+        space = re.compile(f"[{_SPACES}]")
+        self.words = Words(spelled, dtype, self.encode, self.encode, lambda w: len(w) > 1 and w[0] == " " and not space.match(w, 1))
 
-    def learn(self, words: list[str]) -> list[bytes | bool]:
-        encoded = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        return [np.array(e.ids, self.dtype).tobytes() if b"".join([self.spelled[i] for i in e.ids]) == w.encode() else False for w, e in zip(words, encoded, strict=True)]
+    def encode(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
-    def packed(self, text: str) -> bytes | None:
-        """The ids of a space and the text.  A text with characters whose class depends
+    def packed(self, texts: list[str | None]) -> list[bytes | None]:
+        """The ids of a space and each text.  A text with characters whose class depends
         on the version of Unicode is left to the library whole."""
-        text = " " + text
-        if self.plain.search(text):
-            whole = self.learn([text])[0]
-            return whole or None
-        return self.words.packed(self.cut.findall(text))
+        odd = [t is not None and bool(self.plain.search(t)) for t in texts]
+        made = self.words.packed([None if x or not t else self.cut.findall(" " + t) for t, x in zip(texts, odd, strict=True)])
+        return [(self.words.single(self.encode(" " + t), " " + t) or None) if x else m for t, x, m in zip(texts, odd, made, strict=True)]
 
 
 class Pieces:
-    """A SentencePiece BPE; its words are what no piece crosses."""
+    """A SentencePiece BPE; its words are what no piece crosses.  The library puts a
+    space before what it encodes, so it takes rows of words that begin with one;
+    the table of prefixes takes the others."""
 
     def __init__(self, path: str) -> None:
-        self.codec = Codec(path)
-        self.spelled, self.dtype = _pieces(self.codec)
-        self.words = Words(self.learn)
+        from sentencepiece import SentencePieceProcessor
+
+        self.codec, self.library = Codec(path), SentencePieceProcessor(model_file=path)
+        spelled, dtype = _pieces(self.codec)
+        self.words = Words(spelled, dtype, lambda t: self.library.encode(t[1:], num_threads=1), self.one, lambda w: w[0] == " " and w[-1] != " ")
 
-    def learn(self, words: list[str]) -> list[bytes | bool]:
-        each = [self.codec.ids(self.codec.tokens(w)) for w in words]
-        return [np.array(ids, self.dtype).tobytes() if b"".join([self.spelled[i] for i in ids]) == w.replace(SPACE, " ").encode() else False for w, ids in zip(words, each, strict=True)]
+    def one(self, word: str) -> list[int]:
+        return self.codec.ids(self.codec.tokens(word.replace(" ", SPACE)))
 
-    def packed(self, text: str) -> bytes | None:
-        if SPACE in text:
-            return None  # its token would stand for a space
-        return self.words.packed(self.codec.cut.findall(SPACE + text.replace(" ", SPACE)))
+    def packed(self, texts: list[str | None]) -> list[bytes | None]:
+        """The ids of each text; none, if it has the sign that stands for spaces."""
+        cut = self.codec.cut.findall
+        return self.words.packed([[w.replace(SPACE, " ") for w in cut(SPACE + t.replace(" ", SPACE))] if t and SPACE not in t else None for t in texts])
+
+
+def pack_ids(ids: list[int], dtype: str) -> bytes:
+    made = array("H" if dtype == "<u2" else "I", ids)
+    if sys.byteorder == "big":
+        made.byteswap()
+    return made.tobytes()
 
 
 def _dtype(vocabulary: int) -> str:
@@ -197,11 +250,11 @@ def events(docs: DataFrame, tokenizers: Tokenizers) -> DataFrame:
         take_worker("alignment")
         sides = tokenizers.open()
         squeeze = zstandard.ZstdCompressor(level=1).compress
-        for b in batches:
+        for b in (x for whole in batches for x in byte_slices(whole, 2, TEXT_BYTES)):
+            texts = [t or None for t in b.column(2).to_pylist()]
             out: list[tuple] = []
-            for at, text in enumerate(b.column(2).to_pylist()):
-                for side, of in enumerate(sides):
-                    packed = of.packed(text) if text else None
+            for side, of in enumerate(sides):
+                for at, packed in enumerate(of.packed(texts)):
                     if packed is None:
                         out.append((at, side, 0, False, b""))
                         continue
