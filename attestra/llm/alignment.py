@@ -51,9 +51,9 @@ from .sentencepiece_codec import SPACE, Codec
 
 #: Events in one row; tokens and documents that are cut together; pairs that one
 #: part asks for; words that a worker keeps of each tokenizer, and their length;
-#: characters of new words that are encoded together, and bytes of text.
+#: new words that are encoded together, and bytes of text.
 RUN_EVENTS, CUT_TOKENS, CUT_DOCS, PART_PAIRS = 1 << 16, 1 << 20, 30_000, 1 << 20
-KEEP_WORDS, KEEP_LENGTH, ROW_CHARS, TEXT_BYTES = 200_000, 40, 20_000, 4 << 20
+KEEP_WORDS, KEEP_LENGTH, ROW_WORDS, TEXT_BYTES = 200_000, 40, 2_000, 4 << 20
 #: Groups of more links are counted by distinct ids.
 LINKS_AT_ONCE = 64
 #: Bits of the second id in a pair's key.
@@ -87,44 +87,32 @@ class Words:
         """Packed ids; False, if they don't spell the text."""
         return pack_ids(ids, self.dtype) if b"".join([self.spelled[i] for i in ids]) == text.encode() else False
 
-    def learn(self, words: list[str]) -> Iterator[tuple[str, bytes | bool]]:
-        """Words that begin with a space are encoded in rows, and the row is cut where they end."""
-        row: list[str] = []
-        held = 0
-        for k, w in enumerate(words):
-            if self.led(w):
-                row.append(w)
-                held += len(w)
-            else:
-                yield w, self.single(self.one(w), w)
-            if row and (held >= ROW_CHARS or k + 1 == len(words)):
-                yield from self.of_row(row)
-                row, held = [], 0
-        if row:
-            yield from self.of_row(row)
-
-    def of_row(self, row: list[str]) -> Iterator[tuple[str, bytes | bool]]:
-        ids = self.whole("".join(row))
-        packed = self.single(ids, "".join(row))
-        if packed is False:
-            yield from ((w, self.single(self.whole(w), w)) for w in row)
-            return
-        ends = np.cumsum(self.lengths[ids])
-        wanted = np.cumsum([len(w.encode()) for w in row])
-        at = (np.searchsorted(ends, wanted) + 1) * (len(packed) // len(ids))
-        start = 0
-        for w, stop in zip(row, at.tolist(), strict=True):
-            yield w, packed[start:stop]
-            start = stop
+    def learn(self, words: list[str]) -> dict[str, bytes | bool]:
+        """Words that can are encoded in rows, and the rows are cut where they end."""
+        led = [w for w in words if self.led(w)]
+        found = {w: self.single(self.one(w), w) for w in set(words).difference(led)}
+        for k in range(0, len(led), ROW_WORDS):
+            row = led[k : k + ROW_WORDS]
+            text = "".join(row)
+            ids = self.whole(text)
+            packed = self.single(ids, text)
+            if packed is False:
+                found.update((w, self.single(self.whole(w), w)) for w in row)
+                continue
+            wanted = np.cumsum([len(w.encode()) for w in row])
+            stops = ((np.searchsorted(np.cumsum(self.lengths[ids]), wanted) + 1) * (len(packed) // len(ids))).tolist()
+            found.update(zip(row, [packed[a:b] for a, b in zip([0, *stops], stops, strict=False)], strict=True))
+        return found
 
     def packed(self, texts: list[list[str] | None]) -> list[bytes | None]:
         """The ids of all words of each text; nothing, if one isn't spelled by its tokens."""
         if len(self.new) > KEEP_WORDS:
             self.old, self.new = self.new, {}
         new, old = self.new, self.old
-        missing = list({w for words in texts if words for w in words if w not in new})
-        new.update((w, old[w]) for w in missing if w in old)
-        new.update(self.learn([w for w in missing if w not in old]))
+        missing = set().union(*[words for words in texts if words]).difference(new)
+        again = missing.intersection(old)
+        new.update({w: old[w] for w in again})
+        new.update(self.learn(list(missing - again)))
         out: list[bytes | None] = []
         for words in texts:
             try:
@@ -155,8 +143,8 @@ class ByteLevel:
         either = letters + numbers
         self.plain = re.compile(r"[^\x00-\u052f\u2000-\u206f]")
         self.cut = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letters}]+| ?[{numbers}]+| ?[^{_SPACES}{either}]+|[{_SPACES}]+(?![^{_SPACES}])|[{_SPACES}]+")
-        space = re.compile(f"[{_SPACES}]")
-        self.words = Words(spelled, dtype, self.encode, self.encode, lambda w: len(w) > 1 and w[0] == " " and not space.match(w, 1))
+        spaces = re.compile(f"[{_SPACES}]")
+        self.words = Words(spelled, dtype, self.encode, self.encode, lambda w: len(w) > 1 and w[0] == " " and not spaces.match(w, 1))
 
     def encode(self, text: str) -> list[int]:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
@@ -179,6 +167,7 @@ class Pieces:
 
         self.codec, self.library = Codec(path), SentencePieceProcessor(model_file=path)
         spelled, dtype = _pieces(self.codec)
+        self.cut = re.compile(self.codec.cut.pattern.replace(SPACE, " "))
         self.words = Words(spelled, dtype, lambda t: self.library.encode(t[1:], num_threads=1), self.one, lambda w: w[0] == " " and w[-1] != " ")
 
     def one(self, word: str) -> list[int]:
@@ -186,8 +175,7 @@ class Pieces:
 
     def packed(self, texts: list[str | None]) -> list[bytes | None]:
         """The ids of each text; none, if it has the sign that stands for spaces."""
-        cut = self.codec.cut.findall
-        return self.words.packed([[w.replace(SPACE, " ") for w in cut(SPACE + t.replace(" ", SPACE))] if t and SPACE not in t else None for t in texts])
+        return self.words.packed([self.cut.findall(" " + t) if t and SPACE not in t else None for t in texts])
 
 
 def pack_ids(ids: list[int], dtype: str) -> bytes:
