@@ -123,30 +123,24 @@ def neighbours(cells: DataFrame, at: DataFrame, reach: int = 3) -> DataFrame:
     return cells.join(a, ["document_id", "sheet"]).where(F.abs(F.col("row") - F.col("_row")) <= reach).drop("_row")
 
 
-# Endings taken off Spanish words, longest first (a light stemmer).
-ENDINGS = ("amientos", "imientos", "amiento", "imiento", "aciones", "uciones", "adoras", "adores", "ancias", "encias", "idades", "ación", "ución", "adora", "antes", "ancia", "encia", "mente", "istas", "ables", "ibles", "idad", "ador", "ante", "able", "ible", "ista", "osos", "osas", "ando", "iendo", "aron", "ieron", "adas", "ados", "idas", "idos", "oso", "osa", "ada", "ado", "ida", "ido", "ar", "er", "ir", "os", "as", "es", "a", "o", "e", "s")
-
-
-def stem(word: str) -> str:
-    """A word without its longest known ending, three letters at least."""
-    for e in ENDINGS:
-        if word.endswith(e) and len(word) - len(e) >= 3:
-            return word[: -len(e)]
-    return word
-
-
-def spanish_terms(df: DataFrame, words_col: str, out: str) -> DataFrame:
-    """Terms of a Spanish text index: words that aren't stop words, folded and stemmed."""
+def spanish_postings(df: DataFrame, key: str, words_col: str) -> DataFrame:
+    """(key, term, tf) of a Spanish text index: words that aren't stop words, in lower
+    case, by their stems.  Each distinct word is stemmed once, and the stem joined to
+    its postings."""
     from pyspark.ml.feature import StopWordsRemover
 
+    from ..functions.spanish import stem
+
     stops = F.array(*[F.lit(w) for w in StopWordsRemover.loadDefaultStopWords("spanish")])
 
     def stems(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
-            yield s.map(lambda ws: [stem(w) for w in ws] if ws is not None else None)
+            yield s.map(stem)
 
     kept = F.filter(F.transform(F.col(words_col), F.lower), lambda w: ~F.array_contains(stops, w))
-    return df.withColumn(out, F.pandas_udf(stems, "array<string>")(kept))
+    of_word = postings(df, key, kept).withColumnRenamed("term", "word")
+    vocabulary = of_word.select("word").distinct().withColumn("term", F.pandas_udf(stems, "string")("word"))
+    return of_word.join(vocabulary, "word").groupBy(key, "term").agg(F.sum("tf").alias("tf"))
 
 
 # One question for each rule, and three that always help.
