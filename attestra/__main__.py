@@ -5,6 +5,7 @@ run NAME SF_DIR [OUT]     run a query, and show or store its rows
 status SF_DIR             rows of the tables
 seed FOLDER               write the small corpus of dossiers
 process FOLDER OUT        from its files to findings; prints open and blocking ones
+review OUT FILE           take decisions (JSON lines) on readings and findings of the last run
 report OUT FOLDER         CSV, JSON and HTML of the last run
 reindex OUT               embed the chunks of the last run that are new or changed
 reset OUT                 remove all runs under OUT
@@ -39,6 +40,13 @@ def main(args: list[str]) -> int:
 
         process.summary(process.process(ship(session()), args[1], args[2])).show(1000, truncate=False)
         return 0
+    if args[:1] == ["review"] and len(args) == 3:
+        from . import process
+
+        spark = session()
+        wanted = spark.read.schema("dossier_id string, target string, key string, action string, new_value string, reason string, actor string, expected_revision bigint").json(args[2])
+        process.review(spark, args[1], wanted).select("dossier_id", "target", "key", "action", "outcome").show(1000, truncate=False)
+        return 0
     if args[:1] == ["report"] and len(args) == 3:
         from . import process
 

@@ -88,3 +88,20 @@ def workbook_status(files: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s for _, s, _ in found], pa.string()), pa.array([r for *_, r in found], pa.string()), pa.array([len(c) for c, *_ in found], pa.int32())], [f.split()[0] for f in STATUS.split(", ")])
 
     return files.select("document_id", "content").mapInArrow(run, STATUS)
+
+
+def workbook_contents(files: DataFrame) -> DataFrame:
+    """Cells and states of workbooks (document_id, content) by one parse: a row with
+    ``status`` and ``reason`` for each book, and a row without for each of its cells."""
+    schema = f"{CELLS}, status string, reason string"
+    names = [f.split()[0] for f in schema.split(", ")]
+    kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.bool_(), pa.string(), pa.string(), pa.string()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                cells, status, reason = read_book(content)
+                rows = [(name, *[None] * 7, status, reason), *[(name, *c, None, None) for c in cells]]
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+    return files.select("document_id", "content").mapInArrow(run, schema)
