@@ -311,14 +311,18 @@ def _(t):
     return t.events.groupBy("event_type").agg(F.count("*").alias("n"), F.sum(F.col("value").cast("decimal(16,4)")).cast("double").alias("total"))
 
 
-SCENARIOS = ((500, 90, 45.0, 0.4), (2000, 90, 45.0, 0.4), (2000, 150, 55.0, 0.6), (10000, 120, 50.0, 0.5))
+SCENARIOS = ((90, 45.0, 0.4), (150, 55.0, 0.6), (120, 50.0, 0.5))
 
 
-@query("agg19_scenarios", f"SELECT n, minutes, round(n * minutes / 60.0 * share, 1)::DOUBLE AS hours, round(n * minutes / 60.0 * cost * share, 2)::DOUBLE AS saved FROM (VALUES {', '.join(map(str, SCENARIOS))}) v(n, minutes, cost, share)")
+@query("agg19_scenarios", f"""
+SELECT o_orderpriority, minutes, n, round(n * minutes / 60.0::DOUBLE * share, 1)::DOUBLE AS hours, round(n * minutes / 60.0::DOUBLE * cost * share, 2)::DOUBLE AS saved
+FROM (SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY 1), (VALUES {', '.join(f"({m}, {c}::DOUBLE, {s}::DOUBLE)" for m, c, s in SCENARIOS)}) v(minutes, cost, share)""")
 def _(t):
-    grid = t.spark.createDataFrame(list(SCENARIOS), "n int, minutes int, cost double, share double")
-    hours = F.col("n") * F.col("minutes") / 60.0
-    return grid.select("n", "minutes", F.round(hours * F.col("share"), 1).alias("hours"), F.round(hours * F.col("cost") * F.col("share"), 2).alias("saved"))
+    """What each scenario would save on the orders of each priority."""
+    grid = F.array(*[F.struct(F.lit(m).alias("minutes"), F.lit(c).alias("cost"), F.lit(s).alias("share")) for m, c, s in SCENARIOS])
+    rows = t.orders.groupBy("o_orderpriority").agg(F.count("*").alias("n")).select("o_orderpriority", "n", F.inline(grid))
+    hours = F.col("n") * F.col("minutes") / F.lit(60.0)
+    return rows.select("o_orderpriority", "minutes", "n", F.round(hours * F.col("share"), 1).alias("hours"), F.round(hours * F.col("cost") * F.col("share"), 2).alias("saved"))
 
 
 @query("arr01_tall_to_wide", "SELECT user_id, sum(CASE WHEN event_type = 'click' THEN 1 END)::BIGINT AS click, sum(CASE WHEN event_type = 'view' THEN 1 END)::BIGINT AS view FROM events GROUP BY 1")

@@ -33,50 +33,53 @@ def invoice_words(t):
     """Each order as three recognised lines of words."""
     amount = F.concat(F.translate(X.spanish_amount(F.col("o_totalprice").cast("decimal(14,2)")), "0", "O"), F.lit(" EUR"))
     lines = F.array(F.concat(F.lit("Numero: F-"), F.col("o_orderkey").cast("string")), F.concat(F.lit("Fecha de emision: "), F.date_format("o_orderdate", "dd/MM/yyyy")), F.concat(F.lit("Total factura: "), amount))
-    rows = t.orders.where("o_totalprice >= 1000").select(F.col("o_orderkey").alias("document_id"), F.posexplode(lines).alias("line", "body"))
+    rows = t.orders.select(F.col("o_orderkey").alias("document_id"), F.posexplode(lines).alias("line", "body"))
     words = rows.select("document_id", "line", F.posexplode(F.split("body", " ")).alias("word_no", "text"))
     n = F.col("word_no")
     return words.select("document_id", F.lit(1).alias("page"), F.lit(0).alias("block"), F.lit(0).alias("par"), "line", "word_no", "text", F.when(n == 0, -1.0).otherwise(90.0 - n).alias("confidence"), (n * 10).alias("left"), (F.col("line") * 20).alias("top"), F.lit(8).alias("width"), F.lit(12).alias("height"))
 
 
 @query("src12_ocr_lines", """
-SELECT o_orderkey AS document_id, 0 AS line, 'Numero: F-' || o_orderkey AS text, 18 AS width, 89.0::DOUBLE AS confidence FROM orders WHERE o_totalprice >= 1000
-UNION ALL SELECT o_orderkey, 1, 'Fecha de emision: ' || strftime(o_orderdate, '%d/%m/%Y'), 38, 88.0 FROM orders WHERE o_totalprice >= 1000
-UNION ALL SELECT o_orderkey, 2, 'Total factura: ' || translate(translate(format('{:,.2f}', o_totalprice::DECIMAL(14,2)), ',.', '.,'), '0', 'O') || ' EUR', 38, 88.0 FROM orders WHERE o_totalprice >= 1000""")
+SELECT o_orderkey AS document_id, 0 AS line, 'Numero: F-' || o_orderkey AS text, 18 AS width, 89.0::DOUBLE AS confidence FROM orders
+UNION ALL SELECT o_orderkey, 1, 'Fecha de emision: ' || strftime(o_orderdate, '%d/%m/%Y'), 38, 88.0 FROM orders
+UNION ALL SELECT o_orderkey, 2, 'Total factura: ' || translate(translate(format('{:,.2f}', o_totalprice::DECIMAL(14,2)), ',.', '.,'), '0', 'O') || ' EUR', 38, 88.0 FROM orders""")
 def _(t):
     return E.ocr_lines(invoice_words(t)).select("document_id", "line", "text", "width", "confidence")
 
 
 @query("ext02_invoice_fields", """
-SELECT o_orderkey AS document_id, 'invoice.number' AS field_path, NULL::DOUBLE AS number, NULL::DATE AS day FROM orders WHERE o_totalprice >= 1000
-UNION ALL SELECT o_orderkey, 'invoice.issue_date', NULL, o_orderdate::DATE FROM orders WHERE o_totalprice >= 1000
-UNION ALL SELECT o_orderkey, 'invoice.total_eur', o_totalprice::DECIMAL(14,2)::DOUBLE, NULL FROM orders WHERE o_totalprice >= 1000""")
+SELECT o_orderkey AS document_id, 'invoice.number' AS field_path, NULL::DOUBLE AS number, NULL::DATE AS day FROM orders
+UNION ALL SELECT o_orderkey, 'invoice.issue_date', NULL, o_orderdate::DATE FROM orders
+UNION ALL SELECT o_orderkey, 'invoice.total_eur', o_totalprice::DECIMAL(14,2)::DOUBLE, NULL FROM orders""")
 def _(t):
     out = E.invoice_fields(E.ocr_lines(invoice_words(t)))
     return out.select("document_id", "field_path", F.col("value_number").cast("double").alias("number"), F.col("value_date").alias("day"))
 
 
 def sheet_cells(t):
-    """Suppliers as one worksheet: headers in row 4, data below, a total row."""
-    heads = ["ID empleado", "Nombre", "Rol", "Mes", "Horas", "Tarifa EUR/h", "Importe EUR"]
-    head = t.spark.createDataFrame([(k, h) for k, h in enumerate(heads, 1)], "col int, value string").select(F.lit("w").alias("document_id"), F.lit("Hoja1").alias("sheet"), F.lit(4).cast("long").alias("row"), "col", "value", F.lit(False).alias("is_formula"))
+    """Suppliers as worksheets, one for each nation: headers in row 4, data below, a total row."""
+    heads = F.array(*[F.lit(h) for h in ("ID empleado", "Nombre", "Rol", "Mes", "Horas", "Tarifa EUR/h", "Importe EUR")])
+    sheet = lambda nation: (F.lit("w").alias("document_id"), F.concat(F.lit("Hoja"), F.col(nation).cast("string")).alias("sheet"))
+    cell = lambda df, nation, row, formula: df.select(*sheet(nation), row.cast("long").alias("row"), F.posexplode(F.col("cells")).alias("p", "value")).select("document_id", "sheet", "row", (F.col("p") + 1).alias("col"), "value", formula.alias("is_formula"))
     s = F.col("s_suppkey")
     values = F.array(F.concat(F.lit("EMP-"), s.cast("string")), F.col("s_name"), F.lit("Rol"), F.lit("2025-01"), (s % 40).cast("string"), F.lit("31,50"), F.lit("10"))
-    body = t.supplier.select(F.lit("w").alias("document_id"), F.lit("Hoja1").alias("sheet"), (s + 5).alias("row"), F.posexplode(values).alias("p", "value")).select("document_id", "sheet", "row", (F.col("p") + 1).alias("col"), "value", ((F.col("row") % 10 == 0) & (F.col("p") == 4)).alias("is_formula"))
-    total = t.spark.createDataFrame([("w", "Hoja1", 1000000, 6, "TOTAL", False), ("w", "Hoja1", 1000000, 7, "99", False)], "document_id string, sheet string, row long, col int, value string, is_formula boolean")
+    head = cell(t.nation.withColumn("cells", heads), "n_nationkey", F.lit(4), F.lit(False))
+    body = cell(t.supplier.withColumn("cells", values), "s_nationkey", s + 5, (F.col("row") % 10 == 0) & (F.col("p") == 4))
+    total = cell(t.nation.withColumn("cells", F.array(*[F.lit(None).cast("string")] * 5, F.lit("TOTAL"), F.lit("99"))), "n_nationkey", F.lit(1000000), F.lit(False)).where("value is not null")
     return head.unionByName(body).unionByName(total)
 
 
-@query("ext03_timesheet_rows", "SELECT 'EMP-' || s_suppkey AS employee_id, (s_suppkey % 40)::DOUBLE AS hours, 31.5::DOUBLE AS rate, (row_number() OVER (ORDER BY s_suppkey) - 1)::INT AS row_index FROM supplier WHERE (s_suppkey + 5) % 10 <> 0")
+@query("ext03_timesheet_rows", "SELECT 'EMP-' || s_suppkey AS employee_id, (s_suppkey % 40)::DOUBLE AS hours, 31.5::DOUBLE AS rate, (row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1)::INT AS row_index FROM supplier WHERE (s_suppkey + 5) % 10 <> 0")
 def _(t):
     return E.timesheet_rows(sheet_cells(t)).select("employee_id", F.col("hours").cast("double").alias("hours"), F.col("rate").cast("double").alias("rate"), "row_index")
 
 
-@query("win09_header_row", "SELECT 'w' AS document_id, 4::BIGINT AS header_row")
+@query("win09_header_row", "SELECT 'w' AS document_id, 'Hoja' || n_nationkey AS sheet, 4::BIGINT AS header_row FROM nation")
 def _(t):
     need = F.array(*[F.lit(h) for h in E.TIMESHEET_HEADERS])
-    rows = sheet_cells(t).groupBy("document_id", "row").agg(F.collect_set(X.fold(F.col("value"))).alias("have")).where(F.size(F.array_except(need, F.col("have"))) == 0)
-    return rows.groupBy("document_id").agg(F.min("row").alias("header_row"))
+    keys = ["document_id", "sheet"]
+    rows = sheet_cells(t).groupBy(*keys, "row").agg(F.collect_set(X.fold(F.col("value"))).alias("have")).where(F.size(F.array_except(need, F.col("have"))) == 0)
+    return rows.groupBy(*keys).agg(F.min("row").alias("header_row"))
 
 
 @query("ext05_registry_fields", """
@@ -136,8 +139,8 @@ def _(t):
 
 
 @query("chk03_sheet_chunks", """
-SELECT 'Hoja «Hoja1», fila ' || (s_suppkey + 5) || ': ID empleado: EMP-' || s_suppkey || ' · Nombre: ' || s_name || ' · Rol: Rol · Mes: 2025-01 · Horas: ' || (s_suppkey % 40) || ' · Tarifa EUR/h: 31,50 · Importe EUR: 10' AS text FROM supplier
-UNION ALL SELECT 'Hoja «Hoja1», fila 1000000: Tarifa EUR/h: TOTAL · Importe EUR: 99'""")
+SELECT 'Hoja «Hoja' || s_nationkey || '», fila ' || (s_suppkey + 5) || ': ID empleado: EMP-' || s_suppkey || ' · Nombre: ' || s_name || ' · Rol: Rol · Mes: 2025-01 · Horas: ' || (s_suppkey % 40) || ' · Tarifa EUR/h: 31,50 · Importe EUR: 10' AS text FROM supplier
+UNION ALL SELECT 'Hoja «Hoja' || n_nationkey || '», fila 1000000: Tarifa EUR/h: TOTAL · Importe EUR: 99' FROM nation""")
 def _(t):
     return E.sheet_chunks(sheet_cells(t)).select("text")
 
@@ -240,11 +243,12 @@ def _(t):
     return Q.configurations(t.embeddings.select("embedding", F.concat(F.lit("c"), F.col("label").cast("string")).alias("config_hash")), "c0")
 
 
-@query("ret07_neighbours", "SELECT s_suppkey + 5 AS row, count(*) AS cells FROM supplier, range(0, 7) WHERE abs(s_suppkey + 5 - 20) <= 3 GROUP BY 1")
+@query("ret07_neighbours", """
+SELECT 'Hoja' || b.s_nationkey AS sheet, b.s_suppkey + 5 AS row, count(*) * 7 AS cells FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND abs(a.s_suppkey - b.s_suppkey) <= 3 WHERE a.s_acctbal < 0 GROUP BY 1, 2""")
 def _(t):
-    cells = sheet_cells(t)
-    at = t.spark.createDataFrame([("w", "Hoja1", 20)], "document_id string, sheet string, row long")
-    return Q.neighbours(cells, at).groupBy("row").agg(F.count("*").alias("cells"))
+    at = t.supplier.where("s_acctbal < 0").select(F.lit("w").alias("document_id"), F.concat(F.lit("Hoja"), F.col("s_nationkey").cast("string")).alias("sheet"), (F.col("s_suppkey") + 5).alias("row"))
+    found = Q.neighbours(sheet_cells(t), at).where("row between 5 and 999999")
+    return found.groupBy("sheet", "row").agg(F.count("*").alias("cells"))
 
 
 @query("ret08_suggested_questions", """

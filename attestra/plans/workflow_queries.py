@@ -24,11 +24,18 @@ def _(t):
     return W.illegal_moves(t.events, "user_id", ["ts", "event_id"], "event_type", EDGES).select("event_id", "before", "event_type")
 
 
-@query("stm01_allowed_table", "SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, v in W.EDGES.items() for b in v) + ") v(state, next)")
+STATES = tuple(W.EDGES)
+
+
+@query("stm01_allowed_table", f"""
+SELECT o_orderkey, state, next, coalesce({' OR '.join(f"(state = '{a}' AND next IN ({', '.join(repr(b) for b in v)}))" for a, v in W.EDGES.items() if v)}, false) AS allowed
+FROM (SELECT o_orderkey, list_extract({list(STATES)}, (o_orderkey % {len(STATES)})::INT + 1) AS state, list_extract({list(STATES)}, (o_orderkey // 7 % {len(STATES)})::INT + 1) AS next FROM orders)""")
 def _(t):
-    states = t.spark.createDataFrame([(s,) for s in W.EDGES], "state string")
-    pairs = states.crossJoin(F.broadcast(states.withColumnRenamed("state", "next")))
-    return pairs.where(W.allowed(F.col("state"), F.col("next")))
+    """Whether the table of moves lets each order go from one state to another."""
+    states = F.array(*[F.lit(s) for s in STATES])
+    at = lambda c: F.get(states, c.cast("int"))
+    moves = t.orders.select("o_orderkey", at(F.col("o_orderkey") % len(STATES)).alias("state"), at(F.floor(F.col("o_orderkey") / 7) % len(STATES)).alias("next"))
+    return moves.select("*", F.coalesce(W.allowed(F.col("state"), F.col("next")), F.lit(False)).alias("allowed"))
 
 
 @query("stm02_compare_and_set", """
@@ -155,10 +162,15 @@ def _(t):
 # reporting
 
 
-@query("rep02_groups", "SELECT * FROM (VALUES " + ", ".join(f"('{p}', '{g}')" for p, g in [("report.title", "Memoria técnica"), ("invoice.number", "Facturas y justificantes"), ("invoices.count", "Totales de facturas"), ("timesheet.rows[3].hours", "Parte horario"), ("timesheet.row_count", "Totales del parte horario"), ("registry.personnel[EMP-1].role", "Registro de personal"), ("call.code", "Convocatoria"), ("zzz", "Otros")]) + ") v(path, title)")
+GROUPS = (("report.title", "Memoria técnica"), ("invoice.number", "Facturas y justificantes"), ("invoices.count", "Totales de facturas"), ("timesheet.rows[#].hours", "Parte horario"), ("timesheet.row_count", "Totales del parte horario"), ("registry.personnel[EMP-#].role", "Registro de personal"), ("call.code", "Convocatoria"), ("zzz", "Otros"))
+
+
+@query("rep02_groups", f"""
+SELECT replace(list_extract({[p for p, _ in GROUPS]}, (p_partkey % {len(GROUPS)})::INT + 1), '#', p_partkey::VARCHAR) AS path, list_extract({[g for _, g in GROUPS]}, (p_partkey % {len(GROUPS)})::INT + 1) AS title FROM part""")
 def _(t):
-    paths = ["report.title", "invoice.number", "invoices.count", "timesheet.rows[3].hours", "timesheet.row_count", "registry.personnel[EMP-1].role", "call.code", "zzz"]
-    return t.spark.createDataFrame([(p,) for p in paths], "path string").select("path", P.group_of(F.col("path")).alias("title"))
+    paths = F.array(*[F.lit(p) for p, _ in GROUPS])
+    rows = t.part.select(F.replace(F.get(paths, (F.col("p_partkey") % len(GROUPS)).cast("int")), F.lit("#"), F.col("p_partkey").cast("string")).alias("path"))
+    return rows.select("path", P.group_of(F.col("path")).alias("title"))
 
 
 @query("srt04_reading_order", """
