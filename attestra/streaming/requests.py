@@ -58,6 +58,7 @@ def idempotent_requests(requests: DataFrame, ttl_ms: int | None = None) -> DataF
     """Outcome of each request (key, endpoint, seq, action, fingerprint), in order of ``seq``
     within a key; those of a later batch come after those of an earlier one.  A session
     needs the RocksDB state store for it."""
+    _ = requests.sparkSession.streams  # starts what coordinates state, which a table's query doesn't
     return requests.groupBy("key", "endpoint").transformWithState(Requests(ttl_ms), OUTCOMES, "append", "ProcessingTime" if ttl_ms else "None")
 
 
