@@ -7,8 +7,9 @@ line WARC asks for.  Of captures with equal payloads of at least
 ``REVISIT_BYTES`` bytes the first (smallest page_id, then order of the table) is
 a response; the others are revisits that carry no payload.  First ones are found
 from digests and ids alone; the captures of a payload that very many pages share
-are spread over tasks when they meet them.  An archive holds about
-``ARCHIVE_BYTES`` of payloads.
+are spread over tasks when they meet them.  Each task begins a new
+archive before a record that would bring the running size over ``ARCHIVE_BYTES``,
+so an archive holds at most so much, or a single larger record.
 
 Reading inflates each archive piece by piece and parses it by the records'
 declared lengths, so payloads may hold anything, blank lines included; payload
@@ -31,6 +32,7 @@ import zlib
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,15 +52,35 @@ def _record(kind: str, uid, block, *headers):
     return F.concat(*lines, F.lit(f"{EOL}Content-Length: "), F.octet_length(block).cast("string"), F.lit(EOL + EOL), block)
 
 
-def write_archives(pages: DataFrame, path: str) -> None:
-    """Write pages (page_id, url, html) as gzipped WARC files."""
+def dealt_to_archives(records: DataFrame, most: int) -> DataFrame:
+    """Records (value) with the number of their archive (archive) in their task,
+    by running bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        archive = held = 0
+        for b in batches:
+            numbers = []
+            for n in pa.compute.binary_length(b.column(0)).to_pylist():
+                n += len(EOL + EOL)
+                if held and held + n > most:
+                    archive, held = archive + 1, 0
+                held += n
+                numbers.append(archive)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(numbers, pa.int32())], ["value", "archive"])
+
+    arrow_rows(records.sparkSession)
+    return records.mapInArrow(run, "value string, archive int")
+
+
+def write_archives(pages: DataFrame, path: str, most: int = ARCHIVE_BYTES) -> None:
+    """Write pages (page_id, url, html) as gzipped WARC files, which hold at most
+    so many bytes of records each, in folders below ``path``."""
     rows = pick(pages, "page_id", "url", "html").select(
         "page_id", F.regexp_replace(F.coalesce("url", F.lit("")), r"[\x00-\x20]", "%20").alias("target"), F.coalesce("html", F.lit("")).alias("html"), F.monotonically_increasing_id().alias("uid")
     )
     rows = rows.withColumn("digest", F.sha2("html", 256)).withColumn("bytes", F.octet_length("html"))
     order = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "uid")
     first = stored(rows.where(F.col("bytes") >= REVISIT_BYTES).groupBy("digest").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1"), "first")
-    mean = rows.agg(F.avg("bytes")).first()[0] or 0.0
     rows = salted_join(rows, first.drop("copies"), "digest", hot_keys(first, "digest", "copies"), "uid", "left")
     rows = rows.withColumn("again", F.col("first").isNotNull() & (F.col("first.uid") != F.col("uid")))
 
@@ -82,7 +104,8 @@ def write_archives(pages: DataFrame, path: str) -> None:
     request = _record("request", name("request", F.col("uid")), F.concat(F.lit("GET "), F.col("target"), F.lit(f" HTTP/1.1{EOL}Host: "), host, F.lit(EOL + EOL)), ("WARC-Target-URI", F.col("target")), ("WARC-Concurrent-To", capture), ("Content-Type", F.lit("application/http; msgtype=request")))
     fields = F.coalesce(F.concat(F.lit("page-id: "), F.col("page_id").cast("string"), F.lit(EOL)), F.lit(""))
     metadata = _record("metadata", name("metadata", F.col("uid")), fields, ("WARC-Target-URI", F.col("target")), ("WARC-Concurrent-To", capture), ("Content-Type", F.lit("application/warc-fields")))
-    rows.select(F.explode(F.array(response, request, metadata)).alias("value")).write.option("lineSep", EOL + EOL).option("compression", "gzip").option("maxRecordsPerFile", 3 * (1 + int(ARCHIVE_BYTES / (mean + 1000)))).text(path)
+    records = rows.select(F.explode(F.array(response, request, metadata)).alias("value"))
+    dealt_to_archives(records, most).write.partitionBy("archive").option("lineSep", EOL + EOL).option("compression", "gzip").text(path)
 
 
 def parse(pieces: Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -162,7 +185,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
     arrow_rows(spark, 1)  # a row is a whole archive
     try:
-        return stored(spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content").mapInArrow(run, RECORD), "records")
+        return stored(spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").option("recursiveFileLookup", "true").load(path).select("content").mapInArrow(run, RECORD), "records")
     finally:
         arrow_rows(spark, ARROW_ROWS)
 

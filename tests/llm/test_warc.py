@@ -58,3 +58,19 @@ def test_a_payload_that_many_pages_share(spark):
     assert len(got) == 5000
     assert all((r["record_type"], r["refers_to"]) == (("revisit", 0) if r["page_id"] % 3 == 0 and r["page_id"] else ("response", None)) for r in got)
     assert all(r["target"] == r["request_target"] == f"http://h/{r['page_id']}" for r in got)
+
+
+def test_archives_are_bounded_by_running_bytes(spark, tmp_path):
+    """Many tiny pages before a few large ones: no archive outgrows the bound by
+    more than one record, none is empty, and all pages are read back."""
+    size = "case when id < 4000 then 1 else 300000 end"
+    pages = spark.range(0, 4060, 1, 1).selectExpr("id as page_id", "concat('http://h/', id) as url", f"concat(id, repeat('x', {size})) as html")
+    path = f"file://{tmp_path}/w"
+    warc.write_archives(pages, path, 1 << 20)
+    sizes = [len(gzip.decompress(f.read_bytes())) for f in (tmp_path / "w").rglob("*.gz")]
+    assert min(sizes) > 0 and max(sizes) <= (1 << 20) + 301_000 and len(sizes) >= 18
+    got = warc.transactions(warc.read_records(spark, path)).select("metadata_fields").collect()
+    assert sorted(int(r[0]["page-id"]) for r in got) == list(range(4060))
+    warc.write_archives(pages.where("page_id = 4059"), f"{path}1", 1000)
+    (whole,) = [f for f in (tmp_path / "w1").rglob("*.gz") if len(gzip.decompress(f.read_bytes())) > 1000]
+    assert warc.read_records(spark, f"{path}1").count() == 3 and whole
