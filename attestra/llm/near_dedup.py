@@ -26,6 +26,19 @@ come last and are left out, so that copies of one source which are too different
 from each other don't meet in pairs.  Rows of hot shingles are spread over many
 tasks.
 
+A family of texts just under and over the similarity would still meet in pairs.
+While the join would send more than ``ROUND_PAIRS`` pairs for each open text, the
+members of a key are first dealt to cells of about ``CELL`` texts, another deal
+each round, and compared with one member of their cell; links found close classes,
+and with them the buckets that keep texts open.  A round sends one pair for each
+row at most.  The join takes what is open once a round leaves more than half of
+the pairs to send, so that rounds save work and decide nothing.  Where that is still many pairs, each open
+text is held against the pivot that most of its companions know: what it lacks of
+the pivot and has beyond it are its changes, and two texts that both differ from
+the pivot are similar only if they share enough changes.  A bit field of the
+changes bounds from above how many they can share, inside the join, so that texts
+which differ from their source in different places are not sent at all.
+
 A text pair of similarity 0.8 shares no band with probability 3e-6 (32 bands of
 5 registers).
 
@@ -57,6 +70,12 @@ from .decontaminate import words
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, WIDTH = 32, 5
 REGISTERS = BANDS * WIDTH
+#: Pairs for each open text from which rounds of comparisons come before the join
+#: of what is open, and the texts of a key that share one cell of a round.
+ROUND_PAIRS, CELL = 8, 8
+#: Numbers of 64 bits in the bit field of a text's changes; a text with more than
+#: ``MOST_CHANGES`` has none, and its pairs are all compared.
+FIELD, MOST_CHANGES = 32, 512
 #: Slots of the table of shingle frequencies, the parts it travels in, and in how
 #: many lanes the tasks' tables of a part are added up before the last sum.
 SLOTS, SLOT_BLOCKS, SLOT_LANES = 1 << 22, 256, 64
@@ -234,9 +253,9 @@ def slot(shingle: np.ndarray) -> np.ndarray:
     return (shingle & U(SLOTS - 1)).astype(np.int64)
 
 
-def prefix_pairs(texts: DataFrame) -> DataFrame:
-    """Pairs (a < b) of open texts (node, label, asks, text) with different
-    labels, at least one of which asks, that can be similar enough."""
+def prefix_rows(texts: DataFrame) -> DataFrame:
+    """(key, node, place), one for each first shingle of a text (node, text)
+    that other texts hold too; place is the text's size and the shingle's place."""
     spark = texts.sparkSession
     sent = spark.sparkContext.broadcast(shingle_frequencies(texts))
 
@@ -244,7 +263,7 @@ def prefix_pairs(texts: DataFrame) -> DataFrame:
         take_worker("near")
         often = sent.value
         for b in batches:
-            of, shingle, n = shingle_counts(b.column(2).to_pylist())
+            of, shingle, n = shingle_counts(b.column(1).to_pylist())
             if not len(of):
                 continue
             rank = often[slot(shingle)]
@@ -262,19 +281,172 @@ def prefix_pairs(texts: DataFrame) -> DataFrame:
                 sources.append(np.full(len(first), i))
             if keys:
                 source = pa.array(np.concatenate(sources))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), *(b.column(c).take(source) for c in (3, 0, 1)), pa.array(np.concatenate(places))], ["key", "ask", "node", "label", "place"])
-
-    rows = stored(texts.select("node", "label", "text", "asks").mapInArrow(run, "key bigint, ask boolean, node bigint, label bigint, place bigint"), "prefixes")
-    per_key = stored(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("ask").alias("ask"), (F.min("label") < F.max("label")).alias("mixed")).where("ask and mixed").select("key", "n"), "prefix-keys")
-    hot = hot_keys(per_key, "key", "n")
-    alive = rows.join(per_key.select("key"), "key", "left_semi")
-    asked = alive.where("ask").select("key", F.col("node").alias("u"), F.col("label").alias("u_label"), F.col("place").alias("u_at"))
-    kept = alive.select("key", F.col("node").alias("v"), F.col("label").alias("v_label"), F.col("place").alias("v_at"))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), b.column(0).take(source), pa.array(np.concatenate(places))], ["key", "node", "place"])
+
+    return stored(texts.select("node", "text").mapInArrow(run, "key bigint, node bigint, place bigint"), "prefixes")
+
+
+def open_rows(prefixes: DataFrame, asks: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """Rows (key, ask, node, label, place) of keys where texts of two labels meet
+    and one of them asks, the keys with their counts, and the pairs that the keys
+    would send at most.  ``asks`` has (node, label, asks) of the open texts."""
+    rows = prefixes.join(asks.select("node", "label", F.col("asks").alias("ask")).hint("merge"), "node")
+    rows = stored(rows.select("key", "ask", "node", "label", "place"), "open-rows")
+    per_key = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count_if("ask").alias("asking"), (F.min("label") < F.max("label")).alias("mixed"))
+    per_key = stored(per_key.where("asking > 0 and mixed").select("key", "n", "asking"), "prefix-keys")
+    most = per_key.agg(F.sum(F.col("n") * F.col("asking"))).first()[0] or 0
+    return rows.join(per_key.select("key"), "key", "left_semi"), per_key, most
+
+
+def able():
+    """Whether a shared first shingle leaves u and v (label, place) a chance:
+    what follows it must be long enough in both for the overlap they need."""
     u_size, v_size = F.shiftright("u_at", 32), F.shiftright("v_at", 32)
-    overlap = F.ceil(F.lit(SIMILARITY / (1 + SIMILARITY)) * (u_size + v_size) - 1e-6)
     low = F.lit((1 << 32) - 1)
-    able = (F.col("u_label") != F.col("v_label")) & (F.col("u_at").bitwiseAND(low) <= u_size - overlap) & (F.col("v_at").bitwiseAND(low) <= v_size - overlap) & (F.least(u_size, v_size) >= F.lit(SIMILARITY * (1 - 1e-9)) * F.greatest(u_size, v_size))
-    return salted_join(asked, kept, "key", hot, "u").where(able).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
+    return (F.col("u_label") != F.col("v_label")) & (F.col("u_at").bitwiseAND(low) <= u_size - _overlap()) & (F.col("v_at").bitwiseAND(low) <= v_size - _overlap()) & (F.least(u_size, v_size) >= F.lit(SIMILARITY * (1 - 1e-9)) * F.greatest(u_size, v_size))
+
+
+def _overlap():
+    return F.ceil(F.lit(SIMILARITY / (1 + SIMILARITY)) * (F.shiftright("u_at", 32) + F.shiftright("v_at", 32)) - 1e-6)
+
+
+def able_changes():
+    """Whether the changes of u and v from one pivot leave them a chance.  They
+    share what the pivot has and neither lacks, and the changes common to both:
+    a bit that only one field has is a change that is not common."""
+    u, v = (F.col(f"{x}_changes") for x in "uv")
+
+    def alone(x, y):
+        return sum((F.bit_count(x[f"b{k}"].bitwiseAND(F.bitwise_not(y[f"b{k}"]))) for k in range(FIELD)), F.lit(0))
+
+    common = F.least(u["changes"] - alone(u, v), v["changes"] - alone(v, u))
+    kept = u["pivot_size"] - u["lacks"] - v["lacks"]
+    return F.coalesce((u["pivot"] != v["pivot"]) | (kept + common >= _overlap()), F.lit(True))
+
+
+def changes(asks: DataFrame, members: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, changes) of the open texts with few changes from the pivot that
+    most rows of the buckets have, of those in the text's own buckets."""
+    known = members.select("node", F.col("pivot.node").alias("pivot"))
+    rows = known.groupBy("pivot").agg(F.count(F.lit(1)).alias("n"))
+    known = known.join(asks.select("node"), "node", "left_semi")
+    known = salted_join(known, rows, "pivot", hot_keys(rows, "pivot", "n"), "node")
+    chosen = known.groupBy("node").agg(F.max(F.struct("n", "pivot")).alias("p")).select("node", "p.pivot")
+    mine = chosen.hint("merge").join(texts, "node").hint("merge")
+    both = mine.join(texts.select(F.col("node").alias("pivot"), F.col("text").alias("pivot_text")), "pivot").select("node", "pivot", "text", "pivot_text")
+    names = ["node", "pivot", "pivot_size", "lacks", "changes", *(f"b{k}" for k in range(FIELD))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_worker("near")
+        pivot, held = None, None
+        for batch in batches:
+            of, shingle, n = shingle_counts(batch.column(2).to_pylist())
+            cut = np.searchsorted(of, np.arange(batch.num_rows + 1))
+            out = []
+            for k, (node, other) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                if other != pivot:
+                    pivot, (_, *held) = other, shingle_counts([batch.column(3)[k].as_py()])
+                mine = slice(cut[k], cut[k + 1])
+                every = np.concatenate([shingle[mine], held[0]])
+                ids, at = np.unique(every, return_inverse=True)
+                over = np.bincount(at, np.concatenate([n[mine], -held[1]]), len(ids)).astype(np.int64)
+                lacks, total = int(-over[over < 0].sum()), int(np.abs(over).sum())
+                if total <= MOST_CHANGES:
+                    bits = mix(ids[over != 0] * U(2) + (over[over != 0] > 0).astype(np.uint64)) % U(64 * FIELD)
+                    field = np.zeros(FIELD, np.uint64)
+                    np.bitwise_or.at(field, (bits >> U(6)).astype(np.int64), U(1) << (bits & U(63)))
+                    out.append((node, other, int(held[1].sum()), lacks, total, *field.view(np.int64).tolist()))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names)
+
+    arrow_rows(asks.sparkSession, 256)
+    found = stored(both.mapInArrow(run, ", ".join(f"{c} bigint" for c in names)), "changes")
+    return found.select("node", F.struct(*names[1:]).alias("changed"))
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
+
+
+def prefix_pairs(alive: DataFrame, per_key: DataFrame, changed: DataFrame | None = None) -> DataFrame:
+    """All pairs (a < b) of open texts with different labels, at least one of
+    which asks, that can be similar enough; also by their changes, if given."""
+    may = able()
+    if changed is not None:
+        alive, may = stored(alive.hint("merge").join(changed, "node", "left"), "alive"), may & able_changes()
+    more = ["changed"] if changed is not None else []
+
+    def side(x: str) -> list:
+        return ["key", F.col("node").alias(x), F.col("label").alias(f"{x}_label"), F.col("place").alias(f"{x}_at"), *(F.col(c).alias(f"{x}_changes") for c in more)]
+
+    return _ordered(salted_join(alive.where("ask").select(*side("u")), alive.select(*side("v")), "key", hot_keys(per_key, "key", "n"), "u").where(may))
+
+
+def cell_pairs(alive: DataFrame, per_key: DataFrame, nth: int) -> DataFrame:
+    """Pairs (a < b) of each open text with one member of its cell in each key,
+    for the deal of the nth round.  Cells stay small, however many rows a key has."""
+    cells = per_key.select("key", F.ceil(F.col("n") / CELL).alias("cells"))
+    dealt = salted_join(alive, cells, "key", hot_keys(per_key, "key", "n"), "node")
+    dealt = dealt.withColumn("cell", F.pmod(F.xxhash64("node", F.lit(nth)), F.col("cells"))).drop("cells")
+    middle = F.max_by(F.struct(F.col("node").alias("v"), F.col("label").alias("v_label"), F.col("place").alias("v_at")), F.xxhash64("node", F.lit(-nth)))
+    pivots = dealt.groupBy("key", "cell").agg(middle.alias("p")).select("key", "cell", "p.*")
+    rows = dealt.select("key", "cell", F.col("node").alias("u"), F.col("label").alias("u_label"), F.col("place").alias("u_at"))
+    return _ordered(rows.join(pivots, ["key", "cell"]).where((F.col("u") != F.col("v")) & able()))
+
+
+def asking(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(node, label, asks) of the texts in buckets that hold two labels yet; all
+    but those of the label that has most of the bucket ask."""
+    labelled = members.select("band", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    mixed = labelled.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("band")
+    open_ = stored(labelled.join(mixed, "band", "left_semi"), "open")
+    largest = open_.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("band").agg(F.max(F.struct("n", "label")).alias("top"))
+    return stored(open_.join(largest, "band").groupBy("node").agg(F.max("label").alias("label"), F.max(F.col("label") != F.col("top.label")).alias("asks")), "asks")
+
+
+def across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs (a, b) between two classes, with the classes (low, high)."""
+    of = labels.select(F.col("node").alias("a"), F.col("label").alias("of_a")), labels.select(F.col("node").alias("b"), F.col("label").alias("of_b"))
+    x, y = F.coalesce("of_a", "a"), F.coalesce("of_b", "b")
+    return pairs.join(of[0], "a", "left").join(of[1], "b", "left").where(x != y).select("a", "b", F.least(x, y).alias("low"), F.greatest(x, y).alias("high"))
+
+
+def resolved(members: DataFrame, texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(node, label) of all linked texts: the links among ``pairs``, then those
+    of open texts, in rounds of cells as long as they pay, then exactly."""
+    links = verified(pairs, texts)
+    labels = components(links)
+    done = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "done")
+    prefixes, nth, before = None, 0, float("inf")
+    while True:
+        asks = asking(members, labels)
+        count = asks.count()
+        if not count:
+            return labels
+        if prefixes is None:
+            prefixes = prefix_rows(stored(asks.hint("merge").join(texts, "node").select("node", "text"), "open-texts"))
+        alive, per_key, most = open_rows(prefixes, asks)
+        last = most <= ROUND_PAIRS * count or most > before / 2
+        nth, before = nth + 1, most
+        if last:
+            new = prefix_pairs(alive, per_key, changes(asks, members, texts) if most > ROUND_PAIRS * count else None)
+        else:
+            new = cell_pairs(alive, per_key, nth)
+        new = stored(new.join(done, ["a", "b"], "left_anti"), "pairs")
+        if last and new.count() > count:
+            # one pair for each two classes first: its link spares the others
+            least = F.min_by(F.struct("a", "b"), F.xxhash64("a", "b"))
+            one = stored(across(new, labels).groupBy("low", "high").agg(least.alias("p")).select("p.a", "p.b"), "pairs")
+            links = links.union(verified(one, texts))
+            labels = components(links)
+            new = stored(across(new.join(one, ["a", "b"], "left_anti"), labels).select("a", "b"), "pairs")
+        found = verified(new, texts)
+        if not found.isEmpty():
+            links = links.union(found)
+            labels = components(links)
+        if last:
+            return labels
+        done = done.union(new)
 
 
 def named_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -298,21 +470,7 @@ def named_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     texts = pick(docs, "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("digest", F.md5(F.col("text").cast("binary")))
     texts = stored(texts.join(wanted, ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"]).select("node", "text"), "texts")
     pairs = stored(members.where((F.col("node") != F.col("pivot.node")) & worth(F.col("size"), F.col("pivot.size"))).select(F.col("node").alias("a"), F.col("pivot.node").alias("b")).distinct(), "pairs")
-    links = [verified(pairs, texts)]
-    labels = components(links[0])
-    labelled = members.select("band", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = labelled.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("band")
-    open_ = stored(labelled.join(mixed, "band", "left_semi"), "open")
-    if not open_.isEmpty():
-        largest = open_.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("band").agg(F.max(F.struct("n", "label")).alias("top"))
-        asks = open_.join(largest, "band").groupBy("node").agg(F.max("label").alias("label"), F.max(F.col("label") != F.col("top.label")).alias("asks"))
-        left = prefix_pairs(stored(asks.hint("merge").join(texts, "node"), "open-texts"))
-        done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        left = stored(left.join(done, ["a", "b"], "left_anti"), "pairs")
-        if not left.isEmpty():
-            found = verified(left, texts)
-            if not found.isEmpty():
-                labels = components(links[0].union(found))
+    labels = resolved(members, texts, pairs)
     arrow_rows(docs.sparkSession)
     known = nodes.select("digest", "doc_id", "node")
     linked = known.join(labels, "node")

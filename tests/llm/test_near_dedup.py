@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from attestra.llm import near_dedup as nd
 from attestra.llm.components import components
@@ -114,6 +115,58 @@ def test_a_family_of_texts_that_are_too_different(spark):
     assert sorted(tuple(r) for r in got) == sorted(brute(rows))
 
 
+def family(n, changed):
+    """Texts of 400 words, so many of them changed in each, at random places."""
+    rnd = random.Random(1)
+    vocab = [f"word{k}" for k in range(20000)]
+    base = [rnd.choice(vocab) for _ in range(400)]
+    rows = []
+    for i in range(n):
+        w = list(base)
+        for at in rnd.sample(range(400), changed):
+            w[at] = rnd.choice(vocab)
+        rows.append((i, " ".join(w)))
+    return rows
+
+
+@pytest.mark.parametrize("changed", [5, 6])
+def test_a_family_around_the_similarity_is_not_compared_in_pairs(spark, monkeypatch, changed):
+    """Similarities just under and over 0.8: classes as by brute force, and pairs
+    that grow with the texts, not with their square."""
+    sent, verify = [], nd.verified
+
+    def counted(pairs, texts):
+        sent.append(pairs.count())
+        return verify(pairs, texts)
+
+    monkeypatch.setattr(nd, "verified", counted)
+    compared = []
+    for n in (100, 200):
+        rows = family(n, changed)
+        sent.clear()
+        got = nd.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert sorted(tuple(r) for r in got) == sorted(brute(rows))
+        compared.append(sum(sent))
+    assert compared[1] <= 2.6 * compared[0] and compared[1] < 200 * 199 / 2 / 5
+
+
+def test_bit_fields_never_hide_a_pair(spark, monkeypatch):
+    """The bound by changes alone decides, without rounds: still all classes."""
+    monkeypatch.setattr(nd, "ROUND_PAIRS", 0)
+    rnd = random.Random(8)
+    vocab = [f"word{k}" for k in range(300)]
+    rows = []
+    for g in range(4):
+        base = [rnd.choice(vocab) for _ in range(150)] * (1 + g % 2)
+        for c in range(25):
+            w = list(base)
+            for at in rnd.sample(range(len(w)), rnd.randint(1, 5)):
+                w[at : at + 1] = [rnd.choice(vocab) for _ in range(rnd.randint(0, 3))]
+            rows.append((g * 100 + c, " ".join(w)))
+    got = nd.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(tuple(r) for r in got) == sorted(brute(rows))
+
+
 def test_different_texts_under_one_id_and_clashing_columns(spark):
     rnd = random.Random(6)
     vocab = [f"word{k}" for k in range(3000)]
