@@ -3,7 +3,8 @@ HTML and metrics text."""
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import html
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -160,8 +161,6 @@ def metrics_text(df: DataFrame, name: str, label: str, value: str) -> DataFrame:
 def html_table(df: DataFrame, title: str, most: int = 1000) -> str:
     """A report page; of a longer frame it shows the first ``most`` rows and says
     how many there are."""
-    import html
-
     rows = df.limit(most + 1).collect()
     more = f"<p>Se muestran {most} de {df.count()} filas.</p>" if len(rows) > most else ""
     rows = rows[:most]
@@ -170,5 +169,37 @@ def html_table(df: DataFrame, title: str, most: int = 1000) -> str:
     return f"<!DOCTYPE html><html lang=\"es\"><head><meta charset=\"utf-8\"><title>{html.escape(title)}</title></head><body><h1>{html.escape(title)}</h1><table><tr>{head}</tr>{body}</table>{more}</body></html>"
 
 
+def html_pages(df: DataFrame, group: str, order: Sequence[str], title: str, size: int = 500) -> DataFrame:
+    """(group, page, pages, n_rows, html, sha256): all rows of each group, in order, as report
+    pages of at most ``size`` rows.  A null group is one of them, a null cell is empty, equal
+    rows all stay.  Rows are numbered inside ranges of the order and ranges by their
+    counts, so that a group of any size is dealt over tasks."""
+
+    def escaped(c: Column) -> Column:
+        out = F.coalesce(c.cast("string"), F.lit(""))
+        for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+            out = F.replace(out, F.lit(sign), F.lit(name))
+        return out
+
+    shown = [c for c in df.columns if c != group]
+    line = F.concat(F.lit("<tr>"), *[F.concat(F.lit("<td>"), escaped(F.col(f"`{c}`")), F.lit("</td>")) for c in shown], F.lit("</tr>"))
+    rows = df.select(F.col(f"`{group}`").alias("_g"), F.struct(*[F.col(f"`{c}`") for c in order]).alias("_o"), line.alias("_line"), F.monotonically_increasing_id().alias("_tie"))
+    # ranges are drawn from samples: they have to be the same when counted and when numbered
+    placed = rows.repartitionByRange("_g", "_o", "_line", "_tie").withColumn("_p", F.spark_partition_id()).checkpoint()
+    of_group = Window.partitionBy("_g")
+    before = F.coalesce(F.sum("_n").over(of_group.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = placed.groupBy("_g", "_p").agg(F.count("*").alias("_n")).select(F.col("_g").alias("_rg"), F.col("_p").alias("_rp"), before.alias("_before"), F.sum("_n").over(of_group).alias("n_rows"))
+    numbered = placed.withColumn("_r", F.row_number().over(Window.partitionBy("_g", "_p").orderBy("_o", "_line", "_tie"))).join(ranges, F.col("_g").eqNullSafe(F.col("_rg")) & (F.col("_p") == F.col("_rp")))
+    at = F.col("_before") + F.col("_r") - 1
+    paged = numbered.groupBy("_g", F.floor(at / size).cast("int").alias("_page"), "n_rows").agg(F.array_sort(F.collect_list(F.struct(at.alias("at"), "_line"))).alias("_rows"))
+    page, pages = F.col("_page") + 1, F.ceil(F.col("n_rows") / size).cast("int")
+    body = F.array_join(F.transform("_rows", lambda r: r["_line"]), "")
+    name = F.concat(escaped(F.lit(title)), F.lit(" "), escaped(F.col("_g")))
+    head = F.lit("<tr>" + "".join(f"<th>{html.escape(c)}</th>" for c in shown) + "</tr>")
+    foot = F.format_string("<p>Página %d de %d, %d filas en total.</p>", page, pages, F.col("n_rows"))
+    whole = F.concat(F.lit('<!DOCTYPE html><html lang="es"><head><meta charset="utf-8"><title>'), name, F.lit("</title></head><body><h1>"), name, F.lit("</h1><table>"), head, body, F.lit("</table>"), foot, F.lit("</body></html>"))
+    return paged.select(F.col("_g").alias(group), page.alias("page"), pages.alias("pages"), "n_rows", whole.alias("html")).withColumn("sha256", F.sha2("html", 256))
+
+
 def append_audit(events: DataFrame, path: str) -> None:
     events.write.mode("append").parquet(path)

@@ -1,4 +1,4 @@
-"""Grounded questions and evidence views over the driver tables."""
+"""Grounded questions, evidence views and report pages over the driver tables."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import evidence as V
 from ..operators import questions as G
+from ..operators import reporting as P
 from .registry import query
 
 CEILING, MOST = 3, 4
@@ -54,3 +55,13 @@ def _(t):
     seen = V.evidence_views(t.events.select("event_id", locator.alias("locator")), records, "event_id")
     excerpt = F.when(e % 7 % 6 != 0, F.col("walk.excerpt"))  # of the whole record there is no SQL form with the same order of names
     return seen.select("event_id", "walk.status", "walk.n_steps", "walk.n_found", "walk.value", excerpt.alias("excerpt"), F.col("facts")[3]["value"].alias("contract"))
+
+
+@query("snk05_html_pages", """
+WITH n AS (SELECT o_orderpriority AS g, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) - 1 AS k, count(*) OVER (PARTITION BY o_orderpriority) AS n_rows,
+'<tr><td>' || o_orderkey || '</td><td>&lt;' || o_orderstatus || '&amp;&#x27;</td></tr>' AS line FROM orders),
+p AS (SELECT g, (k // 400 + 1)::INT AS page, n_rows, string_agg(line, '' ORDER BY k) AS body FROM n GROUP BY 1, 2, 3)
+SELECT g AS priority, page, ceil(n_rows / 400)::INT AS pages, n_rows, sha256('<!DOCTYPE html><html lang="es"><head><meta charset="utf-8"><title>Pedidos ' || g || '</title></head><body><h1>Pedidos ' || g || '</h1><table><tr><th>o_orderkey</th><th>state</th></tr>' || body || '</table><p>Página ' || page || ' de ' || ceil(n_rows / 400)::INT || ', ' || n_rows || ' filas en total.</p></body></html>') AS sha256 FROM p""")
+def _(t):
+    rows = t.orders.select(F.col("o_orderpriority").alias("priority"), "o_orderkey", F.concat(F.lit("<"), "o_orderstatus", F.lit("&'")).alias("state"))
+    return P.html_pages(rows, "priority", ["o_orderkey"], "Pedidos", 400).drop("html")

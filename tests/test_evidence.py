@@ -1,4 +1,4 @@
-"""Grounded questions as a job against a plain version; walks along paths of JSON."""
+"""Grounded questions as a job against a plain version; walks along paths of JSON; report pages."""
 
 import json
 import random
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from attestra.operators import evidence as V
 from attestra.operators import questions as G
+from attestra.operators import reporting as P
 
 QUESTIONS = "question_id int, scope string, seq int, question string"
 HITS = "question_id int, chunk_id string, document_id string, position int, text string"
@@ -103,3 +104,14 @@ def test_a_passage_cannot_name_the_fence(spark):
     one, two = [r.p for r in texts.orderBy("question_id").select(G.prompt(F.lit("¿q?"), e, G.fence(F.col("question_id"), "s")).alias("p")).collect()]
     close = one.rsplit("\n", 1)[1]
     assert one.count(close) == 1 and close not in two and close.startswith("</evidencia-") and len(close) == len("</evidencia->") + 16
+
+
+def test_pages_hold_every_row_once_in_order(spark):
+    rows = [("hot", k % 50, f"r{k}") for k in range(230)] + [(None, 1, "<b>"), (None, 1, "<b>"), ("one", None, None)]
+    frame = spark.createDataFrame(rows, "g string, k int, v string").repartition(5)
+    got = {(r.g, r.page): r for r in P.html_pages(frame, "g", ["k", "v"], "T & U", 100).collect()}
+    assert {key: (r.pages, r.n_rows, r.html.count("<tr>") - 1) for key, r in got.items()} == {("hot", 1): (3, 230, 100), ("hot", 2): (3, 230, 100), ("hot", 3): (3, 230, 30), (None, 1): (1, 2, 2), ("one", 1): (1, 1, 1)}
+    shown = [line.split("</td>")[1].removeprefix("<td>") for k in (1, 2, 3) for line in got["hot", k].html.split("<tr>")[2:]]
+    assert shown == [v for _, _, v in sorted(rows[:230])]
+    assert got[None, 1].html.count("&lt;b&gt;") == 2 and "T &amp; U" in got["one", 1].html and "<td></td><td></td>" in got["one", 1].html
+    assert P.html_pages(frame.limit(0), "g", ["k"], "T").count() == 0
