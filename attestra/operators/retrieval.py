@@ -28,12 +28,14 @@ def features(word: Column) -> Column:
     return F.when(word == "", F.array(F.lit("<empty>"))).otherwise(marked)
 
 
-def hashed_buckets(df: DataFrame, key: str, words: Column, width: int = WIDTH) -> DataFrame:
+def hashed_buckets(df: DataFrame, key: str, words: Column, width: int = WIDTH, empty: bool = True) -> DataFrame:
     """(key, bucket, weight): the sparse signed counts of each text.  Texts are
     dealt by key once; then the words of a text are counted, and the features of
-    its distinct words hashed and summed, without another shuffle."""
+    its distinct words hashed and summed, without another shuffle.  A text without
+    words has the feature that stands for it, or (without ``empty``) no rows."""
     dealt = df.select(key, words.alias("w")).repartition(key)
-    each = dealt.select(key, F.explode(F.when(F.size("w") == 0, F.array(F.lit(""))).otherwise(F.col("w"))).alias("w"))
+    some = F.when(F.size("w") == 0, F.array(F.lit(""))).otherwise(F.col("w")) if empty else F.col("w")
+    each = dealt.select(key, F.explode(some).alias("w"))
     counted = each.groupBy(key, "w").agg(F.count("*").alias("n"))
     weighed = counted.select(key, "n", F.explode(features(F.col("w"))).alias("f")).select(key, numbers.bucket(F.col("f"), width).alias("bucket"), (F.col("n") * numbers.sign(F.col("f"))).alias("w"))
     return weighed.groupBy(key, "bucket").agg(F.sum("w").cast("long").alias("weight"))
