@@ -42,11 +42,18 @@ def hashed_buckets(df: DataFrame, key: str, words: Column, width: int = WIDTH, e
 
 
 def embedded(df: DataFrame, key: str, words: Column, width: int = WIDTH) -> DataFrame:
-    """(key, embedding): dense, with length 1."""
-    g = hashed_buckets(df, key, words, width).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("bucket", F.col("weight").cast("double").alias("w")))).alias("m"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
-    norm = F.sqrt(numbers.dot(F.col("v"), F.col("v")))
-    return g.select(key, dense.alias("v")).select(key, F.transform("v", lambda x: F.when(norm > 0, x / norm).otherwise(x)).alias("embedding"))
+    """(key, embedding): dense, with length 1.  The length is summed with the
+    entries; each entry then follows the zeros between it and the one before."""
+    weight = F.col("weight")
+    g = hashed_buckets(df, key, words, width).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("bucket", weight.cast("double").alias("w")))).alias("s"), F.sqrt(F.sum(weight * weight)).alias("norm"))
+    norm, zero = F.col("norm"), F.lit(0.0)
+
+    def piece(e: Column, i: Column) -> Column:
+        after = F.when(i == 0, 0).otherwise(F.get("s", i - 1)["bucket"] + 1)
+        return F.concat(F.array_repeat(zero, e["bucket"] - after), F.array(F.when(norm > 0, e["w"] / norm).otherwise(e["w"])))
+
+    tail = F.array_repeat(zero, F.lit(width - 1) - F.element_at("s", -1)["bucket"])
+    return g.select(key, F.concat(F.flatten(F.transform("s", piece)), tail).alias("embedding"))
 
 
 def with_embeddings(pending: DataFrame, text_col: str, embed: Callable[[list[str]], list[list[float]]], width: int, batch: int = 64) -> DataFrame:
