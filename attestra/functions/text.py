@@ -57,6 +57,11 @@ SECRET_KEYS = ("api_key", "authorization", "password", "token", "secret", "x-api
 SPACES = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
 
+def lower(c: Column) -> Column:
+    """Lower case, letter by letter: a capital I with dot gets no mark of its own."""
+    return F.lower(F.replace(c, F.lit("İ"), F.lit("i")))
+
+
 def fold(c: Column) -> Column:
     """Lower case without accents, as long as the original."""
     return F.lower(F.translate(c, ACCENTED, PLAIN))
@@ -138,12 +143,28 @@ def grounded(text: Column, quote: Column, value: Column) -> Column:
 
 def weighted_score(c: Column, signals: Sequence[tuple[str, float]]) -> Column:
     """Sum of the weights of the patterns that occur, 1 at most."""
+    return _weighted([(c.rlike(pattern), weight) for pattern, weight in signals])
+
+
+def _weighted(signals: Sequence[tuple[Column, float]]) -> Column:
     total = F.lit(0).cast("decimal(6,3)")
-    for pattern, weight in signals:
-        total = total + F.when(c.rlike(pattern), F.lit(weight).cast("decimal(6,3)")).otherwise(F.lit(0).cast("decimal(6,3)"))
+    for occurs, weight in signals:
+        total = total + F.when(occurs, F.lit(weight).cast("decimal(6,3)")).otherwise(F.lit(0).cast("decimal(6,3)"))
     return F.least(total.cast("decimal(6,3)"), F.lit(1).cast("decimal(6,3)"))
 
 
+def between_spaces(c: Column, letters: str) -> Column:
+    """The words of a text, each between two spaces.  ``letters`` are the characters
+    of words, as in a bracket expression.  One pass, after which a word is found
+    without an expression of its own."""
+    return F.concat(F.lit(" "), F.regexp_replace(c, f"[^{letters}]+", " "), F.lit(" "))
+
+
+def weighted_words(spaced: Column, signals: Sequence[tuple[str, float]]) -> Column:
+    """``weighted_score`` of whole words in a text of words between spaces."""
+    return _weighted([(F.contains(spaced, F.lit(f" {word} ")), weight) for word, weight in signals])
+
+
 def words(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(r"(?U)\w+"), F.lit(0))
 

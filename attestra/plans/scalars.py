@@ -79,11 +79,9 @@ def _(t):
     return t.documents.select("doc_id", X.grounded(F.col("text"), F.substring("text", 11, 30), F.substring("text", 15, 8)).alias("grounded"))
 
 
-def _word(w):
-    return f"(?:^|[^a-zà-ÿ0-9_]){w}(?:[^a-zà-ÿ0-9_]|$)"
-
-
-LANGUAGE_SIGNALS = {k: ((_word(a), 0.5), (_word(b), 0.3), (_word(c), 0.3)) for k, (a, b, c) in {"en": ("the", "and", "of"), "de": ("der", "und", "die"), "fr": ("le", "et", "pour"), "es": ("que", "los", "del")}.items()}
+LETTERS = "a-zà-ÿ0-9_"
+LANGUAGE_WORDS = {k: ((a, 0.5), (b, 0.3), (c, 0.3)) for k, (a, b, c) in {"en": ("the", "and", "of"), "de": ("der", "und", "die"), "fr": ("le", "et", "pour"), "es": ("que", "los", "del")}.items()}
+LANGUAGE_SIGNALS = {k: tuple((f"(?:^|[^{LETTERS}]){w}(?:[^{LETTERS}]|$)", x) for w, x in s) for k, s in LANGUAGE_WORDS.items()}
 
 
 def _score_sql(signals):
@@ -92,7 +90,8 @@ def _score_sql(signals):
 
 @query("str09_weighted_score", f"SELECT doc_id, {', '.join(f'{_score_sql(s)}::DOUBLE AS {k}' for k, s in LANGUAGE_SIGNALS.items())} FROM documents")
 def _(t):
-    return t.documents.select("doc_id", *[X.weighted_score(F.lower("text"), s).cast("double").alias(k) for k, s in LANGUAGE_SIGNALS.items()])
+    spaced = t.documents.select("doc_id", X.between_spaces(X.lower(F.col("text")), LETTERS).alias("spaced"))
+    return spaced.select("doc_id", *[X.weighted_words(F.col("spaced"), s).cast("double").alias(k) for k, s in LANGUAGE_WORDS.items()])
 
 
 @query("str10_words", "SELECT doc_id, len(regexp_extract_all(text, '[\\p{L}\\p{M}\\p{N}\\p{Pc}]+'))::INT AS n_words FROM documents")
