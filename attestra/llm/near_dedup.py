@@ -17,8 +17,8 @@ companions in all its buckets, and verified links are united.  Members of a
 bucket that still belong to different components are *open*; what is left out
 so far could only link texts that are in one class already.
 
-Open texts meet in an exact join: shingles are ordered from rare to frequent,
-and a pair of similarity 0.8 must share one among the first of both texts.  A
+Open texts meet in an exact join: shingles are counted over all open texts and
+ordered from rare to frequent, and a pair of similarity 0.8 must share one among the first of both texts.  A
 text sends one row for each of its first shingles that others hold too, a fifth
 of its words at most; which of them count for a partner follows from the place
 of the shingle and both sizes.  The shingles that a whole group has in common
@@ -59,11 +59,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, fresh, hot_keys, pick, salted_join, stored, take_worker
+from .common import arrow_rows, byte_slices, fresh, hot_keys, pick, salted_join, stored, take_worker
 from .components import components
 from .decontaminate import words
 
@@ -76,9 +75,6 @@ ROUND_PAIRS, CELL = 8, 8
 #: Numbers of 64 bits in the bit field of a text's changes; a text with more than
 #: ``MOST_CHANGES`` has none, and its pairs are all compared.
 FIELD, MOST_CHANGES = 32, 512
-#: Slots of the table of shingle frequencies, the parts it travels in, and in how
-#: many lanes the tasks' tables of a part are added up before the last sum.
-SLOTS, SLOT_BLOCKS, SLOT_LANES = 1 << 22, 256, 64
 
 U = np.uint64
 
@@ -216,74 +212,30 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return stored(rows.mapInArrow(run, "a bigint, b bigint"), "verified")
 
 
-def first_places(size: int, other: float) -> int:
-    """How many of a text's first shingles can be the first that it shares
-    with a similar text of (at least) the other size."""
-    return max(int(size - np.ceil(SIMILARITY / (1 + SIMILARITY) * (size + other) - 1e-6) + 1), 0)
-
-
-def shingle_frequencies(texts: DataFrame) -> np.ndarray:
-    """How many texts hold a shingle, in a table of fixed size.  Shingles that
-    share a slot only count too high: counts order the shingles (any order
-    gives the same pairs), and a count of one proves that no other text has it."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slots = np.zeros(SLOTS, np.uint32)
-        lane = TaskContext.get().partitionId() % SLOT_LANES
-        for b in batches:
-            _, shingle, _ = shingle_counts(b.column(0).to_pylist())
-            np.add.at(slots, slot(shingle), np.uint32(1))
-        for k, part in enumerate(slots.reshape(SLOT_BLOCKS, -1)):
-            if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([lane], pa.int32()), pa.array([np.minimum(part, 65535).astype(np.uint16).tobytes()], pa.binary())], ["block", "lane", "counts"])
-
-    def total(table: pa.Table) -> pa.Table:
-        parts = [np.frombuffer(x, np.uint16).astype(np.uint32) for x in table.column("counts").to_pylist()]
-        return pa.table({"block": table.column("block").slice(0, 1), "lane": table.column("lane").slice(0, 1), "counts": pa.array([np.minimum(sum(parts), 65535).astype(np.uint16).tobytes()], pa.binary())})
-
-    out = np.zeros((SLOT_BLOCKS, SLOTS // SLOT_BLOCKS), np.uint16)
-    form = "block int, lane int, counts binary"
-    lanes = texts.select("text").mapInArrow(count, form).groupBy("block", "lane").applyInArrow(total, form)
-    for r in lanes.groupBy("block").applyInArrow(total, form).select("block", "counts").collect():
-        out[r["block"]] = np.frombuffer(r["counts"], np.uint16)
-    return out.ravel()
-
-
-def slot(shingle: np.ndarray) -> np.ndarray:
-    return (shingle & U(SLOTS - 1)).astype(np.int64)
-
-
 def prefix_rows(texts: DataFrame) -> DataFrame:
     """(key, node, place), one for each first shingle of a text (node, text)
-    that other texts hold too; place is the text's size and the shingle's place."""
-    spark = texts.sparkSession
-    sent = spark.sparkContext.broadcast(shingle_frequencies(texts))
+    that other texts hold too; place is the text's size and the shingle's place.
+    Shingles are counted exactly, at any size of the table: only those of several
+    texts go on, and what a text has alone stands before them.  A text's first
+    shingles are those that can be the first it shares with a similar text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         take_worker("near")
-        often = sent.value
-        for b in batches:
-            of, shingle, n = shingle_counts(b.column(1).to_pylist())
-            if not len(of):
-                continue
-            rank = often[slot(shingle)]
-            order = np.lexsort((shingle, rank, of))
-            of, shingle, n, shared = of[order], shingle[order], n[order], rank[order] > 1
-            cut = np.searchsorted(of, np.arange(b.num_rows + 1))
-            keys, places, sources = [], [], []
-            for i in np.flatnonzero(np.diff(cut)):
-                mine, count = shingle[cut[i] : cut[i + 1]], n[cut[i] : cut[i + 1]]
-                size = int(count.sum())
-                before = np.cumsum(count) - count  # a shingle stands for all its copies
-                first = np.flatnonzero(shared[cut[i] : cut[i + 1]][: np.searchsorted(before, first_places(size, SIMILARITY * size))])
-                keys.append(mine[first])
-                places.append(before[first] + (size << 32))
-                sources.append(np.full(len(first), i))
-            if keys:
-                source = pa.array(np.concatenate(sources))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), b.column(0).take(source), pa.array(np.concatenate(places))], ["key", "node", "place"])
-
-    return stored(texts.select("node", "text").mapInArrow(run, "key bigint, node bigint, place bigint"), "prefixes")
+        for batch in batches:
+            for b in byte_slices(batch, 1):
+                of, shingle, n = shingle_counts(b.column(1).to_pylist())
+                size = np.bincount(of, n, b.num_rows).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(shingle.view(np.int64)), b.column(0).take(pa.array(of)), pa.array(n + (size[of] << 32))], ["key", "node", "held"])
+
+    each = texts.select("node", "text").mapInArrow(run, "key bigint, node bigint, held bigint")
+    shared = stored(each.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared-shingles")
+    rows = salted_join(each, shared, "key", hot_keys(shared, "key", "n"), "node")
+    size, count = F.shiftright("held", 32), F.col("held").bitwiseAND(F.lit((1 << 32) - 1))
+    own = Window.partitionBy("node")
+    upto = own.orderBy("n", "key").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # a shingle stands for all its copies
+    placed = rows.select("key", "node", size.alias("size"), (size - F.sum(count).over(own) + F.sum(count).over(upto) - count).alias("before"))
+    least = F.ceil(F.lit(SIMILARITY / (1 + SIMILARITY)) * (F.col("size") + SIMILARITY * F.col("size")) - 1e-6)
+    return stored(placed.where(F.col("before") <= F.col("size") - least).select("key", "node", (F.shiftleft("size", 32) + F.col("before")).alias("place")), "prefixes")
 
 
 def open_rows(prefixes: DataFrame, asks: DataFrame) -> tuple[DataFrame, DataFrame, int]:

@@ -3,6 +3,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from attestra.llm import near_dedup as nd
 from attestra.llm.components import components
@@ -195,3 +196,14 @@ def test_recall_by_similarity(spark):
     got = {r["doc_id"]: r["class_id"] for r in nd.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert len(near) > 200 and all(got[2 * i + 1] == 2 * i for i in near)
     assert sum(got[2 * i + 1] == 2 * i for i in range(400)) == len(near)
+
+
+def test_shingles_that_no_other_text_has_are_not_sent(spark):
+    """Millions of different shingles, of which no two texts share one but two."""
+    words_of = F.transform(F.sequence(F.lit(0), F.lit(9999)), lambda i: F.concat(F.lit("w"), (F.col("id") * 10000 + i).cast("string")))
+    texts = spark.range(0, 700, 1, 8).select(F.col("id").alias("node"), F.array_join(words_of, " ").alias("text"))
+    assert nd.prefix_rows(texts).count() == 0
+    base = " ".join(f"x{k}" for k in range(19))
+    pair = spark.createDataFrame([(1000, base + " y"), (1001, base + " z")], "node long, text string")
+    got = sorted((r.node, r.place >> 32, r.place & 0xFFFFFFFF) for r in nd.prefix_rows(texts.union(pair)).collect())
+    assert got == [(node, 16, place) for node in (1000, 1001) for place in (1, 2, 3)]
