@@ -52,7 +52,7 @@ def split_period(c: Column) -> Column:
 
 
 def month_start(c: Column) -> Column:
-    return F.when(c.rlike(r"^\d{4}-\d{2}$"), F.try_to_date(F.concat(c, F.lit("-01")), "yyyy-MM-dd"))
+    return F.when(c.rlike(r"^\d{4}-\d{2}$"), F.concat(c, F.lit("-01")).try_cast("date"))
 
 
 def seconds_to_midnight(c: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -122,9 +123,13 @@ def alternatives(patterns: Sequence[str]) -> str:
 
 
 def directive_hits(c: Column, patterns: Sequence[str] = DIRECTIVE_PATTERNS, most: int = 10) -> Column:
-    """Distinct matches in lower case, sorted, the first ``most``."""
+    """Distinct matches in lower case, sorted, the first ``most``.  Texts that lack
+    a word of each pattern are passed over before any expression."""
     found = F.regexp_extract_all(c, F.lit(f"(?i){alternatives(patterns)}"), F.lit(0))
-    return F.slice(F.array_sort(F.array_distinct(F.transform(found, F.lower))), 1, most)
+    hits = F.slice(F.array_sort(F.array_distinct(F.transform(found, F.lower))), 1, most)
+    needed = sorted({certain_word(p) for p in patterns})
+    possible = F.exists(F.array(F.lower(c)), lambda t: reduce(lambda a, b: a | b, [F.contains(t, F.lit(w)) for w in needed]))  # an array: lower case is made once
+    return F.when(~possible, F.array().cast("array<string>")).otherwise(hits)
 
 
 def screened(c: Column, patterns: Sequence[str] = SCREEN_PATTERNS) -> Column:

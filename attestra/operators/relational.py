@@ -42,10 +42,15 @@ def unmatched(left: DataFrame, right: DataFrame, on) -> DataFrame:
     return left.join(right, on, "left_anti")
 
 
+def outside(at: Column, start: Column, end: Column) -> Column:
+    """Not within [start, end]; a null end is open, a null start too."""
+    inside = (start.isNull() | (at >= start)) & (end.isNull() | (at <= end))
+    return at.isNotNull() & ~inside
+
+
 def outside_interval(df: DataFrame, at: Column, start: Column, end: Column) -> DataFrame:
     """Rows not within [start, end]; a null end is open, a null start too."""
-    inside = (start.isNull() | (at >= start)) & (end.isNull() | (at <= end))
-    return df.where(at.isNotNull() & ~inside)
+    return df.where(outside(at, start, end))
 
 
 def intersection(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> tuple[Column, Column]:
